@@ -1,0 +1,3 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
+
+ORACLE_SQL = {}
