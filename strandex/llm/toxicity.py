@@ -205,7 +205,7 @@ def train_words(toxic: list[str], clean: list[str], landmarks: int) -> Model:
     varied = [v for w in toxic[:400] if len(w) >= 5 for v in inserted(w)]
     words = toxic + varied + clean
     y = np.array([1.0] * (len(toxic) + len(varied)) + [-1.0] * len(clean))
-    weight = np.concatenate([np.full(len(x), share / max(1, len(x))) for x, share in ((toxic, 0.35), (varied, 0.15), (clean, 0.5))]) * len(toxic)
+    weight = np.concatenate([np.full(len(x), share / max(1, len(x))) for x, share in ((toxic, 0.4), (varied, 0.1), (clean, 0.5))]) * len(toxic)
     w = svm(dense_kernel(words, marks) @ root, y, weight)
     b = root @ w[:-1]
     table = np.zeros(SYMBOLS**3, np.float32)
@@ -220,8 +220,8 @@ def calibrated(tops: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - 0.5 * w)
+        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.03 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (y - p) - 0.03 * w)
         w[:] = w + step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
         w[:-1] = np.maximum(w[:-1], 0)
         if np.abs(step).max() < 1e-5:
