@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
