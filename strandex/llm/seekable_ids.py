@@ -154,7 +154,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str
 def read_ids(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names."""
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    files = based.repartition(F.col("part"))
+    files = based.repartition(max(1, manifest.count()), "part")  # a number, as a few small manifest rows stand for large files
 
     def read(it):
         for rows in batches(it, ["path", "base"]):
@@ -180,7 +180,7 @@ def read_documents(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
     the matching frames are decompressed.
     """
     wanted = doc_ids.select("doc_id").distinct()
-    index = manifest.select("path").repartition(F.col("path")).mapInArrow(_index_of, "path string, k long, doc_id long")
+    index = manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(_index_of, "path string, k long, doc_id long")
     hits = index.join(wanted, "doc_id").select("path", "k").repartition(F.col("path")).sortWithinPartitions("path", "k")
     return hits.mapInArrow(_frames_of, "doc_id long, ids array<long>")
 
