@@ -3,12 +3,14 @@
 A byte-level BPE splits a text by a fixed pattern before it merges, and no match of that pattern reaches from one
 chunk "<space><non-space...>" into the next. So a text's ids are the joined ids of its chunks, and each distinct
 chunk needs the library once while it stays in the cache. Texts where a cut isn't clean (a space inside a longer run of
-white space) or that hold a special token's string go to the library whole.
+white space) or that hold a special token's string go to the library whole. New chunks go to the library many at
+a time, joined to short texts; each chunk holds one space, its first character, so it starts at the tokens that begin with a space.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -25,6 +27,9 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype
+        starts = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]  # how a byte-level vocabulary writes a space
+        self.starts = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.starts[starts] = True
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max:
             raise ValueError(f"ids of {path} don't fit into {dtype}")
         self.limit = limit
@@ -33,26 +38,45 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str], joined: int = 50) -> None:
+        """Put the ids of " " + chunk into the cache."""
+        if len(self.cache) > self.limit:  # the oldest entries are mostly the frequent ones
+            self.cache = dict(islice(self.cache.items(), self.limit // 2))
+        plain = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
+        single = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
+        groups = [plain[i : i + joined] for i in range(0, len(plain), joined)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.starts[ids]) * ids.itemsize
+            if len(at) != len(group):
+                single += group
+                continue
+            data, at = ids.tobytes(), at.tolist()
+            self.cache.update((c, data[x:y]) for c, x, y in zip(group, at, [*at[1:], len(data)]))
+        self.cache.update(zip(single, self._library([" " + c for c in single])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         out: list = [None] * len(texts)
-        whole, split, need = [], [], set()
+        whole, split, new = [], [], set()
         for i, text in enumerate(texts):
             if _UNCLEAN.search(text) or any(s in text for s in self.specials):
                 whole.append(i)
                 continue
-            first, *rest = text.split(" ")
-            split.append((i, first, rest))
-            need.update(rest)
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        if new := [c for c in need if c not in cache]:
-            cache.update(zip(new, self._library([" " + c for c in new])))
+            rest = text.split(" ")
+            split.append((i, rest[0], rest))
+            del rest[0]
+            new |= set(rest).difference(self.cache)
+        if new:
+            self._learn(list(new))
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
+        known = self.cache.__getitem__
         for (i, _, rest), head in zip(split, self._library([s[1] for s in split])):
-            out[i] = head + b"".join(map(cache.__getitem__, rest))
+            try:
+                out[i] = head + b"".join(map(known, rest))
+            except KeyError:  # dropped from the cache by this call
+                out[i] = self._library([texts[i]])[0]
         return out
 
 
