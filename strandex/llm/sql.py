@@ -1,3 +1,67 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
-ORACLE_SQL = {}
+OP3 = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+OP4 = r"""
+WITH RECURSIVE
+rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+raw AS (
+  SELECT page_id, url, regexp_extract(coalesce(url, ''), '^[^#]*') AS key, coalesce(html, '') AS html,
+         regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS canonical,
+         regexp_extract(regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\bcontent\s*=\s*["'']([^"'']*)["'']', 1), '(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$', 1) AS redirect
+  FROM pages),
+links AS (SELECT key AS a, regexp_extract(trim(canonical), '^[^#]*') AS b FROM raw WHERE canonical <> '' UNION SELECT key, regexp_extract(trim(redirect), '^[^#]*') FROM raw WHERE redirect <> ''),
+edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach(root, node) AS (SELECT a, a FROM edges UNION SELECT r.root, e.b FROM reach r JOIN edges e ON r.node = e.a),
+urls AS (SELECT DISTINCT key AS u FROM raw UNION SELECT a FROM edges),
+parts AS (
+  SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls),
+fits AS (
+  SELECT u, h || p AS rule, verdict, row_number() OVER (PARTITION BY u ORDER BY length(h || p) DESC) AS k
+  FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+named AS (SELECT p.*, f.rule, f.verdict AS own FROM parts p LEFT JOIN fits f ON p.u = f.u AND f.k = 1),
+bad AS (SELECT r.root AS u FROM reach r JOIN named n ON r.node = n.u GROUP BY 1 HAVING bool_or(n.own = 'block') AND NOT coalesce(bool_or(n.own = 'allow'), false))
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN b.u IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM raw JOIN named n ON raw.key = n.u LEFT JOIN bad b ON n.u = b.u
+"""
+
+OP7 = r"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+place AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+hit AS (SELECT p.r, p.i, p.k, win.item_id FROM (SELECT r, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM place) p JOIN win USING (k, gram)),
+words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+OP8 = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM doc),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(root, node) AS (SELECT a, a FROM edge UNION SELECT r.root, e.b FROM reach r JOIN edge e ON r.node = e.a),
+comp AS (SELECT root AS doc_id, min(node) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id, coalesce(c.m, d.doc_id) = d.doc_id AS kept
+FROM doc d LEFT JOIN size s USING (doc_id) LEFT JOIN comp c USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_exact_dedup": OP3, "op4_url_filter": OP4, "op7_contamination": OP7, "op8_near_dedup": OP8}
