@@ -2,9 +2,11 @@
 
 The vocabulary is an existing one. Its unigram scores come from how often its pieces occur in the training words, with a prior that falls with
 the rank the vocabulary itself gives a piece. A word, with the mark that starts it, is a lattice with an arc for every piece
-that fits (single bytes always do); a forward recursion in log space sums all paths. A word seen in training is one arc more, with
-its own share of the training tokens; how much of the probability such arcs have is one minus the Good-Turing share of words seen once.
-Words and the end of a text are independent, so a text's log probability is the sum over its tokens.
+that fits (single bytes always do); a forward recursion in log space sums all paths. Pieces are counted once for each distinct word, as the
+lattice is for words that training has not seen. A word that it has seen is one arc more, with its count less an absolute discount; the
+discounts are the lattice's weight. Words and the end of a text are independent given the text's class: a class is one of the
+most frequent languages of the training rows, with counts of its own above the common ones, and the classes are summed out, so a
+score is the probability of the text alone.
 
 Each distinct word of the corpus is scored once. Words that make up at least 1 / HEAVY of all tokens (so at most HEAVY of them, whatever
 the corpus) go to the tasks as a broadcast table; the other words of a text are joined by shuffle, where none can be hot.
@@ -31,32 +33,37 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def lexicon(docs: DataFrame) -> DataFrame:
-    """word, c (times in training rows), t (times in all rows); docs has text and train."""
+def lexicon(docs: DataFrame, classes: int) -> DataFrame:
+    """word, t (times in all rows), c0, c1, ... (times in training rows of a class); docs has text and class (-1: not in training)."""
+    names = ["t", *(f"c{k}" for k in range(classes))]
 
     def count(it):
-        held: list[Counter] = [Counter(), Counter()]
+        held = [Counter() for _ in range(classes + 1)]  # the last: not in training
 
         def flush():
-            words = list(held[0].keys() | held[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array([held[1][w] for w in words], pa.int64()), pa.array([held[0][w] + held[1][w] for w in words], pa.int64())], ["word", "c", "t"])
-            held[0].clear(), held[1].clear()
-
-        for rows in batches(it, ["text", "train"]):
-            for text, train in rows:
-                held[bool(train)].update(tokens(text))
-            if len(held[0]) + len(held[1]) > 250_000:
+            words = list(set().union(*held))
+            counts = [[h[w] for w in words] for h in held]
+            total = np.sum(counts, axis=0, dtype=np.int64) if words else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(total), *(pa.array(c, pa.int64()) for c in counts[:-1])], ["word", *names])
+            for h in held:
+                h.clear()
+
+        for rows in batches(it, ["text", "class"]):
+            for text, k in rows:
+                held[k].update(tokens(text))
+            if sum(map(len, held)) > 250_000:
                 yield from flush()
         yield from flush()
 
-    return docs.select("text", "train").mapInArrow(count, "word string, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    shape = "word string, " + ", ".join(f"{c} long" for c in names)
+    return docs.select("text", "class").mapInArrow(count, shape).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
 class Lattice:
     """Natural-log scores of the pieces; first: those that start a word (without the mark), inner: the others, as bytes."""
 
-    def __init__(self, first: dict[bytes, float], inner: dict[bytes, float], end: float):
-        self.first, self.inner, self.end = first, inner, end
+    def __init__(self, first: dict[bytes, float], inner: dict[bytes, float]):
+        self.first, self.inner = first, inner
         self.longest = max(map(len, [*first, *inner]), default=1)
 
     def word(self, w: bytes) -> float:
@@ -86,22 +93,19 @@ class Lattice:
         return -math.inf
 
 
-def trained(words: DataFrame, model_path: str, n_ends: int) -> Lattice:
-    """Scores from the training counts of words (word, c)."""
+def trained(words: DataFrame, model_path: str) -> Lattice:
+    """Scores from the distinct words in training (a column word)."""
     import sentencepiece
 
     def pieces(it):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         total = np.zeros(sp.get_piece_size())
-        for rows in batches(it, ["word", "c"], 500_000):
-            split = sp.encode([r[0] for r in rows], num_threads=1)
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            ids = np.fromiter((i for s in split for i in s), np.int64, int(sizes.sum()))
-            total += np.bincount(ids, np.repeat(np.array([r[1] for r in rows], float), sizes), len(total))
+        for rows in batches(it, ["word"], 500_000):
+            total += np.bincount([i for s in sp.encode([r[0] for r in rows], num_threads=1) for i in s], minlength=len(total))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(total[on])], ["piece", "n"])
 
-    counted = words.where("c > 0").select("word", "c").mapInArrow(pieces, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = words.select("word").mapInArrow(pieces, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     size = sp.get_piece_size()  # the driver gets one row per piece at most
     n = np.zeros(size)
@@ -111,7 +115,7 @@ def trained(words: DataFrame, model_path: str, n_ends: int) -> Lattice:
     rank = np.array([-sp.get_score(i) if not sp.is_byte(i) else size for i in range(size)])
     prior = np.where(use, 1 / (10 + np.maximum(rank, 0)), 0)
     weight = np.where(use, n, 0) + 0.01 * size * prior / prior.sum()
-    total = weight.sum() + n_ends + 0.1
+    total = weight.sum()
     first, inner = {}, {}
     for i in np.flatnonzero(use).tolist():
         score = math.log(weight[i] / total)
@@ -126,7 +130,7 @@ def trained(words: DataFrame, model_path: str, n_ends: int) -> Lattice:
         elif MARK not in text:
             key = text.encode()
             inner[key] = float(np.logaddexp(score, inner[key])) if key in inner else score
-    return Lattice(first, inner, math.log((n_ends + 0.1) / total))
+    return Lattice(first, inner)
 
 
 class _Heavy(dict):
@@ -137,43 +141,71 @@ class _Heavy(dict):
 _TABLES: dict[str, tuple] = {}
 
 
-def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0, alpha: float = 0.1, heavy: int = HEAVY) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+class Counts:
+    """What training has counted: n tokens, v distinct ones, and the discount of absolute discounting, for one class or for all."""
+
+    def __init__(self, n: int, v: int, once: int, twice: int):
+        self.n, self.v = n, v
+        self.discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+
+    def share(self, c: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities from counts c, with the discounts spread by the probabilities below."""
+        if not self.n:
+            return below
+        return np.maximum(c - self.discount, 0) / self.n + self.discount * self.v / self.n * below
+
+
+def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0, alpha: float = 0.1, heavy: int = HEAVY, classes: int = 6) -> DataFrame:
+    """A row for each row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod folds is held_out are not learned from; a null doc_id counts as 0. A text's tokens are its words
     and one end, so null and empty texts have one token. base_score is the log10 probability under counts smoothed by alpha,
-    score under the lattice model. Repeated rows are scored (and, in training, counted) one by one; an empty table gives an empty result.
+    score under the lattice model; lang only sorts training rows into classes (the most frequent languages, one class for the rest and nulls).
+    Repeated rows are scored (and, in training, counted) one by one; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     fold = crc_mod(F.col("doc_id"), folds)
-    rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"), (fold != held_out).alias("train"))
-    words = stored(lexicon(rows), "lexicon")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
-    ends = rows.where("train").count()
-    n, v = sums.c + ends, sums.v + (ends > 0)
-    lattice = docs.sparkSession.sparkContext.broadcast(trained(words, model_path, ends))
-    unseen = min(0.5, max(1e-6, sums.once / max(1, n)))
+    lang = F.coalesce("lang", F.lit(""))
+    common = [r.lang for r in docs.where(fold != held_out).groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(classes - 1).collect()]
+    place = F.lit(len(common))
+    for k, name in enumerate(common):
+        place = F.when(lang == name, k).otherwise(place)
+    size = len(common) + 1
+    rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"), F.when(fold != held_out, place).otherwise(-1).alias("class"))
+    columns = [f"c{k}" for k in range(size)]
+    words = stored(lexicon(rows, size).withColumn("c", sum(F.col(c) for c in columns)), "lexicon")
+    of = lambda c: [F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}"), *(F.count(F.when(x, 1)).alias(f"{k}_{c}") for k, x in (("v", F.col(c) > 0), ("once", F.col(c) == 1), ("twice", F.col(c) == 2)))]
+    sums = words.agg(*(x for c in ["c", *columns] for x in of(c)), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    held = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
+    ends = np.array([held.get(k, 0) for k in range(size)], float)
+    end = int(ends.sum())
+    n, v = sums.n_c + end, sums.v_c + (end > 0)
+    everything = Counts(n, v, sums.once_c, sums.twice_c)
+    each = [Counts(sums[f"n_{c}"] + int(e), sums[f"v_{c}"] + int(e > 0), sums[f"once_{c}"], sums[f"twice_{c}"]) for c, e in zip(columns, ends)]
+    lattice = spark.sparkContext.broadcast(trained(words.where("c > 0"), model_path))
     log_base = lambda c: np.log10((np.asarray(c, float) + alpha) / (n + alpha * (v + 1)))
 
-    def mixed(c, logs):
-        seen = (1 - unseen) * np.asarray(c, float) / max(1, n)
-        return np.log10(np.maximum(seen + unseen * np.exp(np.maximum(logs, -700)), 1e-300)) if n else np.asarray(logs) / math.log(10)
-
-    def far(c, logs):
-        """mixed, also where the lattice's probability is too small for a float."""
+    def mixed(total, by_class, logs):
+        """log10 of a token's probability in each class. Below 1e-250 the lattice's is scaled back after the sums, which are linear in it then."""
         logs = np.asarray(logs, float)
-        return np.where((logs < -600) & (np.asarray(c) == 0), (math.log(unseen) + logs) / math.log(10), mixed(c, logs))
+        low = np.minimum(logs + 575, 0)
+        back = everything.share(np.asarray(total, float), np.exp(logs - low))
+        deep = np.where(np.asarray(total) > 0, 0, low) / math.log(10)
+        return [np.log10(m.share(np.asarray(c, float), back)) + deep for m, c in zip(each, by_class)]
 
     def score_words(it):
-        for part in batches(it, ["word", "c", "t"], 500_000):
-            logs = [lattice.value.word(w.encode()) for w, _, _ in part]
-            c = [r[1] for r in part]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array(c, pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array(log_base(c)), pa.array(far(c, logs))], ["word", "c", "t", "base", "lm"])
-
-    table = stored(words.mapInArrow(score_words, "word string, c long, t long, base double, lm double"), "word-scores")
+        for part in batches(it, ["word", "t", "c", *columns], 500_000):
+            counts = np.array([r[2:] for r in part], np.int64).T
+            lm = mixed(counts[0], counts[1:], [lattice.value.word(r[0].encode()) for r in part])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()), pa.array(counts[0]), pa.array(log_base(counts[0])), *map(pa.array, lm)], ["word", "t", "c", "base", *logs_of])
+
+    logs_of = [f"lm{k}" for k in range(size)]
+    doubles = "".join(f", {c} double" for c in logs_of)
+    table = stored(words.mapInArrow(score_words, f"word string, t long, c long, base double{doubles}"), "word-scores")
     least = (sums.t + heavy) // heavy  # at most `heavy` words can have that many of sums.t tokens
-    top = table.where(F.col("t") >= least).select("word", "c", "base", "lm").toArrow()
-    end_base, end_lm = float(log_base([ends])[0]), float(far([ends], [lattice.value.end])[0])
-    shared = docs.sparkSession.sparkContext.broadcast((top["word"].to_pylist(), (top["c"].to_numpy() > 0), top["base"].to_numpy(), top["lm"].to_numpy()))
+    top = table.where(F.col("t") >= least).toArrow()
+    end_base, end_lm = float(log_base([end])[0]), np.array([float(x[0]) for x in mixed([end], ends[:, None], [-700.0])])
+    shared = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy() > 0, top["base"].to_numpy(), np.stack([top[c].to_numpy() for c in logs_of], 1)))
     key = words.stored_path
 
     def score_docs(it):
@@ -182,26 +214,30 @@ def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0,
         if key not in _TABLES:
             _TABLES.clear()
             names, known, base, lm = shared.value
-            _TABLES[key] = _Heavy((w.encode(), i) for i, w in enumerate(names)), np.append(known, False), np.append(base, 0.0), np.append(lm, 0.0)
+            _TABLES[key] = _Heavy((w.encode(), i) for i, w in enumerate(names)), np.append(known, False), np.append(base, 0.0), np.append(lm, np.zeros((1, size)), 0)
         index, known, base, lm = _TABLES[key]
         uid = TaskContext.get().partitionId() << 36
         for part in batches(it, ["doc_id", "text", "held_out"]):
             out = [[] for _ in range(9)]
-            for doc_id, text, held in part:
+            for doc_id, text, held_row in part:
                 split = tokens(text)
                 at = np.fromiter(map(index.__getitem__, split), np.int64, len(split))
                 rare = Counter([split[i] for i in np.flatnonzero(at < 0).tolist()])
-                for column, value in zip(out, (uid, doc_id, held, len(split) + 1, int(known[at].sum()) + (ends > 0), float(base[at].sum()) + end_base, float(lm[at].sum()) + end_lm, [w.decode() for w in rare], list(rare.values()))):
+                for column, value in zip(out, (uid, doc_id, held_row, len(split) + 1, int(known[at].sum()) + (end > 0), float(base[at].sum()) + end_base, lm[at].sum(0) + end_lm, [w.decode() for w in rare], list(rare.values()))):
                     column.append(value)
                 uid += 1
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "words", "times"])
 
-    shape = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, words array<string>, times array<long>"
+    shape = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm array<double>, words array<string>, times array<long>"
     scores = stored(rows.select("doc_id", "text", "held_out").mapInArrow(score_docs, shape), "doc-scores", compression="zstd")
     tail = scores.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    rare = table.where(F.col("t") < least).select("word", "c", F.col("base").alias("wb"), F.col("lm").alias("wl"))
-    extra = tail.join(rare, "word").groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("xk"), F.sum(F.col("k") * F.col("wb")).alias("xb"), F.sum(F.col("k") * F.col("wl")).alias("xl"))
+    rare = table.where(F.col("t") < least).select("word", "c", F.col("base").alias("wb"), *logs_of)
+    extra = tail.join(rare, "word").groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("xk"), F.sum(F.col("k") * F.col("wb")).alias("xb"), *(F.sum(F.col("k") * F.col(c)).alias(c) for c in logs_of))
     out = scores.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm").join(extra, "uid", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("xk")).alias("n_known"), F.lit(int(n)).alias("train_tokens"), (F.col("base") + zero("xb")).alias("base_score"), (F.col("lm") + zero("xl")).alias("score"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    weights = np.log10((ends + 1) / (ends.sum() + size))
+    by_class = [F.col("lm")[k] + zero(c) + float(weights[k]) for k, c in enumerate(logs_of)]
+    best = F.greatest(*by_class, by_class[0])
+    score = best + F.log10(sum(F.pow(F.lit(10.0), x - best) for x in by_class))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("xk", F.lit(0))).alias("n_known"), F.lit(int(n)).alias("train_tokens"), (F.col("base") + zero("xb")).alias("base_score"), score.alias("score"))
