@@ -95,5 +95,5 @@ def _decided(grouped: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """docs without exact copies: all columns of the rows that stay."""
     placed = located(docs)
-    stays = exact_groups(placed).where("kept").select("__file", "__row")
-    return placed.join(stays, ["__file", "__row"], "left_semi").drop("__file", "__row")
+    goes = stored(exact_groups(placed).where("not kept").select("__file", "__row"), "copies")
+    return placed.join(goes, ["__file", "__row"], "left_anti").select(docs.columns)
