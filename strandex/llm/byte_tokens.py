@@ -34,6 +34,7 @@ class ChunkEncoder:
             raise ValueError(f"ids of {path} don't fit into {dtype}")
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # of chunks that start a text, without a space
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,9 +73,13 @@ class ChunkEncoder:
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         known = self.cache.__getitem__
-        for (i, _, rest), head in zip(split, self._library([s[1] for s in split])):
+        if len(self.heads) > self.limit // 4:
+            self.heads.clear()
+        first = list({s[1] for s in split}.difference(self.heads))
+        self.heads.update(zip(first, self._library(first)))
+        for i, head, rest in split:
             try:
-                out[i] = head + b"".join(map(known, rest))
+                out[i] = self.heads[head] + b"".join(map(known, rest))
             except KeyError:  # dropped from the cache by this call
                 out[i] = self._library([texts[i]])[0]
         return out

@@ -31,7 +31,7 @@ CHECKSUM_FLAG = 0x80
 class FrameWriter:
     """Appends documents to an open binary stream."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         import zstandard
 
         self.out, self.table, self.ids = out, [], []
