@@ -1,3 +1,318 @@
-"""The registered queries over string graphs."""
+"""The registered queries: each applies operators to string graphs that Spark derives from the whole given tables."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import letters as L
+from ..functions.storage import shared_path, stored
+from ..operators import adjacency, analytics, index, locations, search, stats
+from ..sources import graphs
+from ..sources.graphs import StringGraph
+
+PART_K = 6  # a given depth for the graph of short nodes
+
+
+def _letters(text: str):
+    return F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^acgt]", "")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> StringGraph:
+    return graphs.document_graph(spark, sf_dir)
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> StringGraph:
+    return graphs.part_graph(spark, sf_dir)
+
+
+def _doc_pairs(spark: SparkSession, sf_dir: str) -> tuple[StringGraph, int, DataFrame]:
+    graph = _docs(spark, sf_dir).saved()
+    k = index.depth_of(graph)
+    return graph, k, index.build_pairs(graph, k)
+
+
+def _part_pairs(spark: SparkSession, sf_dir: str) -> tuple[StringGraph, DataFrame]:
+    graph = _parts(spark, sf_dir).saved()
+    return graph, stored(index.build_pairs(graph, PART_K), "pairs")
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).nodes.select("node_id", "len", F.md5("seg").alias("seg_md5"))
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _docs(spark, sf_dir)
+    return adjacency.forward_edges(g).withColumn("way", F.lit("forward")).union(adjacency.reverse_edges(g).withColumn("way", F.lit("reverse")))
+
+
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = adjacency.graph_stats(_docs(spark, sf_dir))
+    return s.select("*", L.human(F.col("num_locations")).alias("shown"), F.expr("cast(ceil((length(bin(num_locations)) - 1) / 2) as int)").alias("depth"))
+
+
+def graph_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = locations.letters(graphs.located(_docs(spark, sf_dir).nodes))
+    return each.groupBy("letter").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"), F.max("loc").alias("last"))
+
+
+def graph_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.located(_docs(spark, sf_dir).nodes).select("node_id", "node_start", "len")
+
+
+def location_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = stored(graphs.located(_docs(spark, sf_dir).nodes), "located")
+    locs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") * 31).alias("loc")).distinct()
+    return locations.compress(locations.expand(locs, nodes), nodes.select("node_id", "node_start")).select("loc", "node_id", "pos")
+
+
+def graph_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _docs(spark, sf_dir).reverse_complement()
+    out = adjacency.forward_from(g).select("node_id", F.array_join(F.transform("successors", lambda x: x.cast("string")), ",").alias("successors"))
+    last = locations.reverse_place(g.nodes.select("node_id", F.lit(0).alias("pos")), g.nodes).select("node_id", F.col("pos").alias("last"))
+    return g.nodes.select("node_id", "seg_id", "len", F.md5("seg").alias("seg_md5")).join(last, "node_id").join(out, "node_id", "left").withColumn("successors", F.coalesce("successors", F.lit("")))
+
+
+def graph_extends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _docs(spark, sf_dir).extended()
+    return g.nodes.select("node_id", "seg_id", "len").join(g.edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree")), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _parts(spark, sf_dir)
+    return adjacency.adjacency_dump(g).join(adjacency.forward_one(g).withColumnRenamed("next", "only"), "node_id", "left")
+
+
+def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _docs(spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("edge_id"))
+    return adjacency.edges_by_id(ids, g)
+
+
+def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "graph") + ".gfa"
+    graphs.to_gfa(_parts(spark, sf_dir)).write.text(path)
+    g = graphs.from_gfa(spark, path)
+    return g.edges.join(g.nodes.select(F.col("node_id").alias("src"), F.col("seg_id").alias("a"), F.col("seg").alias("a_seg")), "src").join(g.nodes.select(F.col("node_id").alias("dst"), F.col("seg_id").alias("b")), "dst").select("a", "a_seg", "b")
+
+
+def graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_pairs(spark, sf_dir)[2]
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build_pairs(_parts(spark, sf_dir).saved(), PART_K)
+
+
+def pairs_from_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks that begin at the first letter of every node only."""
+    g = _docs(spark, sf_dir).saved()
+    return index.build_pairs(g, index.depth_of(g), g.nodes.select("node_id", F.lit(0).alias("pos")))
+
+
+def pairs_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The builders that start at the starting points and see only what these reach."""
+    g = _parts(spark, sf_dir).saved()
+    return index.build_pairs(g, PART_K, index.reachable_places(g, analytics.starting_points(g)))
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs written as Parquet and read again, with the place of each, as the printed list has them."""
+    g, pairs = _part_pairs(spark, sf_dir)
+    placed = locations.expand(pairs, stored(graphs.located(g.nodes), "located"))
+    return placed.join(g.nodes.select("node_id", "seg_id", "len"), "node_id").select("kmer", "loc", "node_id", "seg_id", "pos", "len")
+
+
+def pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pairs = _part_pairs(spark, sf_dir)
+    w = F.col("kmer")
+    return pairs.select("kmer").distinct().select("kmer", L.code(w).alias("code"), L.level_code(w).alias("level_code"), L.push(w, F.lit("t"), PART_K).alias("pushed"), L.pop(w).alias("popped"), L.rev_comp(w).alias("rc"))
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, k, pairs = _doc_pairs(spark, sf_dir)
+    return stats.index_stats(stored(pairs, "pairs")).select("num_pairs", "num_kmers", "num_locs", F.round("ff", 9).alias("ff"), F.round(F.col("num_kmers") / stats.total_words(k), 9).alias("fill"))
+
+
+def histogram_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram_of(_doc_pairs(spark, sf_dir)[2], "kmer")
+
+
+def histogram_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram_of(_part_pairs(spark, sf_dir)[1], "loc")
+
+
+def _doc_queries(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """All words of k letters in the benchmark items."""
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(_letters("text").alias("seg")).where(F.length("seg") >= k)
+    return q.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seg") - k + 1), lambda i: F.substring("seg", i, F.lit(k)))).alias("kmer")).distinct()
+
+
+def word_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, k, pairs = _doc_pairs(spark, sf_dir)
+    return index.locations_for(_doc_queries(spark, sf_dir, k), pairs).groupBy("kmer").agg(F.count("*").alias("n"), F.min("loc").alias("first"), F.max("loc").alias("last"))
+
+
+def word_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, k, pairs = _doc_pairs(spark, sf_dir)
+    return index.contains(_doc_queries(spark, sf_dir, k), pairs, "kmer")
+
+
+def location_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pairs = _part_pairs(spark, sf_dir)
+    locs = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey").cast("long") * 7).alias("loc"))
+    return index.words_for(locs, pairs).select("loc", "kmer")
+
+
+def multimap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = index.multimap(_part_pairs(spark, sf_dir)[1])
+    return out.select("kmer", "n", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("locs"))
+
+
+def code_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pairs = _part_pairs(spark, sf_dir)
+    return index.offsets(pairs.select(L.code(F.col("kmer")).alias("code")), "code", 4**PART_K - 1)
+
+
+def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.prefixes(_part_pairs(spark, sf_dir)[1], PART_K)
+
+
+def short_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of one to seven letters from the conversations, matched in the index of the part graph."""
+    _, pairs = _part_pairs(spark, sf_dir)
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(_letters("text").alias("seg"))
+    words = t.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(PART_K + 1)), lambda i: F.left(F.col("seg"), i))).alias("kmer")).distinct()
+    return search.exact_short_match(words, pairs, PART_K)
+
+
+def match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the letters of each labelled document go along with those of the one after it."""
+    g = _docs(spark, sf_dir)
+    q = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").join(g.nodes.select(F.col("node_id").alias("doc_id"), F.col("seg").alias("query")), "doc_id").select((F.col("doc_id") + 1).alias("node_id"), F.lit(0).alias("pos"), "query")
+    return search.next_match_many(q, g.nodes).select("node_id", "matched")
+
+
+def _part_handles(spark: SparkSession, g: StringGraph, pairs: DataFrame) -> DataFrame:
+    """All prefixes of stored words, all stored words, and the last letter of each part."""
+    cols = search.trie_handle(F.col("prefix"))
+    trie = index.prefixes(pairs, PART_K).select(*cols).union(pairs.select(F.col("kmer").alias("prefix")).distinct().select(*cols))
+    return stored(trie.union(g.nodes.select(*search.graph_handle(F.col("node_id"), F.col("len") - 1))), "handles")
+
+
+def edit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, pairs = _part_pairs(spark, sf_dir)
+    handles = _part_handles(spark, g, pairs)
+    e = search.edit_edges(handles, g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
+    return e.groupBy("src_kind", "dst_kind", "op", "letter").agg(F.count("*").alias("n"), F.sum(F.coalesce("dst_node", F.lit(0))).alias("nodes"), F.sum(F.coalesce("dst_pos", F.lit(0))).alias("places"))
+
+
+def previous_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, pairs = _part_pairs(spark, sf_dir)
+    at = g.nodes.select(*search.graph_handle(F.col("node_id"), F.lit(0)))
+    back = search.previous_in_graph(at, g).groupBy("src_node").agg(F.count("*").alias("n_graph"), F.sum("pos").alias("sum_pos"))
+    trie = search.previous_in_trie(at, pairs, graphs.located(g.nodes)).groupBy("src_node").agg(F.count("*").alias("n_trie"), F.min("kmer").alias("first_word"))
+    return back.join(trie, "src_node", "full").select("src_node", "n_graph", "sum_pos", "n_trie", "first_word")
+
+
+def parent_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, pairs = _part_pairs(spark, sf_dir)
+    return search.up_trie(_part_handles(spark, g, pairs)).groupBy("kind", "up_kind", "up_kmer").agg(F.count("*").alias("n"))
+
+
+def match_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles that exact matches reach from the root in at most one step more than a word has letters."""
+    g, pairs = _part_pairs(spark, sf_dir)
+    reach = search.match_reach(g, stored(graphs.located(g.nodes), "located"), pairs, PART_K, PART_K + 1)
+    return reach.groupBy("step", "kind").agg(F.count("*").alias("n"))
+
+
+def node_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _parts(spark, sf_dir).saved()
+    return search.node_levels(g, g.nodes.agg(F.min("node_id").alias("node_id")))
+
+
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.components(_docs(spark, sf_dir).saved())
+
+
+def starting_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.starting_points(_parts(spark, sf_dir).saved())
+
+
+def top_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.top_order(_docs(spark, sf_dir).saved())
+
+
+def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _docs(spark, sf_dir).saved()
+    return analytics.back_edges(g, stored(analytics.top_order(g), "order"))
+
+
+def complexity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _parts(spark, sf_dir).saved()
+    return analytics.complexity(g, stored(analytics.top_order(g), "order"), PART_K)
+
+
+def complexity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose bound is below the number of words that really reach their first letter: none."""
+    g, pairs = _part_pairs(spark, sf_dir)
+    nodes = graphs.located(g.nodes)
+    real = pairs.join(nodes.select("node_id", F.col("node_start").alias("loc")), "loc").groupBy("node_id").agg(F.countDistinct("kmer").alias("words"))
+    bound = analytics.complexity(g, stored(analytics.top_order(g), "order"), PART_K)
+    return real.join(bound, "node_id").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("starts") < F.col("words"), 1)).alias("too_low"))
+
+
+def sparse_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _docs(spark, sf_dir).saved()
+    return analytics.sparse_starts(g, 64, analytics.starting_points(g))
+
+
+def complexity_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions around the documents with fewer letters than words have."""
+    g = _docs(spark, sf_dir).saved()
+    k = 64
+    return analytics.complexity_regions(g, g.nodes.where(F.col("len") < k).select("node_id"), k)
+
+
+def region_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations inside and outside the regions; together all, none twice."""
+    g = _docs(spark, sf_dir).saved()
+    k = 64
+    inside, rest = analytics.region_starts(g, stored(analytics.complexity_regions(g, g.nodes.where(F.col("len") < k).select("node_id"), k), "regions"), k)
+    both = inside.withColumn("part", F.lit("inside")).union(rest.withColumn("part", F.lit("outside")))
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+def cut_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words cut short where a start has many paths."""
+    return index.cut_pairs(_parts(spark, sf_dir).saved(), PART_K, 128)
+
+
+def hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full words outside the regions of short documents, words with an early cut inside them."""
+    g = _docs(spark, sf_dir).saved()
+    k = index.depth_of(g)
+    seeds = g.nodes.where(F.col("len") < k).select("node_id")
+    inside, rest = analytics.region_starts(g, stored(analytics.complexity_regions(g, seeds, k), "regions"), k)
+    return index.merged(index.build_pairs(g, k, stored(rest, "starts")), index.cut_pairs(g, k, 128, stored(inside, "starts")))
+
+
+def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of an index over the document graph, per choice of depth."""
+    n = int(_docs(spark, sf_dir).nodes.agg(F.sum("len")).first()[0])
+    rows = [(r, int(e["k"]), int(e["pairs"]), int(e["words"]), int(e["bits"])) for r in (0, 1, 2) for e in [stats.size_estimate(n, relative=r)]]
+    return spark.createDataFrame(rows, "relative int, k int, pairs long, words long, bits int")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        graph_nodes, graph_edges, graph_stats, graph_letters, graph_locations, location_expand, graph_revcomp, graph_extends, graph_adjacency, edge_lookup, gfa_round_trip,
+        graph_pairs, part_pairs, pairs_from_starts, pairs_reachable, saved_index, pair_codes, index_stats, histogram_kmers, histogram_locs, word_lookup, word_contains,
+        location_lookup, multimap_words, code_offsets, word_prefixes, short_match, match_many, edit_edges, previous_handles, parent_handles, match_reach, node_levels,
+        connected_components, starting_points, top_order, back_edges, complexity_bounds, complexity_check, sparse_starts, complexity_regions, region_cover, cut_pairs, hybrid_pairs, size_estimate,
+    )
+}

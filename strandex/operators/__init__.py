@@ -1 +1 @@
-
+"""Operators over string graphs."""
