@@ -14,12 +14,14 @@ from itertools import islice
 
 import numpy as np
 
+#: Marks at a chunk's end are a match of their own behind a letter or digit, so word and marks have their own ids.
+_MARKS = ".,!?;:*&%$#|"
 #: A space that has white space before it and white space or the end behind it.
 _UNCLEAN = re.compile(r"\s (?:\s|\Z)")
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 600_000):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,8 +45,17 @@ class ChunkEncoder:
         """Put the ids of " " + chunk into the cache."""
         if len(self.cache) > self.limit:  # the oldest entries are mostly the frequent ones
             self.cache = dict(islice(self.cache.items(), self.limit // 2))
-        plain = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
-        single = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
+        plain, single, made = [], [], []
+        for c in chunks:
+            core = c.rstrip(_MARKS)
+            if core is not c and core and core[-1].isalnum() and not core[0].isspace():
+                made.append((c, core, c[len(core) :]))
+            elif c and c.strip() == c:
+                plain.append(c)
+            else:
+                single.append(c)
+        known = self.cache
+        plain = list(dict.fromkeys(plain + [core for _, core, _ in made if core not in known]))
         groups = [plain[i : i + joined] for i in range(0, len(plain), joined)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
@@ -55,6 +66,9 @@ class ChunkEncoder:
             data, at = ids.tobytes(), at.tolist()
             self.cache.update((c, data[x:y]) for c, x, y in zip(group, at, [*at[1:], len(data)]))
         self.cache.update(zip(single, self._library([" " + c for c in single])))
+        tails = list({t for _, _, t in made}.difference(self.heads))
+        self.heads.update(zip(tails, self._library(tails)))
+        self.cache.update([(c, self.cache[core] + self.heads[t]) for c, core, t in made])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
