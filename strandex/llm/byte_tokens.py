@@ -14,6 +14,8 @@ from itertools import islice
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Marks at a chunk's end are a match of their own behind a letter or digit, so word and marks have their own ids.
 _MARKS = ".,!?;:*&%$#|"
 #: A space that has white space before it and white space or the end behind it.
@@ -21,7 +23,7 @@ _UNCLEAN = re.compile(r"\s (?:\s|\Z)")
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 1_200_000):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -99,11 +101,6 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = ChunkEncoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    return worker_cache("encoder", (path, dtype), lambda: ChunkEncoder(path, dtype))

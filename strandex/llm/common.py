@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_WORKER: dict[tuple, object] = {}
+
+
+def worker_cache(name: str, key, make):
+    """make(), kept from task to task in a Python worker. A worker keeps one such object: asking for another drops it, so one
+    operator's cache, whose size is bounded, is all that a reused worker holds."""
+    if (name, key) not in _WORKER:
+        _WORKER.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _WORKER[name, key] = make()
+    return _WORKER[name, key]
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, worker_cache
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -68,9 +68,6 @@ class Automaton:
         return n, hit, items, spans
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
 def _patterns(benchmark: DataFrame, size: int, max_benchmark_bytes: int):
     """A broadcast of all patterns, and a key for it; the size of the texts is checked first."""
     items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
@@ -84,10 +81,7 @@ def _patterns(benchmark: DataFrame, size: int, max_benchmark_bytes: int):
 
 def _machine(shared, key: str) -> Automaton:
     """One automaton for each Python worker, kept from task to task."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(shared.value)
-    return _BUILT[key]
+    return worker_cache("automaton", key, lambda: Automaton(shared.value))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_benchmark_bytes: int = 32 << 20) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod, stored
+from .common import batches, crc_mod, stored, worker_cache
 
 HEAVY = 300_000
 MARK = "▁"
@@ -138,9 +138,6 @@ class _Heavy(dict):
         return -1
 
 
-_TABLES: dict[str, tuple] = {}
-
-
 class Counts:
     """What training has counted: n tokens, v distinct ones, and the discount of absolute discounting, for one class or for all."""
 
@@ -211,11 +208,11 @@ def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0,
     def score_docs(it):
         from pyspark import TaskContext
 
-        if key not in _TABLES:
-            _TABLES.clear()
+        def unpacked():
             names, known, base, lm = shared.value
-            _TABLES[key] = _Heavy((w.encode(), i) for i, w in enumerate(names)), np.append(known, False), np.append(base, 0.0), np.append(lm, np.zeros((1, size)), 0)
-        index, known, base, lm = _TABLES[key]
+            return _Heavy((w.encode(), i) for i, w in enumerate(names)), np.append(known, False), np.append(base, 0.0), np.append(lm, np.zeros((1, size)), 0)
+
+        index, known, base, lm = worker_cache("heavy words", key, unpacked)
         uid = TaskContext.get().partitionId() << 36
         for part in batches(it, ["doc_id", "text", "held_out"]):
             out = [[] for _ in range(9)]

@@ -16,7 +16,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, worker_cache
 
 #: Unicode White_Space, which is what the normaliser's \\s means; it becomes one space and tokens never cross it.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -116,16 +116,11 @@ class PairCounter:
         return total
 
 
-_COUNTERS: dict[str, PairCounter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text): whole texts, null is empty, repeated rows stay apart."""
 
     def count(it):
-        if tokenizer_path not in _COUNTERS:
-            _COUNTERS[tokenizer_path] = PairCounter(tokenizer_path)
-        counter = _COUNTERS[tokenizer_path]
+        counter = worker_cache("pair counts", tokenizer_path, lambda: PairCounter(tokenizer_path))
         for rows in batches(it, ["doc_id", "text"]):
             n = [counter.count(t or "") for _, t in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len((r[1] or "").encode("utf-8", "replace")) for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod
+from .common import batches, crc_mod, worker_cache
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -156,6 +156,7 @@ def good_documents(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def keep(it):
+        worker_cache("quality", "", object)  # the classifier needs no cache; other operators' go
         for batch in it:
             texts = [t.as_py() or "" for t in batch.column(batch.schema.get_field_index("text"))]
             s = shared.value.score(np.array([statistics(t) for t in texts]).reshape(len(texts), FEATURES))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod, stored
+from .common import batches, crc_mod, stored, worker_cache
 
 SPAN = 5
 DECAY = 0.6
@@ -164,9 +164,6 @@ class WordCache:
         return out
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, rounds: int = 60) -> np.ndarray:
     """Squared-hinge linear SVM by Newton steps; the last weight is the constant. y in {-1, 1}."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -280,10 +277,7 @@ def scored(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, thr
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(it):
-        if key not in _CACHES:
-            _CACHES.clear()
-            _CACHES[key] = WordCache(shared.value)
-        cache = _CACHES[key]
+        cache = worker_cache("toxic words", key, lambda: WordCache(shared.value))
         for rows in batches(it, ["doc_id", "text", "held_out"]):
             s = cache.model.score(cache.tops([r[1] or "" for r in rows]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
