@@ -82,7 +82,7 @@ def graph_extends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _parts(spark, sf_dir)
-    return adjacency.adjacency_dump(g).join(adjacency.forward_one(g).withColumnRenamed("next", "only"), "node_id", "left")
+    return adjacency.adjacency_dump(g).join(adjacency.forward_one(g).withColumnRenamed("next", "onward"), "node_id", "left")
 
 
 def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,123 @@
-"""DuckDB SQL for the registered queries over string graphs."""
+"""DuckDB SQL for the registered queries over string graphs, on the same tables."""
 
-ORACLE_SQL = {}
+from __future__ import annotations
+
+PART_K = 6
+
+#: The document graph: n (node_id, seg, len), e (edge_id, src, dst), p (n with node_start).
+DOCS = r"""
+n AS (SELECT doc_id AS node_id, CAST(doc_id AS VARCHAR) AS seg_id, seg, CAST(length(seg) AS INT) AS len
+      FROM (SELECT doc_id, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seg FROM documents) WHERE seg <> ''),
+e AS (SELECT src * 6 + kind * 2 AS edge_id, src, src + step AS dst FROM (
+        SELECT node_id AS src, 0 AS kind, 1 AS step FROM n UNION ALL SELECT node_id, 1, 2 FROM n WHERE node_id % 3 = 0 UNION ALL SELECT node_id, 2, -5 FROM n WHERE node_id % 50 = 49)
+      WHERE src + step IN (SELECT node_id FROM n)),
+p AS (SELECT *, CAST(coalesce(sum(len) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS node_start FROM n),
+size AS (SELECT CAST(sum(len) AS BIGINT) AS l FROM n),
+depth AS (SELECT CAST(ceil(floor(log2(l)) / 2) AS INT) AS k FROM size)
+"""
+
+#: The part graph, in the same form.
+PARTS = rf"""
+n AS (SELECT p_partkey AS node_id, 'part' || p_partkey AS seg_id, seg, CAST(length(seg) AS INT) AS len
+      FROM (SELECT p_partkey, translate(to_base(p_partkey, 4), '0123', 'acgt') AS seg FROM part)),
+e AS (SELECT (src * 10000000 + dst) * 2 AS edge_id, src, dst FROM (
+        SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)
+      WHERE src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n)),
+p AS (SELECT *, CAST(coalesce(sum(len) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS node_start FROM n),
+depth AS (SELECT {PART_K} AS k)
+"""
+
+#: Walks from places (node_id, pos) named in st: pairs (kmer, loc).
+WALK = """
+inner_words AS (SELECT substr(seg, pos + 1, k) AS kmer, node_start + pos + k AS loc FROM st JOIN p USING (node_id), depth WHERE pos + k < len),
+walk(node_id, pre) AS (
+  SELECT node_id, substr(seg, pos + 1, k) FROM st JOIN p USING (node_id), depth WHERE pos + k >= len
+  UNION
+  SELECT e.dst, left(w.pre || d.seg, k) FROM walk w JOIN e ON w.node_id = e.src JOIN n d ON e.dst = d.node_id, depth WHERE k - length(w.pre) >= d.len),
+outer_words AS (SELECT left(w.pre || d.seg, k) AS kmer, d.node_start + k - length(w.pre) AS loc FROM walk w JOIN e ON w.node_id = e.src JOIN p d ON e.dst = d.node_id, depth WHERE k - length(w.pre) < d.len),
+pairs AS (SELECT kmer, loc FROM inner_words UNION SELECT kmer, loc FROM outer_words)
+"""
+
+EVERYWHERE = "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n)"
+PREFIX = "prefixes AS (SELECT DISTINCT left(kmer, d) AS prefix, CAST(d AS INT) AS depth FROM (SELECT kmer, unnest(range(k)) AS d FROM pairs, depth))"
+REACH = "lev(node_id) AS (SELECT node_id FROM begin UNION SELECT e.dst FROM lev JOIN e ON lev.node_id = e.src)"
+LINKS = "und AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"
+SPREAD = "spread(root, node_id) AS (SELECT node_id, node_id FROM n UNION SELECT s.root, u.b FROM spread s JOIN und u ON s.node_id = u.a WHERE s.root < u.b)"
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+DOC_PAIRS = _with(DOCS, EVERYWHERE, WALK)
+PART_PAIRS = _with(PARTS, EVERYWHERE, WALK)
+#: Sources, and the smallest node of each component without one; the part graph's components come from labels that shrink to the minimum.
+BEGIN = "src0 AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT dst FROM e)), fed(node_id) AS (SELECT node_id FROM src0 UNION SELECT u.b FROM fed JOIN und u ON fed.node_id = u.a)"
+STARTS = BEGIN + ", fresh AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT node_id FROM fed)), near(root, node_id) AS (SELECT min(node_id), min(node_id) FROM fresh UNION SELECT r.root, u.b FROM near r JOIN und u ON r.node_id = u.a), lone AS (SELECT f.node_id FROM fresh f WHERE f.node_id NOT IN (SELECT a FROM und)), begin AS (SELECT node_id, 'source' AS kind FROM src0 UNION ALL SELECT min(node_id), 'cycle' FROM fresh HAVING min(node_id) IS NOT NULL)"
+ALPHABET = "alpha(letter) AS (VALUES ('a'), ('c'), ('g'), ('t'), ('n'))"
+HANDLES = """
+known AS (SELECT prefix AS kmer FROM prefixes UNION SELECT kmer FROM pairs),
+handles AS (SELECT 'trie' AS kind, kmer, CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS pos FROM known UNION ALL SELECT 'graph', NULL, node_id, len - 1 FROM n)
+"""
+EDITS = """
+child AS (SELECT kmer AS child, left(kmer, length(kmer) - 1) AS kmer, right(kmer, 1) AS actual FROM known WHERE kmer <> ''),
+place AS (SELECT 'graph' AS src_kind, node_id, pos FROM handles WHERE kind = 'graph'
+          UNION ALL SELECT 'trie', p.node_id, r.loc - p.node_start FROM pairs r JOIN p ON r.loc >= p.node_start AND r.loc < p.node_start + p.len),
+move AS (SELECT src_kind, node_id AS dst_node, pos + 1 AS dst_pos, substr(seg, pos + 1, 1) AS actual FROM place JOIN n USING (node_id) WHERE pos + 1 < len
+         UNION ALL SELECT src_kind, e.dst, 0, substr(seg, pos + 1, 1) FROM place JOIN n USING (node_id) JOIN e ON e.src = node_id WHERE pos + 1 >= len),
+edits AS (
+  SELECT src_kind, 'graph' AS dst_kind, CASE WHEN letter = actual THEN 'MATCH' ELSE 'SUB' END AS op, letter, dst_node, dst_pos FROM move, alpha
+  UNION ALL SELECT src_kind, 'graph', 'DEL', 'E', dst_node, dst_pos FROM move
+  UNION ALL SELECT src_kind, 'graph', 'INS', letter, node_id, pos FROM place, alpha
+  UNION ALL SELECT 'trie', 'trie', CASE WHEN letter = actual THEN 'MATCH' ELSE 'SUB' END, letter, NULL, NULL FROM child, alpha
+  UNION ALL SELECT 'trie', 'trie', 'DEL', 'E', NULL, NULL FROM child
+  UNION ALL SELECT 'trie', 'trie', 'INS', letter, NULL, NULL FROM known, alpha, depth WHERE length(kmer) < k)
+"""
+HISTOGRAM = """
+h AS (SELECT CAST(floor(log2(c)) AS INT) AS bin, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM c GROUP BY 1)
+SELECT bin, n, total, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cum_n, CAST(sum(total) OVER (ORDER BY bin) AS BIGINT) AS cum_total FROM h
+"""
+WORDS = "q AS (SELECT DISTINCT substr(seg, CAST(i AS INT), k) AS kmer FROM (SELECT seg, k, unnest(range(1, length(seg) - k + 2)) AS i FROM (SELECT regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seg FROM benchmark), depth WHERE length(seg) >= k))"
+REGION = "short AS (SELECT node_id FROM n WHERE len < 64), se AS (SELECT src AS a, dst AS b FROM e WHERE src IN (FROM short) AND dst IN (FROM short)), su AS (SELECT a, b FROM se UNION SELECT b, a FROM se), sp(root, node_id) AS (SELECT node_id, node_id FROM short UNION SELECT sp.root, su.b FROM sp JOIN su ON sp.node_id = su.a), internal AS (SELECT min(root) AS root, node_id FROM sp GROUP BY node_id), regions AS (SELECT root, node_id, 'internal' AS role FROM internal UNION SELECT root, e.src, 'incoming' FROM internal i JOIN e ON e.dst = i.node_id WHERE e.src NOT IN (FROM short) UNION SELECT root, e.dst, 'outgoing' FROM internal i JOIN e ON e.src = i.node_id WHERE e.dst NOT IN (FROM short))"
+
+ORACLE_SQL: dict[str, str] = {
+    "graph_nodes": _with(DOCS) + "SELECT node_id, len, md5(seg) AS seg_md5 FROM n",
+    "graph_edges": _with(DOCS) + "SELECT edge_id, src, dst, 'forward' AS way FROM e UNION ALL SELECT edge_id + 1, dst, src, 'reverse' FROM e",
+    "graph_stats": _with(DOCS) + """SELECT (SELECT count(*) FROM n) AS num_nodes, 2 * (SELECT count(*) FROM e) AS num_edges, l AS num_locations,
+        CASE WHEN l < 1000 THEN CAST(l AS VARCHAR) WHEN l < 10000 THEN printf('%d.%02dk', l // 1000, l % 1000 // 10) WHEN l < 100000 THEN printf('%d.%dk', l // 1000, l % 1000 // 100) WHEN l < 1000000 THEN printf('%dk', l // 1000)
+             WHEN l < 10000000 THEN printf('%d.%02dm', l // 1000000, l % 1000000 // 10000) WHEN l < 100000000 THEN printf('%d.%dm', l // 1000000, l % 1000000 // 100000) ELSE printf('%dm', l // 1000000) END AS shown, k AS depth FROM size, depth""",
+    "graph_letters": _with(DOCS, EVERYWHERE) + "SELECT substr(seg, pos + 1, 1) AS letter, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, max(node_start + pos) AS last FROM st JOIN p USING (node_id) GROUP BY 1",
+    "graph_locations": _with(DOCS) + "SELECT node_id, node_start, len FROM p",
+    "location_expand": _with(DOCS) + "SELECT loc, node_id, loc - node_start AS pos FROM (SELECT DISTINCT o_orderkey * 31 AS loc FROM orders) JOIN p ON loc >= node_start AND loc < node_start + len",
+    "graph_revcomp": _with(DOCS, "rn AS (SELECT node_id * 2 AS node_id, seg_id, seg, len FROM n UNION ALL SELECT node_id * 2 + 1, 'revcomp:' || seg_id, translate(reverse(seg), 'acgt', 'tgca'), len FROM n), re AS (SELECT edge_id * 2 AS edge_id, src * 2 AS src, dst * 2 AS dst FROM e UNION ALL SELECT edge_id * 2 + 2, dst * 2 + 1, src * 2 + 1 FROM e)") + "SELECT node_id, seg_id, len, md5(seg) AS seg_md5, len - 1 AS last, coalesce(s, '') AS successors FROM rn LEFT JOIN (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY edge_id DESC) AS s FROM re GROUP BY src) ON src = node_id",
+    "graph_extends": _with(DOCS, "sink AS (SELECT node_id, seg_id, row_number() OVER (ORDER BY node_id) AS r FROM n WHERE node_id NOT IN (SELECT src FROM e)), xe AS (SELECT src FROM e UNION ALL SELECT node_id FROM sink)") + "SELECT node_id, seg_id, len, coalesce(d, 0) AS degree FROM (SELECT node_id, seg_id, len FROM n UNION ALL SELECT (SELECT max(node_id) FROM n) + r, 'extend:' || seg_id, 1 FROM sink) LEFT JOIN (SELECT src, count(*) AS d FROM xe GROUP BY src) ON src = node_id",
+    "graph_adjacency": _with(PARTS) + "SELECT node_id, seg_id, coalesce(f, '') AS forward, coalesce(b, '') AS backward, onward FROM n LEFT JOIN (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY edge_id DESC) AS f, CASE WHEN count(*) = 1 THEN min(dst) END AS onward FROM e GROUP BY src) ON src = node_id LEFT JOIN (SELECT dst, string_agg(CAST(src AS VARCHAR), ',' ORDER BY edge_id DESC) AS b FROM e GROUP BY dst) d ON d.dst = node_id",
+    "edge_lookup": _with(DOCS) + "SELECT c_custkey AS edge_id, CASE WHEN c_custkey % 2 = 1 THEN dst ELSE src END AS src, CASE WHEN c_custkey % 2 = 1 THEN src ELSE dst END AS dst FROM customer JOIN e ON e.edge_id = c_custkey - c_custkey % 2",
+    "gfa_round_trip": _with(PARTS) + "SELECT a.seg_id AS a, a.seg AS a_seg, b.seg_id AS b FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst",
+    "graph_pairs": DOC_PAIRS + "SELECT kmer, loc FROM pairs",
+    "part_pairs": PART_PAIRS + "SELECT kmer, loc FROM pairs",
+    "pairs_from_starts": _with(DOCS, "st AS (SELECT node_id, 0 AS pos FROM n)", WALK) + "SELECT kmer, loc FROM pairs",
+    "pairs_reachable": _with(PARTS, LINKS, STARTS, REACH, "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n WHERE node_id IN (FROM lev))", WALK) + "SELECT kmer, loc FROM pairs",
+    "saved_index": PART_PAIRS + "SELECT kmer, loc, node_id, seg_id, loc - node_start AS pos, len FROM pairs JOIN p ON loc >= node_start AND loc < node_start + len",
+    "pair_codes": PART_PAIRS + f"SELECT kmer, code, {(4**PART_K - 1) // 3} + code AS level_code, substr(kmer, 2) || 't' AS pushed, left(kmer, {PART_K - 1}) AS popped, translate(reverse(kmer), 'acgt', 'tgca') AS rc FROM (SELECT kmer, CAST(list_sum(list_transform(range(1, {PART_K} + 1), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1) * CAST(power(4, {PART_K} - i) AS BIGINT))) AS BIGINT) AS code FROM (SELECT DISTINCT kmer FROM pairs))",
+    "index_stats": DOC_PAIRS + "SELECT count(*) AS num_pairs, count(DISTINCT kmer) AS num_kmers, count(DISTINCT loc) AS num_locs, round(count(DISTINCT kmer) / count(DISTINCT loc), 9) AS ff, round(count(DISTINCT kmer) / (SELECT power(4, k) FROM depth), 9) AS fill FROM pairs",
+    "histogram_kmers": DOC_PAIRS + ", c AS (SELECT count(*) AS c FROM pairs GROUP BY kmer)," + HISTOGRAM,
+    "histogram_locs": PART_PAIRS + ", c AS (SELECT count(*) AS c FROM pairs GROUP BY loc)," + HISTOGRAM,
+    "word_lookup": DOC_PAIRS + f", {WORDS} SELECT kmer, count(*) AS n, min(loc) AS first, max(loc) AS last FROM q JOIN pairs USING (kmer) GROUP BY kmer",
+    "word_contains": DOC_PAIRS + f", {WORDS} SELECT kmer, kmer IN (SELECT kmer FROM pairs) AS found FROM q",
+    "location_lookup": PART_PAIRS + "SELECT loc, kmer FROM pairs JOIN customer ON loc = c_custkey * 7",
+    "multimap_words": PART_PAIRS + "SELECT kmer, CAST(count(*) AS INT) AS n, string_agg(CAST(loc AS VARCHAR), ',' ORDER BY loc) AS locs FROM pairs GROUP BY kmer",
+    "code_offsets": PART_PAIRS + f", c AS (SELECT list_sum(list_transform(range(1, {PART_K} + 1), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1) * CAST(power(4, {PART_K} - i) AS BIGINT))) AS code, count(*) AS m FROM pairs GROUP BY kmer) SELECT key, CAST(sum(coalesce(m, 0)) OVER (ORDER BY key) AS BIGINT) AS \"offset\" FROM range({4**PART_K}) t(key) LEFT JOIN c ON code = key",
+    "word_prefixes": PART_PAIRS + f", {PREFIX} SELECT prefix, depth FROM prefixes",
+    "short_match": PART_PAIRS + f", {PREFIX}, q AS (SELECT DISTINCT left(seg, i) AS kmer FROM (SELECT regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seg, unnest(range({PART_K} + 2)) AS i FROM conversations)) SELECT kmer, CASE WHEN kmer IN (SELECT prefix FROM prefixes UNION SELECT kmer FROM pairs) THEN 'trie' ELSE 'invalid' END AS kind FROM q",
+    "match_many": _with(DOCS) + "SELECT b.node_id, CAST(coalesce(list_position(list_transform(range(1, least(a.len, b.len) + 1), lambda i: substr(a.seg, CAST(i AS INT), 1) = substr(b.seg, CAST(i AS INT), 1)), false) - 1, least(a.len, b.len)) AS INT) AS matched FROM labels JOIN n a ON a.node_id = doc_id JOIN n b ON b.node_id = doc_id + 1",
+    "edit_edges": _with(PARTS, EVERYWHERE, WALK, PREFIX, HANDLES, ALPHABET, EDITS) + "SELECT src_kind, dst_kind, op, letter, count(*) AS n, CAST(sum(coalesce(dst_node, 0)) AS BIGINT) AS nodes, CAST(sum(coalesce(dst_pos, 0)) AS BIGINT) AS places FROM edits GROUP BY 1, 2, 3, 4",
+    "previous_handles": PART_PAIRS + ", g AS (SELECT e.dst AS src_node, count(*) AS n_graph, CAST(sum(len - 1) AS BIGINT) AS sum_pos FROM e JOIN n ON n.node_id = e.src GROUP BY 1), t AS (SELECT node_id AS src_node, count(*) AS n_trie, min(kmer) AS first_word FROM p JOIN pairs ON loc = node_start GROUP BY 1) SELECT src_node, n_graph, sum_pos, n_trie, first_word FROM g FULL JOIN t USING (src_node)",
+    "parent_handles": _with(PARTS, EVERYWHERE, WALK, PREFIX, HANDLES) + "SELECT kind, CASE WHEN kind = 'trie' AND kmer <> '' THEN 'trie' ELSE 'invalid' END AS up_kind, CASE WHEN kind = 'trie' AND kmer <> '' THEN left(kmer, length(kmer) - 1) END AS up_kmer, count(*) AS n FROM handles GROUP BY 1, 2, 3",
+    "match_reach": _with(PARTS, EVERYWHERE, WALK, PREFIX, "known AS (SELECT prefix AS kmer FROM prefixes UNION SELECT kmer FROM pairs)") + f"SELECT CAST(length(kmer) AS INT) AS step, 'trie' AS kind, count(*) AS n FROM known GROUP BY 1 UNION ALL SELECT {PART_K + 1}, 'graph', count(*) FROM (SELECT node_id, loc - node_start + 1 AS pos FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc >= node_start AND loc < node_start + len - 1 UNION SELECT e.dst, 0 FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc = node_start + len - 1 JOIN e ON e.src = node_id) HAVING count(*) > 0",
+    "node_levels": _with(PARTS, "lv(node_id, level) AS (SELECT min(node_id), 0 FROM n UNION SELECT e.dst, level + 1 FROM lv JOIN e ON lv.node_id = e.src WHERE level < 40)") + "SELECT node_id, min(level) AS level FROM lv GROUP BY 1",
+    "connected_components": _with(DOCS, LINKS, SPREAD, "low AS (SELECT node_id, min(root) AS root FROM spread GROUP BY 1)") + "SELECT node_id, root, dense_rank() OVER (ORDER BY root) - 1 AS comp_id FROM low",
+    "starting_points": _with(PARTS, LINKS, STARTS) + "SELECT node_id, kind FROM begin",
+    "complexity_regions": _with(DOCS, REGION) + "SELECT root, node_id, role FROM regions",
+    "region_cover": _with(DOCS, REGION, EVERYWHERE, "cut AS (SELECT n.node_id, min(CASE WHEN role = 'internal' THEN 0 WHEN role = 'incoming' THEN len - 64 ELSE len END) AS first FROM n LEFT JOIN regions USING (node_id) GROUP BY 1)") + "SELECT CASE WHEN pos >= first THEN 'inside' ELSE 'outside' END AS part, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM st JOIN cut USING (node_id) GROUP BY 1",
+}

@@ -177,7 +177,7 @@ def part_graph(spark: SparkSession, sf_dir: str) -> StringGraph:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     nodes = part.select(F.col("p_partkey").cast("long").alias("node_id"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("seg_id"), F.translate(F.conv(F.col("p_partkey").cast("string"), 10, 4), "0123", "acgt").alias("seg")).withColumn("len", F.length("seg"))
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
-    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))  # line numbers repeat in some orders
     steps = line.select(F.col("l_partkey").cast("long").alias("src"), after.cast("long").alias("dst")).where("dst is not null").distinct()
     ids = nodes.select(F.col("node_id"))
     steps = steps.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
