@@ -1 +1 @@
-
+"""Index maintenance as a stream."""
