@@ -9,6 +9,7 @@ a time, joined to short texts; each chunk holds one space, its first character,
 
 from __future__ import annotations
 
+import gc
 import re
 from itertools import islice
 
@@ -73,31 +74,39 @@ class ChunkEncoder:
         self.cache.update([(c, self.cache[core] + self.heads[t]) for c, core, t in made])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
+        """Little-endian ids of each text. No cycles arise here, so the collector needn't walk the many lists meanwhile."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        whole, split, new = [], [], set()
+        whole, split, new, known = [], [], set(), self.cache.get
         for i, text in enumerate(texts):
             if _UNCLEAN.search(text) or any(s in text for s in self.specials):
                 whole.append(i)
                 continue
             rest = text.split(" ")
-            split.append((i, rest[0], rest))
-            del rest[0]
-            new |= set(rest).difference(self.cache)
+            head = rest.pop(0)
+            ids = list(map(known, rest))  # one look-up for each chunk; the gaps are filled below
+            gaps = [k for k, v in enumerate(ids) if v is None]
+            lost = [rest[k] for k in gaps]
+            new.update(lost)
+            split.append((i, head, ids, gaps, lost))
         if new:
             self._learn(list(new))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
-        known = self.cache.__getitem__
         if len(self.heads) > self.limit // 4:
             self.heads.clear()
         first = list({s[1] for s in split}.difference(self.heads))
         self.heads.update(zip(first, self._library(first)))
-        for i, head, rest in split:
-            try:
-                out[i] = self.heads[head] + b"".join(map(known, rest))
-            except KeyError:  # dropped from the cache by this call
-                out[i] = self._library([texts[i]])[0]
+        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = ids
+        for i, head, ids, gaps, lost in split:
+            for k, c in zip(gaps, lost):
+                ids[k] = self.cache[c]
+            out[i] = self.heads[head] + b"".join(ids)
         return out
 
 
