@@ -24,7 +24,7 @@ _UNCLEAN = re.compile(r"\s (?:\s|\Z)")
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 1_000_000):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 850_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
