@@ -23,8 +23,11 @@ _MARKS = ".,!?;:*&%$#|"
 _UNCLEAN = re.compile(r"\s (?:\s|\Z)")
 
 
+CACHED = 850_000  # chunks that a worker keeps, some 160 MB
+
+
 class ChunkEncoder:
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 850_000):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,6 +113,6 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
+def encoder(path: str, dtype: str = "<u4", limit: int = CACHED) -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    return worker_cache("encoder", (path, dtype), lambda: ChunkEncoder(path, dtype))
+    return worker_cache("encoder", (path, dtype, limit), lambda: ChunkEncoder(path, dtype, limit))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .byte_tokens import encoder
+from .byte_tokens import CACHED, encoder
 from .common import batches, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
@@ -102,13 +102,13 @@ class Placement:
 TOKENS = "part int, queue string, local long, doc_id long, n_tokens long, ids binary"
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, queues: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, queues: int, cached: int = CACHED) -> DataFrame:
     """Ids of each document, with its offset among those of its queue in its partition; written to the shared folder."""
 
     def encode(it):
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer_path, "<u2"), np.array([end_id], "<u2").tobytes()
+        enc, end = encoder(tokenizer_path, "<u2", cached), np.array([end_id], "<u2").tobytes()
         part, served = TaskContext.get().partitionId(), {}
         for rows in batches(it, ["queue", "doc_id", "text"]):
             local, counts, data = [], [], []
@@ -127,15 +127,15 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, queues: int) ->
     return stored(rows.mapInArrow(encode, TOKENS), "pack-tokens", compression="zstd")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = 2048, window_sequences: int = 16, targets: dict[str, float] | None = None, queues: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = 2048, window_sequences: int = 16, targets: dict[str, float] | None = None, queues: int = 4096, cached: int = CACHED) -> DataFrame:
     """Pack docs (doc_id, text, source) into sequences of `sequence` tokens; returns a row per piece (PIECES).
 
     All sequences are full but the last, which a reader pads. A window of window_sequences sequences holds the queues in
     target proportion, each queue's documents in one run. Null text is empty (its end id is still packed), null source is the
     queue "", a null doc_id stays null, repeated rows are packed one by one. Over `queues` distinct sources, sources share queues by
-    hash: the plan that goes to the tasks has that many entries at most. An empty table gives no pieces.
+    hash: the plan that goes to the tasks has that many entries at most. cached bounds each worker's cache of token ids: fewer save memory and cost time. An empty table gives no pieces.
     """
-    tokens = tokenized(docs, tokenizer_path, end_id, queues)
+    tokens = tokenized(docs, tokenizer_path, end_id, queues, cached)
     shares = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(shares.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-bases")
