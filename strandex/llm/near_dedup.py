@@ -9,7 +9,10 @@
 4. Members of large regions get a long signature. A large region first gives a spanning forest of its pairs of highest estimated similarity.
    Its links join most of its members; a second pass gives every pair between members that are still apart and whose estimate
    is at most 3.5 standard deviations below the threshold.
-5. Candidates are confirmed on full sets. Components over the confirmed links come from alternating stars.
+5. Rows of one prefix that lie in several regions or partitions are a cut run. Cut runs that share documents are one cluster; each of its
+   documents outside the cluster's largest component is compared with all others that are still apart, in blocks of both sides. So a cut
+   loses no pair; the cost is the number of documents outside times the cluster's size.
+6. Candidates are confirmed on full sets. Components over the confirmed links come from alternating stars.
 
 A link of similarity s is missed with a chance of about (1 - s**DEPTH) ** TREES: 8e-7 at 0.85, 7e-5 at 0.8, less above.
 """
@@ -31,6 +34,7 @@ TREES, DEPTH, REST = 24, 5, 6
 HASHES = TREES * DEPTH
 LONG = 1024  # values of the long signatures, of which the low 8 bits are kept
 SMALL, BLOCK = 8, 384
+SIDE = 2048  # rows of a block's side where cut runs are compared
 FILTER_BITS = 1 << 25  # 4 MiB on the driver and in each task, whatever the input
 _RNG = np.random.default_rng(20_240_229)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -122,44 +126,48 @@ def _agree(x: bytes, y: bytes) -> int:
 
 
 def _regions(ratio: float):
-    """Walk a sorted partition. kind 0: candidate pair a, b; 1: a is in the large region; 2: a stands at a partition's edge."""
+    """Walk a sorted partition. kind 0: candidate pair a, b; 1: a is in the large region; 2: a stands at a partition's edge; 3: a is in a small
+    region that was cut off a large one."""
 
     def walk(it):
         from pyspark import TaskContext
 
         part, out = TaskContext.get().partitionId(), []
 
-        def flush(tree, prefix, rows, edge):
-            if len(rows) > SMALL:
+        def flush(tree, prefix, rows, edge, was_cut):
+            if len(rows) > SMALL or was_cut:
                 name = uuid.uuid5(uuid.NAMESPACE_OID, f"{part} {tree} {prefix} {rows[0][1]} {len(rows)}").hex
+            if len(rows) > SMALL:
                 out.extend((1, tree, prefix, name, a, na, None, None) for _, a, na in rows)
             else:
                 for i, (_, a, na) in enumerate(rows):
                     out.extend((0, None, None, None, a, na, b, nb) for _, b, nb in rows[:i] if a != b and min(na, nb) >= ratio * max(na, nb))
+                if was_cut:
+                    out.extend((3, tree, prefix, name, a, na, None, None) for _, a, na in rows)
             if edge:
                 out.extend((2, tree, prefix, str(part), a, na, None, None) for _, a, na in (rows if len(rows) <= SMALL else [rows[0], rows[-1]]))
 
-        key, rows, first = None, [], True
+        key, rows, first, was_cut = None, [], True, False
         for batch in it:
             for tree, prefix, rest, node, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if key != (tree, prefix):
-                    if rows and (len(rows) > 1 or first):
-                        flush(*key, rows, first)
+                    if rows and (len(rows) > 1 or first or was_cut):
+                        flush(*key, rows, first, was_cut)
                     first = first and key is None
-                    key, rows = (tree, prefix), []
+                    key, rows, was_cut = (tree, prefix), [], False
                 elif len(rows) >= BLOCK:
                     depth = [_agree(rows[k - 1][0], rows[k][0]) for k in range(BLOCK // 2, len(rows))]
                     cut = BLOCK // 2 + depth.index(min(depth))
                     x, y = rows[cut - 1], rows[cut]
                     out.append((0, None, None, None, x[1], x[2], y[1], y[2]))
-                    flush(*key, rows[:cut], first)
-                    rows = rows[cut:]
+                    flush(*key, rows[:cut], first, True)
+                    rows, was_cut = rows[cut:], True
                 rows.append((rest, node, n))
             if len(out) > 20_000:
                 yield _batch(out)
                 out.clear()
         if rows:
-            flush(*key, rows, True)
+            flush(*key, rows, True, was_cut)
         if out:
             yield _batch(out)
 
@@ -226,6 +234,51 @@ def _apart(block, ratio: float, least: float):
     return pd.DataFrame({"a": ids[i[own]], "b": ids[j[own]]}, dtype="int64")
 
 
+def _cut_runs(found: DataFrame) -> DataFrame:
+    """node, head (smallest node of the run) for all rows of runs that lie in several regions, or beyond the two partitions whose edges are joined."""
+    rows = found.where("kind > 0").select("tree", "prefix", "kind", "region", F.col("a").alias("node"))
+    region, part = F.when(F.col("kind") != 2, F.col("region")), F.when(F.col("kind") == 2, F.col("region").cast("int"))
+    runs = rows.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.min(region).alias("r"), F.max(region).alias("r2"), F.min(part).alias("p"), F.max(part).alias("p2"))
+    cut = runs.where("r < r2 or (r is not null and p < p2) or p2 - p > 1").select("tree", "prefix", "head")
+    return rows.join(cut, ["tree", "prefix"]).select("node", "head").distinct()
+
+
+def _blocks(wide: DataFrame) -> DataFrame:
+    """wide (cluster, node, n, sig, component) dealt to blocks (cluster, i, j): rows outside the cluster's largest component ask, all rows answer."""
+    sizes = wide.groupBy("cluster", "component").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("cluster").agg(F.sum("c").alias("all"), F.max("c").alias("c"), F.max_by("component", F.struct("c", "component")).alias("largest"))
+    parts = stored(most.where("c < all").select("cluster", "largest", F.ceil((F.col("all") - F.col("c")) / SIDE).cast("int").alias("asking"), F.ceil(F.col("all") / SIDE).cast("int").alias("answering")), "clusters")
+    at = wide.join(parts, "cluster").withColumn("h", F.xxhash64("node"))
+    deal = lambda own, other: (F.pmod("h", own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    (i, to_j), (j, to_i) = deal("asking", "answering"), deal("answering", "asking")
+    shape = ["cluster", "i", "j", "asks", "node", "n", "component", "sig"]
+    asks = at.where("component <> largest").withColumn("i", i).withColumn("j", to_j).withColumn("asks", F.lit(True)).select(shape)
+    return asks.union(at.withColumn("j", j).withColumn("i", to_i).withColumn("asks", F.lit(False)).select(shape))
+
+
+def _sketch(sig: bytes) -> bytes:
+    """The low two bits of each value of a long signature, as two planes of bits."""
+    values = np.frombuffer(sig, np.uint8)
+    return np.packbits([values & 1, values >> 1 & 1]).tobytes()
+
+
+def _across(block, ratio: float):
+    """All pairs of a row that asks and one that answers in different components, by their sketches, up to 3.5 standard deviations below."""
+    import pandas as pd
+
+    chance = 1 - (1 - ratio) * 0.75  # low two bits agree by chance once in four
+    most = LONG * ((1 - chance) + 3.5 * math.sqrt(chance * (1 - chance) / LONG))
+    (x, low_x), (y, low_y) = ((b, np.frombuffer(b"".join(b["sig"]), np.uint64).reshape(len(b), 2, LONG // 64)) for b in (block[block["asks"]], block[~block["asks"]]))
+    n, component, ids, out = y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy(), []
+    planes = [np.ascontiguousarray(low_y[:, k]) for k in (0, 1)]
+    for node, size, own, sig in zip(x["node"].tolist(), x["n"].tolist(), x["component"].tolist(), low_x):
+        at = np.flatnonzero((component != own) & (np.minimum(n, size) >= ratio * np.maximum(n, size)))
+        differ = np.bitwise_count((planes[0][at] ^ sig[0]) | (planes[1][at] ^ sig[1])).sum(1, dtype=np.int32)
+        near = ids[at[differ <= most]]
+        out.append(pd.DataFrame({"a": np.full(len(near), node), "b": near}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
 def _of_texts(nodes: DataFrame, docs: DataFrame, made, shape: str) -> DataFrame:
     """node and made(text) for the documents whose ids are in nodes (node), and few others. Only their texts are worked on.
 
@@ -283,8 +336,11 @@ def near_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 1
     crossing = edge.join(early, ["tree", "prefix"]).select("a", "b")
     inside = found.where("kind = 1").select("region", F.col("a").alias("node"), F.col("na").alias("n"))
     candidates, shape, crowded = found.where("kind = 0").select("a", "b").union(crossing), "a long, b long", not inside.isEmpty()
+    runs = stored(_cut_runs(found), "runs")
+    cut = not runs.isEmpty()
+    if crowded or cut:
+        dense = stored(_of_texts(inside.select("node").union(runs.select("node")), docs, lambda text: (signature(shingle_set(text, words), _LONG_A, _LONG_B).astype(np.uint8).tobytes(),), "sig binary").dropDuplicates(["node"]), "dense")
     if crowded:
-        dense = stored(_of_texts(inside, docs, lambda text: (signature(shingle_set(text, words), _LONG_A, _LONG_B).astype(np.uint8).tobytes(),), "sig binary").dropDuplicates(["node"]), "dense")
         members = stored(inside.join(dense, "node"), "members", compression="zstd")
         candidates = candidates.union(members.groupBy("region").applyInPandas(lambda block: _forest(block, ratio, least), shape))
     pairs = stored(_pairs(candidates), "pairs")
@@ -296,7 +352,19 @@ def near_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 1
         apart = again.groupBy("region").applyInPandas(lambda block: _apart(block, ratio, least), shape)
         rest = stored(_pairs(apart).join(pairs, ["a", "b"], "left_anti"), "apart")
         if not rest.isEmpty():
-            group = stored(components(links.union(_confirmed(rest, docs, words, share)).toDF("src", "dst")), "groups")
+            links = stored(links.union(_confirmed(rest, docs, words, share)), "links")
+            group = stored(components(links.toDF("src", "dst")), "groups")
+        pairs = pairs.union(rest)
+    if cut:
+        cluster = stored(components(runs.toDF("src", "dst")).toDF("node", "cluster"), "cut")
+        sketch = F.udf(_sketch, "binary")
+        wide = cluster.join(dense.select("node", sketch("sig").alias("sig")), "node").join(reps.select("node", "n"), "node").join(group, "node", "left")
+        wide = stored(wide.withColumn("component", F.coalesce("component", "node")), "wide")
+        across = _blocks(wide).groupBy("cluster", "i", "j").applyInPandas(lambda block: _across(block, ratio), "a long, b long")
+        far = stored(_pairs(across).join(pairs, ["a", "b"], "left_anti"), "across")
+        if not far.isEmpty():
+            links = links.union(_confirmed(far, docs, words, share))
+            group = stored(components(links.toDF("src", "dst")), "groups")
     named = rows.join(classes, "set_id", "left").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     out = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

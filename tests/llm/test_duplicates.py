@@ -103,6 +103,28 @@ def test_a_large_group_beside_its_fringe(spark):
     assert near(table) == near_model(rows, 3, (85, 100))
 
 
+def isolated_pairs(n, pairs, edits):
+    """n variants of one text, each with its own `edits` words; row i + n / 2 has all but one of those of row i, for i < pairs."""
+    rng, made, rows = random.Random(5), [], []
+    for i in range(n):
+        if n // 2 <= i < n // 2 + pairs:
+            own = dict(made[i - n // 2])
+            own[next(iter(own))] = f"x{i}"
+        else:
+            own = {at: f"x{i}at{at}" for at in rng.sample(range(200), edits)}
+        made.append(own)
+        rows.append((i, " ".join(own.get(at, f"w{at}") for at in range(200))))
+    return rows
+
+
+def test_isolated_pairs_in_a_run_of_many_regions(spark):
+    """1,600 texts with mostly equal signatures, of which 200 pairs are links: the rows of a pair are far apart in a run."""
+    rows = isolated_pairs(1600, 200, 4)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near(table, 1, (985, 1000))
+    assert {i: c for i, (_, c, _) in got.items()} == {i: i - 800 if 800 <= i < 1000 else i for i in range(1600)}
+
+
 def test_one_of_each(spark):
     table = small(spark)
     model = near_model([(r.doc_id, r.text) for r in table.collect()], 5, (80, 100))
