@@ -84,8 +84,18 @@ def from_tables(nodes: DataFrame, edges: DataFrame) -> StringGraph:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line: ascending in the order of the file (its parts in turn)."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """value and line: ascending in the order of the file. Part files follow each other by number, other files of a folder by name,
+    and the splits of a file by place, in whatever order Spark reads them."""
+    from pyspark.sql.window import Window
+
+    name = F.col("_metadata.file_name")
+    split = [F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0").alias("__part"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at")]
+    keys = ["__part", "__file", "__at"]
+    rows = stored(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("__id"), *split), "lines")
+    splits = rows.groupBy(*keys).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))  # a split's ids follow each other
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per split of a file
+    starts = splits.select(*keys, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(starts, keys).select("value", (F.col("__start") + F.col("__id") - F.col("__first")).alias("line"))
 
 
 def from_gfa(spark: SparkSession, path: str, revcomp: bool = False) -> StringGraph:

@@ -117,3 +117,16 @@ def test_round_trip(spark, tmp_path):
     graphs.to_gfa(g).coalesce(1).write.text(path)
     back = graphs.from_gfa(spark, path)
     assert sorted(r.seg for r in back.nodes.collect()) == sorted(DIAMOND[0]) and [tuple(r) for r in back.edges.orderBy("edge_id").collect()] == [(2 * i, a, b) for i, (a, b) in enumerate(DIAMOND[1])]
+
+
+def test_gfa_of_several_unequal_files(spark, tmp_path):
+    """Spark reads large files first; the order of the lines is that of the files' numbers."""
+    folder = tmp_path / "parts.gfa"
+    folder.mkdir()
+    links = [f"L\ts{i % 7}\t+\ts{(i * 3 + 1) % 7}\t+\t0M\n" for i in range(500)]
+    parts = {"part-00000-x": "S\ts0\tac\nS\ts1\tg\n", "part-00001-x": "".join(f"S\ts{i}\ttt\n" for i in range(2, 7)), "part-00002-x": "".join(links[:100]), "part-99999-x": "".join(links[100:490]), "part-100000-x": "".join(links[490:])}
+    for name, text in parts.items():
+        (folder / f"{name}.txt").write_text(text)
+    g = graphs.from_gfa(spark, f"file://{folder}")
+    assert [r.seg_id for r in g.nodes.orderBy("node_id").collect()] == [f"s{i}" for i in range(7)]
+    assert [tuple(r) for r in g.edges.orderBy("edge_id").collect()] == [(2 * i, i % 7, (i * 3 + 1) % 7) for i in range(500)]
