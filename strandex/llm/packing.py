@@ -63,32 +63,41 @@ def phases(totals: dict[str, int], targets: dict[str, float] | None) -> tuple[li
 
 
 class Placement:
-    """Where the tokens of a queue lie in the output."""
+    """Where the tokens of a queue lie in the output. queues and plan are those with a target, rest is start and size of the last phase,
+    in which all others are served."""
 
-    def __init__(self, queues: list[str], plan: list[Phase], sequence: int, window: int):
+    def __init__(self, queues: list[str], plan: list[Phase], rest: tuple[int, int], sequence: int, window: int):
+        self.rest = rest
         self.index = {q: j for j, q in enumerate(queues)}
         self.plan, self.sequence, self.window = plan, sequence, window
         self.sums = [np.concatenate(([0], np.cumsum(p.gives, dtype=object))).tolist() if queues else [0] for p in plan]
 
-    def pieces(self, queue: str, a: int, n: int):
-        """(start in the document, length, output position) of tokens [a, a + n) of a queue, in order."""
-        j, done = self.index[queue], 0
-        for phase, sums in zip(self.plan, self.sums):
-            mine, lo, hi = phase.gives[j], sums[j], sums[j + 1]
-            x = a + done - phase.before[j]
+    def parts(self, queue: str, lo: int | None, hi: int | None):
+        """Start, size, tokens of the queue, of the queue before, of the queues up to it without and with it; of each phase."""
+        j = self.index.get(queue)
+        if j is None:
+            return [(*self.rest, hi - lo, 0, lo, hi)]
+        return [(p.start, p.size, p.gives[j], p.before[j], sums[j], sums[j + 1]) for p, sums in zip(self.plan, self.sums)]
+
+    def pieces(self, queue: str, a: int, n: int, lo: int | None = None, hi: int | None = None):
+        """(start in the document, length, output position) of tokens [a, a + n) of a queue, in order. lo, hi: the tokens of the queues up to
+        this one, without and with it, if it has no target."""
+        done = 0
+        for start, size, mine, before, lo, hi in self.parts(queue, lo, hi):
+            x = a + done - before
             if x >= mine or not mine:
                 continue
-            served = lambda w: min(w * self.window, phase.size) * hi // phase.size - min(w * self.window, phase.size) * lo // phase.size
-            w = x * phase.size // (mine * self.window)
+            served = lambda w: min(w * self.window, size) * hi // size - min(w * self.window, size) * lo // size
+            w = x * size // (mine * self.window)
             while served(w) > x:
                 w -= 1
             while served(w + 1) <= x:
                 w += 1
             while done < n and x < mine:
-                t0, t1 = min(w * self.window, phase.size), min((w + 1) * self.window, phase.size)
+                t0, t1 = min(w * self.window, size), min((w + 1) * self.window, size)
                 first, last = served(w), served(w + 1)
-                ahead = t1 * lo // phase.size - t0 * lo // phase.size  # what the queues before this one give in the window
-                at = phase.start + t0 + ahead + x - first
+                ahead = t1 * lo // size - t0 * lo // size  # what the queues before this one give in the window
+                at = start + t0 + ahead + x - first
                 room = min(last - x, n - done)
                 while room:
                     cut = min(room, self.sequence - at % self.sequence)
@@ -102,7 +111,7 @@ class Placement:
 TOKENS = "part int, queue string, local long, doc_id long, n_tokens long, ids binary"
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, queues: int, cached: int = CACHED) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, cached: int = CACHED) -> DataFrame:
     """Ids of each document, with its offset among those of its queue in its partition; written to the shared folder."""
 
     def encode(it):
@@ -119,38 +128,64 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, queues: int, ca
                 served[queue] = local[-1] + counts[-1]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array(local, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], ["part", "queue", "local", "doc_id", "n_tokens", "ids"])
 
-    source = F.coalesce("source", F.lit(""))
-    queue = source
-    if docs.select(source).distinct().limit(queues + 1).count() > queues:  # so the plan below stays small whatever the column holds
-        queue = F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(queues)).cast("string"))
-    rows = docs.select(queue.alias("queue"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("queue"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return stored(rows.mapInArrow(encode, TOKENS), "pack-tokens", compression="zstd")
 
 
+def _ends(totals: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """queue, lo, hi: the tokens of the queues up to each one, without and with it, in their order; and the sum. In two phases: within sorted
+    blocks of about `block` queues, and over the blocks."""
+
+    def add(it):
+        from pyspark import TaskContext
+
+        part, sum_ = TaskContext.get().partitionId(), 0
+        for batch in it:
+            n = np.array(batch.column(1).to_pylist(), np.int64)
+            upto = sum_ + np.cumsum(n)
+            sum_ = int(upto[-1]) if len(n) else sum_
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(upto - n), pa.array(upto)], ["block", "queue", "lo", "hi"])
+
+    blocks = -(-totals.count() // block) or 1
+    inside = stored(totals.select("queue", "n").repartitionByRange(blocks, "queue").sortWithinPartitions("queue").mapInArrow(add, "block int, queue string, lo long, hi long"), "pack-queues")
+    starts, at = [], 0
+    for r in inside.groupBy("block").agg(F.max("hi").alias("n")).orderBy("block").toLocalIterator():
+        starts.append((r.block, at))
+        at += r.n
+    start = totals.sparkSession.createDataFrame(starts, "block int, ahead long")
+    return inside.join(F.broadcast(start), "block").select("queue", (F.col("lo") + F.col("ahead")).alias("lo"), (F.col("hi") + F.col("ahead")).alias("hi")), at
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = 2048, window_sequences: int = 16, targets: dict[str, float] | None = None, queues: int = 4096, cached: int = CACHED) -> DataFrame:
     """Pack docs (doc_id, text, source) into sequences of `sequence` tokens; returns a row per piece (PIECES).
 
     All sequences are full but the last, which a reader pads. A window of window_sequences sequences holds the queues in
     target proportion, each queue's documents in one run. Null text is empty (its end id is still packed), null source is the
-    queue "", a null doc_id stays null, repeated rows are packed one by one. Over `queues` distinct sources, sources share queues by
-    hash: the plan that goes to the tasks has that many entries at most. cached bounds each worker's cache of token ids: fewer save memory and cost time. An empty table gives no pieces.
+    queue "", a null doc_id stays null, repeated rows are packed one by one. Each source is a queue of its own, however many there are: the
+    plan of those with a target goes to the tasks, the others' places are a table that is joined to the tokens; `queues` of them are added up in
+    a task. cached bounds each worker's cache of token ids: fewer save memory and cost time. An empty table gives no pieces.
     """
-    tokens = tokenized(docs, tokenizer_path, end_id, queues, cached)
+    tokens = tokenized(docs, tokenizer_path, end_id, cached)
     shares = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(shares.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-bases")
-    totals = {r.queue: r.n for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    placement = Placement(*phases(totals, targets), sequence, sequence * window_sequences)
+    totals = stored(bases.groupBy("queue").agg(F.sum("n").alias("n")), "pack-totals")
+    aims = {q: v for q, v in (targets or {}).items() if v > 0}
+    aimed = F.col("queue").isin(list(aims))
+    named, plan = phases({r.queue: r.n for r in totals.where(aimed).collect()}, aims)
+    ends, rest = _ends(totals.where(~aimed), queues)
+    placement = Placement(named, plan, (sum(p.size for p in plan), rest), sequence, sequence * window_sequences)
 
     def cut(it):
-        for rows in batches(it, ["queue", "local", "base", "doc_id", "ids"]):
+        for rows in batches(it, ["queue", "local", "base", "lo", "hi", "doc_id", "ids"]):
             out = [[] for _ in range(8)]
-            for queue, local, base, doc_id, ids in rows:
+            for queue, local, base, lo, hi, doc_id, ids in rows:
                 wide = np.frombuffer(ids, "<u2").astype("<u4")
-                for start, length, at in placement.pieces(queue, base + local, len(wide)):
+                for start, length, at in placement.pieces(queue, base + local, len(wide), lo, hi):
                     for column, v in zip(out, (doc_id, start, length, zlib.crc32(wide[start : start + length]), len(wide), at // sequence, at % sequence, queue)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:7]] + [pa.array(out[7], pa.string())], [c.split()[0] for c in PIECES.split(", ")])
 
     # The stored sizes decide: a small table of bases is broadcast, a large one is joined by shuffle.
-    return tokens.join(bases.select("part", "queue", "base"), ["part", "queue"]).select("queue", "local", "base", "doc_id", "ids").mapInArrow(cut, PIECES)
+    places = stored(bases.select("part", "queue", "base").join(ends, "queue", "left"), "pack-places")
+    return tokens.join(places, ["part", "queue"]).select("queue", "local", "base", "lo", "hi", "doc_id", "ids").mapInArrow(cut, PIECES)

@@ -164,3 +164,14 @@ def test_packing_of_odd_rows(spark):
     assert sorted(r.doc_tokens for r in packing.pack(table, BYTES).collect()) == [1, 2, 2]
     many = small(spark)
     check_packing(many, packing.pack(many, BYTES, queues=3).collect())
+
+
+def test_packing_of_more_sources_than_a_task_adds_up(spark):
+    """Every source stays a queue, in the same places, and targets hold."""
+    table = small(spark)
+    rows = packing.pack(table, BYTES, window_sequences=4, targets={"src0": 1, "src1": 1}, queues=3).collect()
+    assert {r.queue for r in rows} == {r.source for r in table.select("source").distinct().collect()}
+    first = [x for s in range(4) for x in check_packing(table, rows)[s]]
+    assert {q for _, _, q in first} == {"src0", "src1"} and sum(n for _, n, q in first if q == "src0") == 4096
+    place = lambda queues: sorted(map(tuple, packing.pack(table, BYTES, queues=queues).collect()))
+    assert place(3) == place(4096)
