@@ -10,8 +10,8 @@
    Its links join most of its members; a second pass gives every pair between members that are still apart and whose estimate
    is at most 3.5 standard deviations below the threshold.
 5. Rows of one prefix that lie in several regions or partitions are a cut run. Cut runs that share documents are one cluster; each of its
-   documents outside the cluster's largest component is compared with all others that are still apart, in blocks of both sides. So a cut
-   loses no pair; the cost is the number of documents outside times the cluster's size.
+   documents outside the cluster's largest component is compared with all others that are still apart, in blocks of both sides. A cut then
+   loses a pair only by its estimate (the same 3.5 deviations); the cost is the number of documents outside times the cluster's size.
 6. Candidates are confirmed on full sets. Components over the confirmed links come from alternating stars.
 
 A link of similarity s is missed with a chance of about (1 - s**DEPTH) ** TREES: 8e-7 at 0.85, 7e-5 at 0.8, less above.
