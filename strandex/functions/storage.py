@@ -10,19 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path there; where the setting is empty (tests) a folder of our own stands in."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as a full path. Only a local master may leave it unset (tests): a temporary folder stands in there."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        root = _OWN[app]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        root = _OWN[context.applicationId]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it isn't created."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """df written there and read again: cuts an iteration's lineage, and later reads survive lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict]:
+    """stored(df), and aggregates of its rows that the same job takes while it writes (counts: name -> aggregate column)."""
+    from pyspark.sql import Observation
+
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = stored(df.observe(seen, *(c.alias(n) for n, c in counts.items())), name)
+    return out, seen.get
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by stored(); only for those that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import letters as L
 from ..functions.storage import shared_path, stored
-from ..operators import adjacency, analytics, index, locations, search, stats
+from ..operators import adjacency, analytics, index, locations, paths, search, stats
 from ..sources import graphs
 from ..sources.graphs import StringGraph
 
 PART_K = 6  # a given depth for the graph of short nodes
+HYBRID_K, HYBRID_SEED = 4, 64  # a depth at which most parts are longer than a word, and the words that make a node a seed
 
 
 def _letters(text: str):
@@ -28,6 +29,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> StringGraph:
     return graphs.part_graph(spark, sf_dir)
 
 
+def _thin(g: StringGraph) -> StringGraph:
+    """A part of the edges, so that the graph falls into components and not all nodes can be reached."""
+    return StringGraph(g.nodes, g.edges.where("(src + dst) % 19 = 0"))
+
+
 def _doc_pairs(spark: SparkSession, sf_dir: str) -> tuple[StringGraph, int, DataFrame]:
     graph = _docs(spark, sf_dir).saved()
     k = index.depth_of(graph)
@@ -93,11 +99,18 @@ def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "graph") + ".gfa"
-    graphs.to_gfa(_parts(spark, sf_dir)).write.text(path)
+    graphs.to_gfa(_parts(spark, sf_dir)).write.option("maxRecordsPerFile", 10_000).text(path)
     g = graphs.from_gfa(spark, path)
     return g.edges.join(g.nodes.select(F.col("node_id").alias("src"), F.col("seg_id").alias("a"), F.col("seg").alias("a_seg")), "src").join(g.nodes.select(F.col("node_id").alias("dst"), F.col("seg_id").alias("b")), "dst").select("a", "a_seg", "b")
 
 
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' letters as FASTA in several files, read again; nodes count on in file order."""
+    path = shared_path(spark, "letters") + ".fasta"
+    graphs.to_fasta(_docs(spark, sf_dir).nodes).write.option("maxRecordsPerFile", 300).text(path)
+    return graphs.from_file(spark, path).nodes.select("node_id", "seg_id", F.length("seg").alias("len"), F.md5("seg").alias("seg_md5"))
+
+
 def graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_pairs(spark, sf_dir)[2]
 
@@ -114,8 +127,8 @@ def pairs_from_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The builders that start at the starting points and see only what these reach."""
-    g = _parts(spark, sf_dir).saved()
-    return index.build_pairs(g, PART_K, index.reachable_places(g, analytics.starting_points(g)))
+    g = _thin(_parts(spark, sf_dir)).saved()
+    return index.build(g, PART_K, "node_bfs")
 
 
 def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +194,10 @@ def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of one to seven letters from the conversations, matched in the index of the part graph."""
+    """All words of up to seven letters anywhere in the conversations, matched in the index of the part graph."""
     _, pairs = _part_pairs(spark, sf_dir)
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(_letters("text").alias("seg"))
-    words = t.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(PART_K + 1)), lambda i: F.left(F.col("seg"), i))).alias("kmer")).distinct()
+    words = stored(index.substrings(t, PART_K + 1), "words")
     return search.exact_short_match(words, pairs, PART_K)
 
 
@@ -203,10 +216,15 @@ def _part_handles(spark: SparkSession, g: StringGraph, pairs: DataFrame) -> Data
 
 
 def edit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edit edge of a batch of handles: all prefixes of stored words, and for each supplier's number the part's last letter and the word of
+    k letters that writes it."""
     g, pairs = _part_pairs(spark, sf_dir)
-    handles = _part_handles(spark, g, pairs)
-    e = search.edit_edges(handles, g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
-    return e.groupBy("src_kind", "dst_kind", "op", "letter").agg(F.count("*").alias("n"), F.sum(F.coalesce("dst_node", F.lit(0))).alias("nodes"), F.sum(F.coalesce("dst_pos", F.lit(0))).alias("places"))
+    batch = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("node_id"))
+    words = batch.select(F.lpad(F.translate(F.conv(F.col("node_id").cast("string"), 10, 4), "0123", "acgt"), PART_K, "a").alias("kmer"))
+    last = g.nodes.join(batch, "node_id", "left_semi").select(*search.graph_handle(F.col("node_id"), F.col("len") - 1))
+    handles = index.prefixes(pairs, PART_K).select(*search.trie_handle(F.col("prefix"))).union(words.select(*search.trie_handle(F.col("kmer")))).union(last)
+    e = search.edit_edges(stored(handles, "handles"), g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
+    return e.select("src_kind", "src_kmer", "src_node_id", "src_pos", "dst_kind", "dst_kmer", "dst_node", "dst_pos", "op", "letter")
 
 
 def previous_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,11 +257,16 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def starting_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.starting_points(_parts(spark, sf_dir).saved())
+    return analytics.starting_points(_thin(_parts(spark, sf_dir)).saved())
+
+
+def _onward(g: StringGraph) -> StringGraph:
+    """The graph without the edges that lead back to smaller ids, so without cycles."""
+    return StringGraph(g.nodes, g.edges.where("src < dst"))
 
 
 def top_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.top_order(_docs(spark, sf_dir).saved())
+    return analytics.top_order(_onward(_docs(spark, sf_dir).saved()))
 
 
 def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,23 +274,37 @@ def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.back_edges(g, stored(analytics.top_order(g), "order"))
 
 
+def edge_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest cycle through each edge that leads back."""
+    g = _docs(spark, sf_dir).saved()
+    return analytics.shortest_cycles(g, g.edges.where("src >= dst")).select("edge_id", "src", "dst", "cycle")
+
+
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a batch of pairs of documents: how long the shortest path is, and how many of its steps are edges (all)."""
+    g = _docs(spark, sf_dir).saved()
+    start = F.col("n_nationkey").cast("long") * 7
+    pairs = spark.read.parquet(f"{sf_dir}/nation.parquet").select(start.alias("start"), (start + 10 + F.col("n_regionkey") * 20 - F.col("n_nationkey")).alias("finish"))
+    path = stored(paths.shortest_paths(g, pairs), "paths")
+    step = path.select("start", "finish", "step", F.col("node_id").alias("src")).join(path.select("start", "finish", (F.col("step") - 1).alias("step"), F.col("node_id").alias("dst")), ["start", "finish", "step"])
+    real = step.join(g.edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi").groupBy("start", "finish").agg(F.count("*").alias("edges"))
+    return path.groupBy("start", "finish").agg(F.max("step").cast("long").alias("length")).join(real, ["start", "finish"], "left").select("start", "finish", "length", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 def complexity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _parts(spark, sf_dir).saved()
-    return analytics.complexity(g, stored(analytics.top_order(g), "order"), PART_K)
+    return analytics.complexity(_parts(spark, sf_dir).saved(), PART_K)
 
 
 def complexity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes whose bound is below the number of words that really reach their first letter: none."""
     g, pairs = _part_pairs(spark, sf_dir)
     nodes = graphs.located(g.nodes)
-    real = pairs.join(nodes.select("node_id", F.col("node_start").alias("loc")), "loc").groupBy("node_id").agg(F.countDistinct("kmer").alias("words"))
-    bound = analytics.complexity(g, stored(analytics.top_order(g), "order"), PART_K)
-    return real.join(bound, "node_id").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("starts") < F.col("words"), 1)).alias("too_low"))
+    real = pairs.join(nodes.select("node_id", F.col("node_start").alias("loc")), "loc").groupBy("node_id").agg(F.count("*").alias("words"))
+    return real.join(analytics.complexity(g, PART_K), "node_id").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("starts") < F.col("words"), 1)).alias("too_low"))
 
 
 def sparse_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _docs(spark, sf_dir).saved()
-    return analytics.sparse_starts(g, 64, analytics.starting_points(g))
+    return analytics.sparse_starts(_docs(spark, sf_dir).saved(), 64)
 
 
 def complexity_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,16 +325,15 @@ def region_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words cut short where a start has many paths."""
-    return index.cut_pairs(_parts(spark, sf_dir).saved(), PART_K, 128)
+    return index.build(_parts(spark, sf_dir).saved(), PART_K, "pbfs", cut=128)
 
 
 def hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full words outside the regions of short documents, words with an early cut inside them."""
-    g = _docs(spark, sf_dir).saved()
-    k = index.depth_of(g)
-    seeds = g.nodes.where(F.col("len") < k).select("node_id")
-    inside, rest = analytics.region_starts(g, stored(analytics.complexity_regions(g, seeds, k), "regions"), k)
-    return index.merged(index.build_pairs(g, k, stored(rest, "starts")), index.cut_pairs(g, k, 128, stored(inside, "starts")))
+    """Full words outside the regions around the nodes that many words reach, words with an early cut inside them."""
+    g = _parts(spark, sf_dir).saved()
+    seeds = stored(analytics.complexity(g, HYBRID_K).where(F.col("ends") >= HYBRID_SEED).select("node_id"), "seeds")
+    inside, rest = analytics.region_starts(g, stored(analytics.complexity_regions(g, seeds, HYBRID_K), "regions"), HYBRID_K)
+    return index.merged(index.build(g, HYBRID_K, "back_track", stored(rest, "starts")), index.build(g, HYBRID_K, "point_bfs", stored(inside, "starts"), 128))
 
 
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,9 +346,9 @@ def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        graph_nodes, graph_edges, graph_stats, graph_letters, graph_locations, location_expand, graph_revcomp, graph_extends, graph_adjacency, edge_lookup, gfa_round_trip,
+        graph_nodes, graph_edges, graph_stats, graph_letters, graph_locations, location_expand, graph_revcomp, graph_extends, graph_adjacency, edge_lookup, gfa_round_trip, fasta_round_trip,
         graph_pairs, part_pairs, pairs_from_starts, pairs_reachable, saved_index, pair_codes, index_stats, histogram_kmers, histogram_locs, word_lookup, word_contains,
         location_lookup, multimap_words, code_offsets, word_prefixes, short_match, match_many, edit_edges, previous_handles, parent_handles, match_reach, node_levels,
-        connected_components, starting_points, top_order, back_edges, complexity_bounds, complexity_check, sparse_starts, complexity_regions, region_cover, cut_pairs, hybrid_pairs, size_estimate,
+        connected_components, starting_points, top_order, back_edges, edge_cycles, shortest_paths, complexity_bounds, complexity_check, sparse_starts, complexity_regions, region_cover, cut_pairs, hybrid_pairs, size_estimate,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-PART_K = 6
+PART_K, HYBRID_K = 6, 4
 
 #: The document graph: n (node_id, seg, len), e (edge_id, src, dst), p (n with node_start).
 DOCS = r"""
@@ -51,27 +51,63 @@ def _with(*parts: str) -> str:
 
 DOC_PAIRS = _with(DOCS, EVERYWHERE, WALK)
 PART_PAIRS = _with(PARTS, EVERYWHERE, WALK)
-#: Sources, and the smallest node of each component without one; the part graph's components come from labels that shrink to the minimum.
-BEGIN = "src0 AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT dst FROM e)), fed(node_id) AS (SELECT node_id FROM src0 UNION SELECT u.b FROM fed JOIN und u ON fed.node_id = u.a)"
-STARTS = BEGIN + ", fresh AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT node_id FROM fed)), near(root, node_id) AS (SELECT min(node_id), min(node_id) FROM fresh UNION SELECT r.root, u.b FROM near r JOIN und u ON r.node_id = u.a), lone AS (SELECT f.node_id FROM fresh f WHERE f.node_id NOT IN (SELECT a FROM und)), begin AS (SELECT node_id, 'source' AS kind FROM src0 UNION ALL SELECT min(node_id), 'cycle' FROM fresh HAVING min(node_id) IS NOT NULL)"
+#: The part graph with a part of its edges.
+THIN = PARTS.replace("e AS (", "whole AS (").replace("p AS (", "e AS (SELECT * FROM whole WHERE (src + dst) % 19 = 0),\np AS (")
+#: Sources, and the smallest node of each component without one.
+STARTS = SPREAD + ", low AS (SELECT node_id, min(root) AS root FROM spread GROUP BY 1), src0 AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT dst FROM e)), begin AS (SELECT node_id, 'source' AS kind FROM src0 UNION ALL SELECT DISTINCT root, 'cycle' FROM low WHERE root NOT IN (SELECT root FROM low JOIN src0 USING (node_id)))"
+
+
+def bounds(k: int) -> str:
+    """b{j} (node_id, w): how many words of j letters can lie before a node at most; bound (node_id, starts, ends)."""
+    out = ["b0 AS (SELECT node_id, CAST(1 AS BIGINT) AS w FROM n)"]
+    for j in range(1, k + 1):
+        lower = " UNION ALL ".join(f"SELECT node_id, {i} AS i, w FROM b{i}" for i in range(j))
+        out.append(f"b{j} AS MATERIALIZED (SELECT n.node_id, CAST(coalesce(s, 1) AS BIGINT) AS w FROM n LEFT JOIN (SELECT dst, least(sum(CASE WHEN u.len >= {j} THEN 1 ELSE b.w END), {(4 ** (j + 1) - 1) // 3}) AS s FROM e JOIN n u ON u.node_id = e.src LEFT JOIN ({lower}) b ON b.node_id = e.src AND b.i = {j} - u.len GROUP BY dst) ON dst = n.node_id)")
+    every = " UNION ALL ".join(f"SELECT node_id, {i} AS i, w FROM b{i}" for i in range(k + 1))
+    out.append(f"bound AS (SELECT n.node_id, t.w AS starts, CASE WHEN n.len >= {k} THEN 1 ELSE b.w END AS ends FROM n JOIN b{k} t USING (node_id) LEFT JOIN ({every}) b ON b.node_id = n.node_id AND b.i = {k} - n.len)")
+    return ",\n".join(out)
+
+
+#: Words with an early cut from the places (node_id, pos) in inside: a letter at a time, all paths of a start at once.
+CUT = """
+nxt AS (SELECT node_id, pos, node_id AS to_node, pos + 1 AS to_pos FROM (SELECT node_id, len, unnest(range(len)) AS pos FROM n) WHERE pos + 1 < len UNION ALL SELECT src, len - 1, dst, 0 FROM e JOIN n ON node_id = src),
+cut(start, node_id, pos, word, paths) AS (
+  SELECT node_start + pos, node_id, pos + least(len - pos - 1, k), substr(seg, pos + 1, least(len - pos - 1, k)), CAST(1 AS BIGINT) FROM inside JOIN p USING (node_id), depth WHERE pos + k >= len
+  UNION ALL
+  SELECT c.start, x.to_node, x.to_pos, c.word || substr(n.seg, c.pos + 1, 1), count(*) OVER (PARTITION BY c.start)
+  FROM cut c JOIN n USING (node_id) JOIN nxt x ON x.node_id = c.node_id AND x.pos = c.pos, depth WHERE c.word = '' OR (length(c.word) < k AND c.paths < 128)),
+cut_words AS (SELECT substr(seg, pos + 1, k) AS kmer, node_start + pos + k AS loc FROM inside JOIN p USING (node_id), depth WHERE pos + k < len
+  UNION SELECT word, node_start + pos FROM cut JOIN p USING (node_id), depth WHERE word <> '' AND (length(word) = k OR paths >= 128))
+"""
+#: Regions of nodes shorter than k around the seeds, all places inside them, and the rest.
+HYBRID = """
+short AS (SELECT node_id FROM n, depth WHERE len < k), su AS (SELECT src AS a, dst AS b FROM e WHERE src IN (FROM short) AND dst IN (FROM short) UNION SELECT dst, src FROM e WHERE src IN (FROM short) AND dst IN (FROM short)),
+internal(node_id) AS (SELECT node_id FROM bound WHERE ends >= 64 UNION SELECT su.b FROM internal i JOIN su ON su.a = i.node_id),
+border AS (SELECT n.node_id, CASE WHEN n.node_id IN (FROM internal) THEN 0 WHEN n.len >= k AND n.node_id IN (SELECT src FROM e WHERE dst IN (FROM internal)) THEN n.len - k ELSE n.len END AS first, len FROM n, depth),
+inside AS (SELECT node_id, unnest(range(first, len)) AS pos FROM border), st AS (SELECT node_id, unnest(range(first)) AS pos FROM border)
+"""
 ALPHABET = "alpha(letter) AS (VALUES ('a'), ('c'), ('g'), ('t'), ('n'))"
 HANDLES = """
 known AS (SELECT prefix AS kmer FROM prefixes UNION SELECT kmer FROM pairs),
 handles AS (SELECT 'trie' AS kind, kmer, CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS pos FROM known UNION ALL SELECT 'graph', NULL, node_id, len - 1 FROM n)
 """
+BATCH = f"""
+known AS (SELECT prefix AS kmer FROM prefixes UNION SELECT kmer FROM pairs),
+asked AS (SELECT lpad(translate(to_base(s_suppkey, 4), '0123', 'acgt'), {PART_K}, 'a') AS kmer FROM supplier)
+"""
 EDITS = """
 child AS (SELECT kmer AS child, left(kmer, length(kmer) - 1) AS kmer, right(kmer, 1) AS actual FROM known WHERE kmer <> ''),
-place AS (SELECT 'graph' AS src_kind, node_id, pos FROM handles WHERE kind = 'graph'
-          UNION ALL SELECT 'trie', p.node_id, r.loc - p.node_start FROM pairs r JOIN p ON r.loc >= p.node_start AND r.loc < p.node_start + p.len),
-move AS (SELECT src_kind, node_id AS dst_node, pos + 1 AS dst_pos, substr(seg, pos + 1, 1) AS actual FROM place JOIN n USING (node_id) WHERE pos + 1 < len
-         UNION ALL SELECT src_kind, e.dst, 0, substr(seg, pos + 1, 1) FROM place JOIN n USING (node_id) JOIN e ON e.src = node_id WHERE pos + 1 >= len),
+place AS (SELECT 'graph' AS src_kind, CAST(NULL AS VARCHAR) AS src_kmer, node_id AS src_node_id, len - 1 AS src_pos, node_id, len - 1 AS pos FROM n JOIN supplier ON node_id = s_suppkey
+          UNION ALL SELECT 'trie', kmer, NULL, NULL, p.node_id, r.loc - p.node_start FROM asked JOIN pairs r USING (kmer) JOIN p ON r.loc >= p.node_start AND r.loc < p.node_start + p.len),
+move AS (SELECT place.* EXCLUDE (node_id, pos), node_id AS dst_node, pos + 1 AS dst_pos, substr(seg, pos + 1, 1) AS actual FROM place JOIN n USING (node_id) WHERE pos + 1 < len
+         UNION ALL SELECT place.* EXCLUDE (node_id, pos), e.dst, 0, substr(seg, pos + 1, 1) FROM place JOIN n USING (node_id) JOIN e ON e.src = node_id WHERE pos + 1 >= len),
 edits AS (
-  SELECT src_kind, 'graph' AS dst_kind, CASE WHEN letter = actual THEN 'MATCH' ELSE 'SUB' END AS op, letter, dst_node, dst_pos FROM move, alpha
-  UNION ALL SELECT src_kind, 'graph', 'DEL', 'E', dst_node, dst_pos FROM move
-  UNION ALL SELECT src_kind, 'graph', 'INS', letter, node_id, pos FROM place, alpha
-  UNION ALL SELECT 'trie', 'trie', CASE WHEN letter = actual THEN 'MATCH' ELSE 'SUB' END, letter, NULL, NULL FROM child, alpha
-  UNION ALL SELECT 'trie', 'trie', 'DEL', 'E', NULL, NULL FROM child
-  UNION ALL SELECT 'trie', 'trie', 'INS', letter, NULL, NULL FROM known, alpha, depth WHERE length(kmer) < k)
+  SELECT src_kind, src_kmer, src_node_id, src_pos, 'graph' AS dst_kind, CAST(NULL AS VARCHAR) AS dst_kmer, dst_node, dst_pos, CASE WHEN letter = actual THEN 'MATCH' ELSE 'SUB' END AS op, letter FROM move, alpha
+  UNION ALL SELECT src_kind, src_kmer, src_node_id, src_pos, 'graph', NULL, dst_node, dst_pos, 'DEL', 'E' FROM move
+  UNION ALL SELECT src_kind, src_kmer, src_node_id, src_pos, 'graph', NULL, node_id, pos, 'INS', letter FROM place, alpha
+  UNION ALL SELECT 'trie', kmer, NULL, NULL, 'trie', child, NULL, NULL, CASE WHEN letter = actual THEN 'MATCH' ELSE 'SUB' END, letter FROM child, alpha
+  UNION ALL SELECT 'trie', kmer, NULL, NULL, 'trie', child, NULL, NULL, 'DEL', 'E' FROM child
+  UNION ALL SELECT 'trie', kmer, NULL, NULL, 'trie', kmer, NULL, NULL, 'INS', letter FROM known, alpha, depth WHERE length(kmer) < k)
 """
 HISTOGRAM = """
 h AS (SELECT CAST(floor(log2(c)) AS INT) AS bin, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM c GROUP BY 1)
@@ -97,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_pairs": DOC_PAIRS + "SELECT kmer, loc FROM pairs",
     "part_pairs": PART_PAIRS + "SELECT kmer, loc FROM pairs",
     "pairs_from_starts": _with(DOCS, "st AS (SELECT node_id, 0 AS pos FROM n)", WALK) + "SELECT kmer, loc FROM pairs",
-    "pairs_reachable": _with(PARTS, LINKS, STARTS, REACH, "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n WHERE node_id IN (FROM lev))", WALK) + "SELECT kmer, loc FROM pairs",
+    "pairs_reachable": _with(THIN, LINKS, STARTS, REACH, "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n WHERE node_id IN (FROM lev))", WALK) + "SELECT kmer, loc FROM pairs",
     "saved_index": PART_PAIRS + "SELECT kmer, loc, node_id, seg_id, loc - node_start AS pos, len FROM pairs JOIN p ON loc >= node_start AND loc < node_start + len",
     "pair_codes": PART_PAIRS + f"SELECT kmer, code, {(4**PART_K - 1) // 3} + code AS level_code, substr(kmer, 2) || 't' AS pushed, left(kmer, {PART_K - 1}) AS popped, translate(reverse(kmer), 'acgt', 'tgca') AS rc FROM (SELECT kmer, CAST(list_sum(list_transform(range(1, {PART_K} + 1), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1) * CAST(power(4, {PART_K} - i) AS BIGINT))) AS BIGINT) AS code FROM (SELECT DISTINCT kmer FROM pairs))",
     "index_stats": DOC_PAIRS + "SELECT count(*) AS num_pairs, count(DISTINCT kmer) AS num_kmers, count(DISTINCT loc) AS num_locs, round(count(DISTINCT kmer) / count(DISTINCT loc), 9) AS ff, round(count(DISTINCT kmer) / (SELECT power(4, k) FROM depth), 9) AS fill FROM pairs",
@@ -109,15 +145,24 @@ ORACLE_SQL: dict[str, str] = {
     "multimap_words": PART_PAIRS + "SELECT kmer, CAST(count(*) AS INT) AS n, string_agg(CAST(loc AS VARCHAR), ',' ORDER BY loc) AS locs FROM pairs GROUP BY kmer",
     "code_offsets": PART_PAIRS + f", c AS (SELECT list_sum(list_transform(range(1, {PART_K} + 1), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1) * CAST(power(4, {PART_K} - i) AS BIGINT))) AS code, count(*) AS m FROM pairs GROUP BY kmer) SELECT key, CAST(sum(coalesce(m, 0)) OVER (ORDER BY key) AS BIGINT) AS \"offset\" FROM range({4**PART_K}) t(key) LEFT JOIN c ON code = key",
     "word_prefixes": PART_PAIRS + f", {PREFIX} SELECT prefix, depth FROM prefixes",
-    "short_match": PART_PAIRS + f", {PREFIX}, q AS (SELECT DISTINCT left(seg, i) AS kmer FROM (SELECT regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seg, unnest(range({PART_K} + 2)) AS i FROM conversations)) SELECT kmer, CASE WHEN kmer IN (SELECT prefix FROM prefixes UNION SELECT kmer FROM pairs) THEN 'trie' ELSE 'invalid' END AS kind FROM q",
+    "short_match": PART_PAIRS + f", {PREFIX}, t AS (SELECT regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seg FROM conversations), q AS (SELECT '' AS kmer UNION SELECT substr(seg, CAST(i AS INT), CAST(j AS INT)) FROM (SELECT seg, j, unnest(range(1, length(seg) - j + 2)) AS i FROM t, range(1, {PART_K + 2}) r(j) WHERE length(seg) >= j)) SELECT kmer, CASE WHEN kmer IN (SELECT prefix FROM prefixes UNION SELECT kmer FROM pairs) THEN 'trie' ELSE 'invalid' END AS kind FROM q",
     "match_many": _with(DOCS) + "SELECT b.node_id, CAST(coalesce(list_position(list_transform(range(1, least(a.len, b.len) + 1), lambda i: substr(a.seg, CAST(i AS INT), 1) = substr(b.seg, CAST(i AS INT), 1)), false) - 1, least(a.len, b.len)) AS INT) AS matched FROM labels JOIN n a ON a.node_id = doc_id JOIN n b ON b.node_id = doc_id + 1",
-    "edit_edges": _with(PARTS, EVERYWHERE, WALK, PREFIX, HANDLES, ALPHABET, EDITS) + "SELECT src_kind, dst_kind, op, letter, count(*) AS n, CAST(sum(coalesce(dst_node, 0)) AS BIGINT) AS nodes, CAST(sum(coalesce(dst_pos, 0)) AS BIGINT) AS places FROM edits GROUP BY 1, 2, 3, 4",
+    "edit_edges": _with(PARTS, EVERYWHERE, WALK, PREFIX, BATCH, ALPHABET, EDITS) + "SELECT src_kind, src_kmer, src_node_id, CAST(src_pos AS INT) AS src_pos, dst_kind, dst_kmer, dst_node, CAST(dst_pos AS INT) AS dst_pos, op, letter FROM edits",
     "previous_handles": PART_PAIRS + ", g AS (SELECT e.dst AS src_node, count(*) AS n_graph, CAST(sum(len - 1) AS BIGINT) AS sum_pos FROM e JOIN n ON n.node_id = e.src GROUP BY 1), t AS (SELECT node_id AS src_node, count(*) AS n_trie, min(kmer) AS first_word FROM p JOIN pairs ON loc = node_start GROUP BY 1) SELECT src_node, n_graph, sum_pos, n_trie, first_word FROM g FULL JOIN t USING (src_node)",
     "parent_handles": _with(PARTS, EVERYWHERE, WALK, PREFIX, HANDLES) + "SELECT kind, CASE WHEN kind = 'trie' AND kmer <> '' THEN 'trie' ELSE 'invalid' END AS up_kind, CASE WHEN kind = 'trie' AND kmer <> '' THEN left(kmer, length(kmer) - 1) END AS up_kmer, count(*) AS n FROM handles GROUP BY 1, 2, 3",
     "match_reach": _with(PARTS, EVERYWHERE, WALK, PREFIX, "known AS (SELECT prefix AS kmer FROM prefixes UNION SELECT kmer FROM pairs)") + f"SELECT CAST(length(kmer) AS INT) AS step, 'trie' AS kind, count(*) AS n FROM known GROUP BY 1 UNION ALL SELECT {PART_K + 1}, 'graph', count(*) FROM (SELECT node_id, loc - node_start + 1 AS pos FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc >= node_start AND loc < node_start + len - 1 UNION SELECT e.dst, 0 FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc = node_start + len - 1 JOIN e ON e.src = node_id) HAVING count(*) > 0",
     "node_levels": _with(PARTS, "lv(node_id, level) AS (SELECT min(node_id), 0 FROM n UNION SELECT e.dst, level + 1 FROM lv JOIN e ON lv.node_id = e.src WHERE level < 40)") + "SELECT node_id, min(level) AS level FROM lv GROUP BY 1",
     "connected_components": _with(DOCS, LINKS, SPREAD, "low AS (SELECT node_id, min(root) AS root FROM spread GROUP BY 1)") + "SELECT node_id, root, dense_rank() OVER (ORDER BY root) - 1 AS comp_id FROM low",
-    "starting_points": _with(PARTS, LINKS, STARTS) + "SELECT node_id, kind FROM begin",
+    "starting_points": _with(THIN, LINKS, STARTS) + "SELECT node_id, kind FROM begin",
     "complexity_regions": _with(DOCS, REGION) + "SELECT root, node_id, role FROM regions",
     "region_cover": _with(DOCS, REGION, EVERYWHERE, "cut AS (SELECT n.node_id, min(CASE WHEN role = 'internal' THEN 0 WHEN role = 'incoming' THEN len - 64 ELSE len END) AS first FROM n LEFT JOIN regions USING (node_id) GROUP BY 1)") + "SELECT CASE WHEN pos >= first THEN 'inside' ELSE 'outside' END AS part, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM st JOIN cut USING (node_id) GROUP BY 1",
+    "fasta_round_trip": _with(DOCS) + "SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, seg_id, len, md5(seg) AS seg_md5 FROM n",
+    "top_order": _with(DOCS, "up AS (SELECT src, dst FROM e WHERE src < dst), lv(node_id, level) AS (SELECT node_id, CAST(0 AS BIGINT) FROM n UNION SELECT up.dst, level + 1 FROM lv JOIN up ON up.src = lv.node_id)") + "SELECT node_id, max(level) AS level FROM lv GROUP BY 1",
+    "edge_cycles": _with(DOCS, "back AS (SELECT edge_id, src, dst FROM e WHERE src >= dst), lv(edge_id, node_id, level) AS (SELECT edge_id, dst, 0 FROM back UNION SELECT lv.edge_id, e.dst, level + 1 FROM lv JOIN e ON e.src = lv.node_id WHERE level < 12)") + "SELECT edge_id, src, dst, CAST(min(level) + 1 AS INT) AS cycle FROM back LEFT JOIN lv USING (edge_id) WHERE lv.node_id = src GROUP BY 1, 2, 3",
+    "shortest_paths": _with(DOCS, "ends AS (SELECT n_nationkey * 7 AS start, n_nationkey * 7 + 10 + n_regionkey * 20 - n_nationkey AS finish FROM nation), lv(start, node_id, level) AS (SELECT DISTINCT start, start, 0 FROM ends UNION SELECT start, e.dst, level + 1 FROM lv JOIN e ON e.src = lv.node_id WHERE level < 120)") + "SELECT start, finish, CAST(min(level) AS BIGINT) AS length, CAST(min(level) AS BIGINT) AS edges FROM ends JOIN lv USING (start) WHERE lv.node_id = finish GROUP BY 1, 2",
+    "complexity_bounds": _with(PARTS, bounds(PART_K)) + "SELECT node_id, starts, ends FROM bound",
+    "complexity_check": PART_PAIRS + "SELECT count(DISTINCT node_id) AS nodes, CAST(0 AS BIGINT) AS too_low FROM pairs JOIN p ON loc = node_start",
+    "sparse_starts": _with(DOCS, "one AS (SELECT dst AS node_id, min(src) AS src FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1 HAVING count(*) = 1), ways(node_id, before) AS (SELECT node_id, CAST(0 AS BIGINT) FROM n WHERE node_id NOT IN (SELECT node_id FROM one) UNION ALL SELECT one.node_id, before + n.len FROM ways JOIN one ON one.src = ways.node_id JOIN n ON n.node_id = ways.node_id)") + "SELECT node_id, CAST(pos AS INT) AS pos FROM (SELECT node_id, before, unnest(range(len)) AS pos FROM ways JOIN n USING (node_id)) WHERE (before + pos) % 64 = 0",
+    "cut_pairs": _with(PARTS, EVERYWHERE.replace("st AS", "inside AS"), CUT) + "SELECT kmer, loc FROM cut_words",
+    "hybrid_pairs": _with(PARTS.replace(f"SELECT {PART_K} AS k", f"SELECT {HYBRID_K} AS k"), bounds(HYBRID_K), HYBRID, CUT, WALK) + "SELECT kmer, loc FROM pairs UNION SELECT kmer, loc FROM cut_words",
 }

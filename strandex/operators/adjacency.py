@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.graphs import StringGraph
 
@@ -24,6 +25,7 @@ def edges_by_id(ids: DataFrame, graph: StringGraph) -> DataFrame:
 
 
 def _listed(edges: DataFrame, at: str, other: str, name: str) -> DataFrame:
+    """One row per node: the list must fit in a task, see neighbours() for nodes with any number of edges."""
     newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("edge_id", other)))), lambda x: x[other])
     return edges.groupBy(F.col(at).alias("node_id")).agg(newest.alias(name))
 
@@ -38,6 +40,13 @@ def backward_from(graph: StringGraph) -> DataFrame:
     return _listed(graph.edges, "dst", "src", "predecessors")
 
 
+def neighbours(graph: StringGraph, forward: bool = True) -> DataFrame:
+    """node_id, other, newest: one row for each edge, newest counting from 0 for a node's newest edge; nothing is collected."""
+    at, other = ("src", "dst") if forward else ("dst", "src")
+    order = Window.partitionBy("node_id").orderBy(F.desc("edge_id"))
+    return graph.edges.select(F.col(at).alias("node_id"), F.col(other).alias("other"), "edge_id").select("node_id", "other", (F.row_number().over(order) - 1).alias("newest"))
+
+
 def forward_one(graph: StringGraph) -> DataFrame:
     """node_id, next: only nodes with exactly one outgoing edge."""
     return graph.edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n"), F.min("dst").alias("next")).where("n = 1").drop("n")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.letters import chosen_depth
 from ..functions.storage import stored
-from ..sources.graphs import StringGraph, located
+from ..sources.graphs import StringGraph, located, running_sum
+from .paths import levels
 
 ALGORITHMS = {"bfs": "reachable", "location_bfs": "reachable", "lbfs": "reachable", "node_bfs": "reachable", "nbfs": "reachable", "back_track": "all", "bt": "all", "point_bfs": "cut", "pbfs": "cut"}
 
@@ -72,7 +73,7 @@ def cut_pairs(graph: StringGraph, k: int, threshold: int = 128, starts: DataFram
     inside one node, or on a path without a choice, never branch and aren't cut.
     """
     nodes = stored(located(graph.nodes), "located")
-    places = starts if starts is not None else nodes.select("node_id", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("pos"))
+    places = starts if starts is not None else nodes.where("len > 0").select("node_id", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("pos"))
     own = places.join(nodes, "node_id")
     found = [own.where(F.col("pos") + k < F.col("len")).select(F.substring("seg", F.col("pos") + 1, F.lit(k)).alias("kmer"), (F.col("node_start") + F.col("pos") + k).alias("loc"))]
     size = F.least(F.col("len") - F.col("pos") - 1, F.lit(k)).cast("int")  # letters read so far: up to the one before the node's last
@@ -98,15 +99,30 @@ def cut_pairs(graph: StringGraph, k: int, threshold: int = 128, starts: DataFram
     return out.distinct()
 
 
+def substrings(rows: DataFrame, longest: int, chunk: int = 1024) -> DataFrame:
+    """kmer: the distinct words of up to `longest` letters, the empty one too, at any place of rows (seg)."""
+    cut = rows.select("seg", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length(seg) - 1, 0) div {chunk}").cast("int"))).alias("c"))
+    part = cut.select(F.substring("seg", F.col("c") * chunk + 1, F.lit(chunk + longest - 1)).alias("s"), F.least(F.lit(chunk), F.length("seg") - F.col("c") * chunk).alias("n"))
+    # Prefixes of the longest word at each place; those are made distinct first.
+    at = part.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.substring("s", i, F.lit(longest)))).alias("w")).distinct()
+    return at.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("w")), lambda i: F.left("w", i))).alias("kmer")).distinct()
+
+
 def reachable_places(graph: StringGraph, from_nodes: DataFrame) -> DataFrame:
     """node_id, pos of all locations that walks from the given nodes reach; for the builders that only start there."""
-    seen = stored(from_nodes.select("node_id").distinct(), "reached")
-    front = seen
-    while not front.isEmpty():
-        step = front.join(graph.edges, front.node_id == graph.edges.src).select(F.col("dst").alias("node_id")).distinct()
-        front = stored(step.join(seen, "node_id", "left_anti"), "reached")
-        seen = stored(seen.union(front), "reached")
-    return graph.nodes.join(seen, "node_id", "left_semi").select("node_id", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("pos"))
+    seen = levels(graph, from_nodes.select("node_id").distinct())
+    return graph.nodes.where("len > 0").join(seen, "node_id", "left_semi").select("node_id", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("pos"))
+
+
+def build(graph: StringGraph, k: int, algorithm: str = "back_track", starts: DataFrame | None = None, cut: int = 128) -> DataFrame:
+    """kmer, loc by a builder's name: walks from all places (or those of starts), from the places that the starting points reach, or from all with
+    an early cut."""
+    kind = starts_of(algorithm)
+    if kind == "reachable":
+        from .analytics import starting_points
+
+        return build_pairs(graph, k, reachable_places(graph, starting_points(graph)))
+    return build_pairs(graph, k, starts) if kind == "all" else cut_pairs(graph, k, cut, starts)
 
 
 def merged(fast: DataFrame, slow: DataFrame) -> DataFrame:
@@ -150,9 +166,7 @@ def multimap(pairs: DataFrame, key: str = "kmer", value: str = "loc") -> DataFra
 
 def offsets(keys: DataFrame, key: str, top: int) -> DataFrame:
     """key 0..top with how many rows have that key or a smaller one."""
-    from pyspark.sql.window import Window
-
     counts = keys.groupBy(F.col(key).alias("key")).count()
     spark = keys.sparkSession
-    every = spark.range(top + 1).select(F.col("id").alias("key")).join(counts, "key", "left")
-    return every.select("key", F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("key")).alias("offset"))
+    every = spark.range(top + 1).select(F.col("id").alias("key")).join(counts, "key", "left").select("key", F.coalesce("count", F.lit(0)).alias("n"))
+    return running_sum(every, "key", "n", "before", 1 << 16).select("key", (F.col("before") + F.col("n")).alias("offset"))

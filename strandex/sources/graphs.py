@@ -83,19 +83,21 @@ def from_tables(nodes: DataFrame, edges: DataFrame) -> StringGraph:
     return StringGraph(n, edges.select("edge_id", "src", "dst"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line: ascending in the order of the file. Part files follow each other by number, other files of a folder by name,
-    and the splits of a file by place, in whatever order Spark reads them."""
+def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """value, line (ascending in the order of the file) and first (of its file). Part files follow each other by their numbers, other files of a
+    folder by name, and the splits of a file by place, in whatever order Spark reads them."""
     from pyspark.sql.window import Window
 
     name = F.col("_metadata.file_name")
-    split = [F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0").alias("__part"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at")]
-    keys = ["__part", "__file", "__at"]
-    rows = stored(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("__id"), *split), "lines")
+    number = lambda pattern: F.lpad(F.regexp_extract(name, pattern, 1), 12, "0")
+    split = [number(r"^part-(\d+)").alias("__part"), number(r"^part-.*-c(\d+)\.").alias("__cut"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at")]
+    keys = ["__part", "__cut", "__file", "__at"]
+    rows = stored(spark.read.options(**options).text(path).select("value", F.monotonically_increasing_id().alias("__id"), *split), "lines")
     splits = rows.groupBy(*keys).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))  # a split's ids follow each other
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per split of a file
     starts = splits.select(*keys, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return rows.join(starts, keys).select("value", (F.col("__start") + F.col("__id") - F.col("__first")).alias("line"))
+    line = F.col("__start") + F.col("__id") - F.col("__first")
+    return rows.join(starts, keys).select("value", line.alias("line"), ((F.col("__at") == 0) & (F.col("__id") == F.col("__first"))).alias("first"))
 
 
 def from_gfa(spark: SparkSession, path: str, revcomp: bool = False) -> StringGraph:
@@ -140,11 +142,17 @@ def to_gfa(graph: StringGraph) -> DataFrame:
     return s.unionByName(edges).orderBy("kind", "at").select("value")
 
 
+def to_fasta(nodes: DataFrame, width: int = 60) -> DataFrame:
+    """value: a FASTA record for each node, its letters in lines of `width`; ordered."""
+    lines = F.regexp_replace(F.regexp_replace("seg", f"(.{{{width}}})", "$1\n"), "\n$", "")
+    return nodes.orderBy("node_id").select(F.concat(F.lit(">"), "seg_id", F.lit("\n"), lines).alias("value"))
+
+
 def from_fasta(spark: SparkSession, path: str) -> StringGraph:
     """One node per > record (the rest of the line is its id), its lines joined up to their first white space; ; comments and lines before
-    the first header are skipped. There are no edges."""
-    records = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("line"), "value")
-    first = F.when(F.col("line") == 0, F.regexp_extract("value", r"(?s)(?:^|.*?\n)>(.*)$", 1)).otherwise(F.col("value"))
+    a file's first header are skipped. There are no edges. A folder's files follow each other as in _lines()."""
+    records = _lines(spark, path, lineSep="\n>")
+    first = F.when(F.col("first"), F.regexp_extract("value", r"(?s)(?:^|.*?\n)>(.*)$", 1)).otherwise(F.col("value"))
     head = F.split(F.col("r"), "\n")
     body = F.filter(F.slice(head, 2, F.greatest(F.size(head) - 1, F.lit(1))), lambda x: ~x.startswith(";"))
     rows = records.select("line", first.alias("r")).where("r <> ''")

@@ -130,3 +130,32 @@ def test_gfa_of_several_unequal_files(spark, tmp_path):
     g = graphs.from_gfa(spark, f"file://{folder}")
     assert [r.seg_id for r in g.nodes.orderBy("node_id").collect()] == [f"s{i}" for i in range(7)]
     assert [tuple(r) for r in g.edges.orderBy("edge_id").collect()] == [(2 * i, i % 7, (i * 3 + 1) % 7) for i in range(500)]
+
+
+def test_fasta_of_several_unequal_files(spark, tmp_path):
+    """Each file starts with a header of its own; the larger file isn't the first one."""
+    folder = tmp_path / "parts.fasta"
+    folder.mkdir()
+    large = "".join(f">r{i}\n{'acgt' * 5}\nac\n" for i in range(2, 300))
+    for name, text in {"part-00000-x": ">r0\nac\n", "part-00001-x": "junk\n>r1\ngg\n;note\ntt\n", "part-00002-x-c000": large, "part-00002-x-c001": ">last\na\n"}.items():
+        (folder / f"{name}.txt").write_text(text)
+    rows = graphs.from_file(spark, f"file://{folder}").nodes.orderBy("node_id").collect()
+    assert [r.node_id for r in rows] == list(range(301)) and [r.seg_id for r in rows] == [*(f"r{i}" for i in range(300)), "last"]
+    assert [r.seg for r in rows[:3]] == ["ac", "ggtt", "acgt" * 5 + "ac"] and rows[-1].seg == "a"
+
+
+def test_neighbours_as_rows(spark):
+    g = graph(spark, *DIAMOND)
+    assert sorted(map(tuple, adjacency.neighbours(g).collect())) == [(0, 1, 1), (0, 2, 0), (1, 3, 0), (2, 3, 0)]
+    assert sorted(map(tuple, adjacency.neighbours(g, False).collect())) == [(1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 2, 0)]
+
+
+def test_segments_without_letters_have_no_places(spark):
+    g = graph(spark, ["ac", "", "gt"], [(0, 1), (1, 2)])
+    from strandex.operators import analytics, index
+
+    assert {(r.kmer, r.loc) for r in index.build_pairs(g, 2).collect()} == {("ac", 2), ("cg", 3)}
+    assert {(r.kmer, r.loc) for r in index.cut_pairs(graph(spark, ["ac", "", "gt"], [(0, 2)]), 2, 0).collect()} == {("ac", 2), ("cg", 3)}
+    assert index.reachable_places(g, g.nodes.where("node_id = 0").select("node_id")).where("node_id = 1").count() == 0
+    inside, rest = analytics.region_starts(g, spark.createDataFrame([(1, 1, "internal")], "root long, node_id long, role string"), 2)
+    assert inside.count() == 0 and rest.count() == 4

@@ -85,6 +85,19 @@ def test_names(spark):
         index.starts_of("x")
 
 
+def test_builders_by_name(spark):
+    g = graph(spark, ["ac", "gt", "aa", "cc"], [(0, 1), (2, 3), (3, 2), (3, 0)])
+    everywhere = all_walks(["ac", "gt", "aa", "cc"], [(0, 1), (2, 3), (3, 2), (3, 0)], 3)
+    assert pairs_of(index.build(g, 3, "bt")) == pairs_of(index.build(g, 3, "pbfs", cut=0)) == everywhere
+    apart = graph(spark, ["ac", "gt", "aa", "cc"], [(0, 1), (2, 3), (3, 2), (3, 1)])
+    assert pairs_of(index.build(apart, 3, "NBFS")) == {("acg", 3)}
+
+
+def test_substrings(spark):
+    rows = spark.createDataFrame([("acgac",), ("",)], "seg string")
+    assert {r.kmer for r in index.substrings(rows, 3, 2).collect()} == {"", "a", "c", "g", "ac", "cg", "ga", "acg", "cga", "gac"}
+
+
 def test_stats(spark):
     pairs = make(spark, [("aa", 1), ("aa", 2), ("aa", 3), ("ac", 1)])
     assert index.depth_of(graph(spark, ["acgt"], [])) == 1
