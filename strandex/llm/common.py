@@ -1,16 +1,16 @@
-"""Shared helpers: where intermediate tables go, and how they are written and read again."""
+"""Shared helpers: the folder for intermediate tables, caches of Python workers, rows from Arrow batches."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
+from ..functions.storage import counted, drop_stored, shared_path, shared_root, stored
+
+__all__ = ["batches", "counted", "crc_mod", "drop_stored", "shared_path", "shared_root", "stored", "worker_cache"]
+
 _WORKER: dict[tuple, object] = {}
 
 
@@ -25,39 +25,6 @@ def worker_cache(name: str, key, make):
     return _WORKER[name, key]
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN_DIR.setdefault(app, "") or _OWN_DIR.update({app: "file://" + tempfile.mkdtemp(prefix="spark-shared-")}) or _OWN_DIR[app]
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.makeQualified(path).toString().rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it isn't created."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a table made by stored(); only for tables that no later plan reads."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n; null ids count as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))

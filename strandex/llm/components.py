@@ -1,49 +1,5 @@
-"""Distributed connected components by alternating stars, in DataFrame operations only.
+"""Connected components, as the graph operators have them."""
 
-A large-star step links every larger neighbour of a node to the smallest node of its neighbourhood, a small-star step does
-so with the smaller neighbours and the node itself; edges only shrink to stars, and when nothing changes each node hangs on the
-smallest node of its component. The number of rounds grows with the logarithm of the longest path, not with a group's size.
-Each step is written to the shared folder: that cuts the lineage, and it lets a join on a hot node be split, since
-both of its sides come from shuffles of their own.
-"""
+from ..operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import drop_stored, stored
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """Number of edges and an order-free digest of them."""
-    r = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("d")).first()
-    return r.n, int(r.d)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for all nodes in edges (src, dst; any ordered type, not null).
-
-    Self loops give a component of their own, edges may repeat and count in both directions; nodes without edges are unknown
-    here. An empty table gives an empty one.
-    """
-    loops = edges.where("src = dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    state = _state(now)
-    for _ in range(rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        new = stored(small.distinct(), "edges")
-        for x in (now, low, large, least):
-            drop_stored(x)
-        now, before = new, state
-        state = _state(now)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components: not done after {rounds} rounds")
-    roots = now.select(F.col("v").alias("u"), "v")
-    return now.union(roots).union(loops).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component"))
+__all__ = ["components"]

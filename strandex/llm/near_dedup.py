@@ -6,11 +6,11 @@
 3. A region is a run of rows that agree in the first DEPTH values, at least. Regions of up to SMALL rows give all their pairs. Larger
    ones are cut where neighbours agree least (so dense regions are compared at a greater depth) into regions of up to BLOCK rows, neighbours across a
    cut stay candidates.
-4. Members of large regions get a long signature. A large region first gives a spanning forest of its pairs of highest estimated similarity.
-   Its links join most of its members; a second pass gives every pair between members that are still apart and whose estimate
+4. Members of large regions get a long signature. A large region first gives a spanning forest of its pairs of highest estimated similarity,
+   whose links join most of its members. A second pass gives every pair between members that are still apart and whose estimate
    is at most 3.5 standard deviations below the threshold.
-5. Rows of one prefix that lie in several regions or partitions are a cut run. Cut runs that share documents are one cluster; each of its
-   documents outside the cluster's largest component is compared with all others that are still apart, in blocks of both sides. A cut then
+5. Rows of one prefix that lie in several regions or partitions are a cut run. Cut runs that share documents are one cluster; in the second pass each
+   of its documents outside the cluster's largest component is also compared with all others that are still apart, in blocks of both sides. A cut then
    loses a pair only by its estimate (the same 3.5 deviations); the cost is the number of documents outside times the cluster's size.
 6. Candidates are confirmed on full sets. Components over the confirmed links come from alternating stars.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, worker_cache
+from .common import batches, counted, stored, worker_cache
 from .components import components
 
 TREES, DEPTH, REST = 24, 5, 6
@@ -256,10 +256,10 @@ def _blocks(wide: DataFrame) -> DataFrame:
     return asks.union(at.withColumn("j", j).withColumn("i", to_i).withColumn("asks", F.lit(False)).select(shape))
 
 
-def _sketch(sig: bytes) -> bytes:
-    """The low two bits of each value of a long signature, as two planes of bits."""
-    values = np.frombuffer(sig, np.uint8)
-    return np.packbits([values & 1, values >> 1 & 1]).tobytes()
+def _long(text: str, words: int) -> tuple[bytes, bytes]:
+    """The low 8 bits of each value of a long signature, and a sketch: the low two bits, as two planes of bits."""
+    values = signature(shingle_set(text, words), _LONG_A, _LONG_B).astype(np.uint8)
+    return values.tobytes(), np.packbits([values & 1, values >> 1 & 1]).tobytes()
 
 
 def _across(block, ratio: float):
@@ -329,43 +329,44 @@ def near_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 1
     reps = stored(reps, "reps")
     order = reps.mapInArrow(_orders, "tree int, prefix long, rest binary, node long, n int")
     keys = ["tree", "prefix", "rest", "node"]
-    found = stored(order.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_regions(ratio), _FOUND), "regions")
+    found, size = counted(order.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_regions(ratio), _FOUND), "regions", crowded=F.count(F.when(F.col("kind") == 1, 1)))
     edge = found.where("kind = 2").select("tree", "prefix", "region", "a")
     first = edge.groupBy("tree", "prefix").agg(F.min(F.col("region").cast("int")).alias("p"), F.max(F.col("region").cast("int")).alias("q")).where("p < q").select("tree", "prefix", "p")
     early = edge.join(first, ["tree", "prefix"]).where("cast(region as int) = p").select("tree", "prefix", F.col("a").alias("b"))
     crossing = edge.join(early, ["tree", "prefix"]).select("a", "b")
     inside = found.where("kind = 1").select("region", F.col("a").alias("node"), F.col("na").alias("n"))
-    candidates, shape, crowded = found.where("kind = 0").select("a", "b").union(crossing), "a long, b long", not inside.isEmpty()
-    runs = stored(_cut_runs(found), "runs")
-    cut = not runs.isEmpty()
+    candidates, shape, crowded = found.where("kind = 0").select("a", "b").union(crossing), "a long, b long", size["crowded"] > 0
+    runs, size = counted(_cut_runs(found), "runs", n=F.count("*"))
+    cut = size["n"] > 0
     if crowded or cut:
-        dense = stored(_of_texts(inside.select("node").union(runs.select("node")), docs, lambda text: (signature(shingle_set(text, words), _LONG_A, _LONG_B).astype(np.uint8).tobytes(),), "sig binary").dropDuplicates(["node"]), "dense")
+        dense = stored(_of_texts(inside.select("node").union(runs.select("node")), docs, lambda text: _long(text, words), "sig binary, sketch binary").dropDuplicates(["node"]), "dense")
     if crowded:
-        members = stored(inside.join(dense, "node"), "members", compression="zstd")
+        members = stored(inside.join(dense.select("node", "sig"), "node"), "members", compression="zstd")
         candidates = candidates.union(members.groupBy("region").applyInPandas(lambda block: _forest(block, ratio, least), shape))
     pairs = stored(_pairs(candidates), "pairs")
-    links = stored(_confirmed(pairs, docs, words, share), "links")
+    # Rows of one document may have different sets: their classes belong together.
+    owners = rows.where("doc_id is not null").join(classes, "set_id", "left").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("high"))
+    owners = stored(owners, "owners")
+    several = owners.where("rep < high").select("doc_id", F.col("rep").alias("a"))
+    same = rows.join(several, "doc_id").join(classes, "set_id").where("a < rep").select("a", F.col("rep").alias("b"))
+    links = stored(_confirmed(pairs, docs, words, share).union(same), "links")
     group = stored(components(links.toDF("src", "dst")), "groups")
+    more = []
     if crowded:
         regions = members.groupBy("node").agg(F.collect_set("region").alias("regions"))  # at most one for each tree
         again = members.join(regions, "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = again.groupBy("region").applyInPandas(lambda block: _apart(block, ratio, least), shape)
-        rest = stored(_pairs(apart).join(pairs, ["a", "b"], "left_anti"), "apart")
-        if not rest.isEmpty():
-            links = stored(links.union(_confirmed(rest, docs, words, share)), "links")
-            group = stored(components(links.toDF("src", "dst")), "groups")
-        pairs = pairs.union(rest)
+        more.append(again.groupBy("region").applyInPandas(lambda block: _apart(block, ratio, least), shape))
     if cut:
         cluster = stored(components(runs.toDF("src", "dst")).toDF("node", "cluster"), "cut")
-        sketch = F.udf(_sketch, "binary")
-        wide = cluster.join(dense.select("node", sketch("sig").alias("sig")), "node").join(reps.select("node", "n"), "node").join(group, "node", "left")
+        wide = cluster.join(dense.select("node", F.col("sketch").alias("sig")), "node").join(reps.select("node", "n"), "node").join(group, "node", "left")
         wide = stored(wide.withColumn("component", F.coalesce("component", "node")), "wide")
-        across = _blocks(wide).groupBy("cluster", "i", "j").applyInPandas(lambda block: _across(block, ratio), "a long, b long")
-        far = stored(_pairs(across).join(pairs, ["a", "b"], "left_anti"), "across")
-        if not far.isEmpty():
-            links = links.union(_confirmed(far, docs, words, share))
+        more.append(_blocks(wide).groupBy("cluster", "i", "j").applyInPandas(lambda block: _across(block, ratio), shape))
+    if more:
+        rest, size = counted(_pairs(more[0].union(more[1]) if len(more) > 1 else more[0]).join(pairs, ["a", "b"], "left_anti"), "apart", n=F.count("*"))
+        if size["n"]:
+            links = links.union(_confirmed(rest, docs, words, share))
             group = stored(components(links.toDF("src", "dst")), "groups")
-    named = rows.join(classes, "set_id", "left").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = rows.join(owners.select("doc_id", "rep"), "doc_id", "left").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     out = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -83,6 +83,12 @@ def test_near_groups_of_odd_rows(spark):
     assert sorted(map(str, near_dedup.near_groups(nulls, 3, (85, 100)).collect())) == sorted(["Row(doc_id=None, n_shingles=2, component_id=None, kept=True)", "Row(doc_id=4, n_shingles=2, component_id=4, kept=True)", "Row(doc_id=None, n_shingles=0, component_id=None, kept=True)"])
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = near_dedup.near_groups(docs(spark, [a, a, b, b, None, "other words stand here"], [3, 5, 5, 7, 5, 6]), 3, (85, 100)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == [(3, 4, 3, True), (5, 0, 3, False), (5, 4, 3, False), (5, 4, 3, False), (6, 2, 6, True), (7, 4, 3, False)]
+
+
 def test_near_groups_of_a_table(spark):
     table = small(spark)
     for words, share in ((3, (85, 100)), (5, (80, 100))):
