@@ -349,7 +349,7 @@ def near_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 1
     owners = stored(owners, "owners")
     several = owners.where("rep < high").select("doc_id", F.col("rep").alias("a"))
     same = rows.join(several, "doc_id").join(classes, "set_id").where("a < rep").select("a", F.col("rep").alias("b"))
-    links = stored(_confirmed(pairs, docs, words, share).union(same), "links")
+    links = stored(_confirmed(pairs, docs, words, share).union(same).hint("rebalance"), "links")
     group = stored(components(links.toDF("src", "dst")), "groups")
     more = []
     if crowded:

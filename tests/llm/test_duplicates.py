@@ -52,6 +52,33 @@ def test_distinct_documents(spark, tmp_path):
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 6, 7, 8]
 
 
+def by_id(rows):
+    return {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows.collect()}
+
+
+def test_runs_go_on_from_a_state_folder(spark, tmp_path):
+    state, first = f"file://{tmp_path}/state", lambda t: F.substring(t, 1, 1)
+    run = lambda texts, ids, name: by_id(exact_dedup.exact_groups(docs(spark, texts, ids), state_dir=state, run=name))
+    one = run(["a", "b", "a"], [1, 2, 3], "one")
+    assert one == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)} == run(["a", "b", "a"], [1, 2, 3], "one")
+    assert run(["a", "b", "c"], [0, 5, 6], "two") == {0: (3, 3, False), 5: (5, 2, True), 6: (6, 1, True)}
+    assert run(["b", "c", "a"], [4, 9, 8], "three") == {4: (5, 3, False), 9: (9, 2, True), 8: (8, 4, True)}
+    assert run([], [], "none") == {}
+
+    other = f"file://{tmp_path}/other"
+    go = lambda texts, ids: by_id(exact_dedup.exact_groups(docs(spark, texts, ids), first, other))
+    assert go(["apple", "avocado", "apple", "banana"], [1, 2, 3, 4]) == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
+    assert go(["apricot", "avocado", "banana"], [10, 11, 12]) == {10: (10, 1, True), 11: (11, 2, True), 12: (12, 2, True)}
+    assert go(["apple", "apricot", "apple"], [5, 6, 7]) == {5: (7, 4, False), 6: (10, 2, False), 7: (7, 4, True)}
+
+
+def test_exact_groups_of_clashing_columns(spark):
+    table = docs(spark, ["a", "a", "b"]).withColumns({"__row": F.lit("x"), "__file": F.lit(1), "at": F.lit(2), "best": F.lit(3)})
+    assert by_id(exact_dedup.exact_groups(table)) == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True)}
+    kept = exact_dedup.distinct_documents(table)
+    assert kept.columns == table.columns and {(r.doc_id, r["__row"], r["__file"]) for r in kept.collect()} == {(1, "x", 1), (2, "x", 1)}
+
+
 def near_model(rows, words, share):
     sets = {}
     for i, t in rows:
