@@ -10,7 +10,7 @@ OP4 = r"""
 WITH RECURSIVE
 rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 raw AS (
-  SELECT page_id, url, regexp_extract(coalesce(url, ''), '^[^#]*') AS key, coalesce(html, '') AS html,
+  SELECT page_id, url, translate(regexp_extract(regexp_extract(coalesce(url, ''), '^[^#]*'), '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(regexp_extract(coalesce(url, ''), '^[^#]*'), length(regexp_extract(regexp_extract(coalesce(url, ''), '^[^#]*'), '(?s)^.*?://[^/?#]*')) + 1) AS key, coalesce(html, '') AS html,
          regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS canonical,
          regexp_extract(regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\bcontent\s*=\s*["'']([^"'']*)["'']', 1), '(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$', 1) AS redirect
   FROM pages),

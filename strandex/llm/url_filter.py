@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -31,7 +33,7 @@ class Rule:
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), UPPER, UPPER.lower())
 
 
 def path_of(url: Column) -> Column:
@@ -48,9 +50,17 @@ def matched(host: Column, path: Column, rules: list[Rule], field: str) -> Column
     return out
 
 
+#: Character references that occur in addresses; & itself comes last.
+_REFERENCES = [("&(quot|#34|#x22);", '"'), ("&(apos|#39|#x27);", "'"), ("&(lt|#60|#x3c);", "<"), ("&(gt|#62|#x3e);", ">"), ("&(amp|#38|#x26);", "&")]
+
+
 def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value without the white space around it, its character references resolved."""
     quoted = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1)
-    return F.trim(F.when(quoted != "", quoted).otherwise(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*([^\s"'>]+)""", 1)))
+    value = F.when(quoted != "", quoted).otherwise(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*([^\s"'>]+)""", 1))
+    for reference, character in _REFERENCES:
+        value = F.regexp_replace(value, f"(?i){reference}", character)
+    return F.trim(value)
 
 
 def resolved(base: Column, link: Column) -> Column:
@@ -63,17 +73,18 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """The key of a resource: the url without its fragment, which no server sees."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^([^#]*)", 1)
+    """The key of a resource: the url without its fragment, which no server sees, its scheme and host in lower case (A-Z)."""
+    whole = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^([^#]*)", 1)
+    origin = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(F.translate(origin, UPPER, UPPER.lower()), F.substr(whole, F.length(origin) + 1))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: from each page to its canonical address and to the target of its refresh redirect, where it names them."""
-    html, tag = F.coalesce("html", F.lit("")), r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""
-    canonical = _attribute(F.regexp_extract(html, tag, 1), "href")
-    meta = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    redirect = F.trim(F.regexp_extract(_attribute(meta, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1))
-    links = pages.where("url is not null").select("url", F.explode(F.array(canonical, redirect)).alias("link")).where("link <> ''")
+    """src, dst: from each page to every address that a canonical link or a refresh redirect of it names."""
+    tags = lambda pattern: F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(pattern), F.lit(1))
+    canonical = F.transform(tags(r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""), lambda tag: _attribute(tag, "href"))
+    redirect = F.transform(tags(r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)"""), lambda tag: F.trim(F.regexp_extract(_attribute(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1)))
+    links = pages.where("url is not null").select("url", F.explode(F.concat(canonical, redirect)).alias("link")).where("link <> ''")
     return links.select(address(F.col("url")).alias("src"), address(resolved(F.col("url"), F.col("link"))).alias("dst")).distinct()
 
 
@@ -81,7 +92,8 @@ def judged(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = No
     """Each row of pages (page_id, url, html) with host, path, rule, verdict and component (null: no links).
 
     redirects: further edges (src, dst), such as a crawler's log of HTTP redirects. Null urls and those without :// have an empty host
-    and path; no rule fits them. Rows that repeat a url share its verdict. Without a rule the verdict is block where the component
+    and path; no rule fits them. Rows that repeat a url, or write its scheme or host in another case, share its verdict. Null html has no links;
+    of several canonical links or redirects in a page each counts. Other columns of pages are ignored; an empty table gives an empty result. Without a rule the verdict is block where the component
     holds a blocked address and no allowed one, else allow. Hot components are split by the join, no group is collected.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))

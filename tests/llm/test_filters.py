@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandex.llm import contamination, quality, toxicity, url_filter
 from strandex.llm.queries import RULES
@@ -37,6 +38,29 @@ def test_decisions_reach_aliases(spark):
     assert verdicts(spark, []) == {}
 
 
+def canonical(to):
+    return f'<link rel="canonical" href="{to}">'
+
+
+def test_case_references_and_several_tags(spark):
+    rows = [
+        ("HTTP://Site.com/a", canonical("http://other.net/x")), ("http://site.COM/a#b", None), ("http://site.com/A", None),
+        ("http://q.com/1", canonical("http://r.com/?a=1&amp;b=2")), ("http://r.com/?a=1&b=2", canonical("http://bad.net/")),
+        ("http://two.com/", canonical("http://clean.com/") + canonical("http://evil.net/")), ("http://two.com/", None), ("http://two.com/", "<p>"), (None, canonical("http://evil.net/")),
+    ]
+    got = {k: v[3] for k, v in verdicts(spark, rows).items()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow"}
+
+
+def test_a_long_chain_and_a_hot_component(spark):
+    chain = [(f"http://c{i}.com/", canonical(f"http://c{i + 1}.com/")) for i in range(150)] + [("http://c150.com/", canonical("http://end.net/"))]
+    hub = [(f"http://h{i}.com/", "<meta http-equiv=refresh content='0;url=http://hub.com/'>") for i in range(1500)]
+    free = [(f"http://f{i}.com/", canonical("http://x.org/fr/")) for i in range(20)] + [("http://f0.com/", canonical("http://bad.net/"))]
+    table = pages(spark, chain + hub + [("http://hub.com/", canonical("http://hub.net/"))] + free).withColumns({"rule": F.lit("x"), "key": F.lit(1), "component": F.lit(None)})
+    got = [r.verdict for r in url_filter.judged(table, RULES).orderBy("page_id").collect()]
+    assert got == ["block"] * (151 + 1501) + ["allow"] * 21
+
+
 def test_longest_rule_wins(spark):
     rules = [Rule("com", "/", "block"), Rule("a.com", "/", "allow"), Rule("a.com", "/x/", "block")]
     got = verdicts(spark, [("http://a.com/", None), ("http://w.a.com/x/y", None), ("http://b.com/", None)], rules)
