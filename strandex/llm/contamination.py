@@ -1,8 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
 
-Normalised: A-Z lower-cased, words are runs of digits, letters and non-ASCII characters, joined by single spaces.
-Patterns are windows of ten words (a shorter item is one window) between two spaces, so matches start and end at word borders.
-A text is scanned once; word numbers found in the normalised text lead back to character spans of the original.
+Normalised: A-Z lower-cased, words are runs of digits, letters and non-ASCII characters. Patterns are windows of ten words (a shorter item is one
+window). The automaton's symbols are numbers of words, so matches start and end at word borders and a window costs ten nodes at most; words that no
+benchmark item has are one symbol that no pattern has. A text is scanned once; word numbers found lead back to character spans of the original.
 """
 
 from __future__ import annotations
@@ -10,110 +10,139 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, worker_cache
+from .common import batches, stored, worker_cache
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+PART_BYTES = 2 << 20  # of benchmark texts in one automaton, which takes some 80 bytes for each of them
+_RANGES = "array<struct<start:int,end:int>>"
+FOUND = f"doc_id long, n_words long, n_hit long, items array<string>, spans {_RANGES}"
 
 
-def normalised(text: str) -> tuple[int, str]:
-    """Number of words, and the words between single spaces (with one at each end)."""
-    words = text.encode("utf-8", "replace").lower().translate(_SPACED).split()
-    return len(words), (b" " + b" ".join(words) + b" ").decode() if words else ""
+def normalised(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().translate(_SPACED).split()
 
 
-def windows(items: list[tuple[str, str]], size: int) -> dict[str, list[str]]:
-    """Pattern -> ids of the items that have it."""
-    out: dict[str, set[str]] = {}
-    for item, text in items:
-        words = normalised(text)[1].split()
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            out.setdefault(f" {' '.join(words[i : i + size])} ", set()).add(item)
-    return {w: sorted(ids) for w, ids in out.items()}
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (start, end) in ascending order; those that touch or overlap become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 class Automaton:
-    def __init__(self, patterns: dict[str, list[str]]):
+    def __init__(self, items: list[tuple[str, str]], size: int):
         import ahocorasick
 
-        self.machine = ahocorasick.Automaton()
-        for w, ids in patterns.items():
-            self.machine.add_word(w, (w.count(" ") - 1, ids))
-        if patterns:
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.names = sorted({name for name, _ in items})
+        self.numbers: dict[bytes, int] = {}
+        place = {name: k for k, name in enumerate(self.names)}
+        found: dict[tuple, set[int]] = {}
+        for name, text in items:
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in normalised(text)]
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                found.setdefault(tuple(words[i : i + size]), set()).add(place[name])
+        for window, names in found.items():
+            self.machine.add_word(window, (len(window), tuple(names)))
+        self.empty = not found
+        if found:
             self.machine.make_automaton()
-        self.empty = not patterns
 
-    def scan(self, text: str) -> tuple[int, np.ndarray, list[str], list[tuple[int, int]]]:
-        """Number of words, numbers of the words hit, sorted item ids, merged (start, end) spans of the original text."""
-        n, norm = normalised(text)
-        found = list(self.machine.iter(norm)) if n and not self.empty else []
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Number of words, merged ranges of the words hit, sorted item ids."""
+        words = normalised(text)
+        if self.empty or not words:
+            return len(words), [], []
+        known = self.numbers.get
+        found = list(self.machine.iter(tuple([known(w, 0) for w in words])))
         if not found:
-            return n, np.empty(0, int), [], []
-        spaces = np.flatnonzero(np.frombuffer(norm.encode("utf-32-le"), "<u4") == 32)
-        ends = np.searchsorted(spaces, [e for e, _ in found])
-        change = np.zeros(n + 1, int)
-        np.add.at(change, ends - [k for _, (k, _) in found], 1)
-        np.add.at(change, ends, -1)
-        hit = np.flatnonzero(np.cumsum(change)[:n])
-        items = sorted({i for _, (_, ids) in found for i in ids})
-        places = [m.span() for m in WORDS.finditer(text)]
-        cuts = np.flatnonzero(np.diff(hit) > 1)
-        spans = [(places[hit[a]][0], places[hit[b]][1]) for a, b in zip([0, *(cuts + 1)], [*cuts, len(hit) - 1])]
-        return n, hit, items, spans
-
-
-def _patterns(benchmark: DataFrame, size: int, max_benchmark_bytes: int):
-    """A broadcast of all patterns, and a key for it; the size of the texts is checked first."""
-    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if held > max_benchmark_bytes:
-        raise ValueError(f"the benchmark's texts have {held} bytes, over {max_benchmark_bytes}; pass it in parts")
-    patterns = windows([tuple(r) for r in items.collect()], size)
-    key = hashlib.sha256(repr(sorted(patterns.items())).encode()).hexdigest()
-    return benchmark.sparkSession.sparkContext.broadcast(patterns), key
+            return len(words), [], []
+        names = {k for _, (_, ids) in found for k in ids}
+        return len(words), merged([(end + 1 - n, end + 1) for end, (n, _) in found]), sorted(self.names[k] for k in names)
 
 
-def _machine(shared, key: str) -> Automaton:
-    """One automaton for each Python worker, kept from task to task."""
-    return worker_cache("automaton", key, lambda: Automaton(shared.value))
+def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Characters of the original text from the first to the last word of each range."""
+    places = [m.span() for m in WORDS.finditer(text)] if ranges else []
+    return [(places[a][0], places[b - 1][1]) for a, b in ranges]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_benchmark_bytes: int = 32 << 20) -> DataFrame:
-    """Each row of docs (doc_id, text) with n_words, n_hit, items and spans.
+def _parts(benchmark: DataFrame, size: int, part_bytes: int):
+    """For each part of the benchmark a function that gives its automaton, one for each Python worker and kept from task to task.
 
-    Null and empty texts have no words; null items are ignored, an item with a null id counts under the id "".
-    The automaton goes to every task, so the benchmark's texts may have max_benchmark_bytes at most, which is checked; a larger
-    benchmark must be passed in parts. Repeated rows each get their own row; extra columns are not kept.
+    A part's texts have about part_bytes (or are one item); it is all that the driver, a broadcast and an automaton hold at a time.
     """
-    shared, key = _patterns(benchmark, size, max_benchmark_bytes)
-
-    def scan(it):
-        machine = _machine(shared, key)
-        for rows in batches(it, ["doc_id", "text"]):
-            found = [machine.scan(t or "") for _, t in rows]
-            spans = [[{"start": a, "end": b} for a, b in f[3]] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-held // part_bytes))
+    dealt = stored(items, "benchmark") if n > 1 else items
+    for k in range(n):
+        mine = sorted(tuple(r) for r in dealt.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+        key = hashlib.sha256(repr((size, mine)).encode()).hexdigest()
+        shared = benchmark.sparkSession.sparkContext.broadcast(mine)
+        yield lambda shared=shared, key=key: worker_cache("automaton", key, lambda: Automaton(shared.value, size))
 
-    return docs.select("doc_id", "text").mapInArrow(scan, FOUND)
 
+def _ranges(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_benchmark_bytes: int = 32 << 20) -> DataFrame:
-    """docs without the rows that hold a benchmark window; all columns and all other rows stay as they are."""
-    shared, key = _patterns(benchmark, size, max_benchmark_bytes)
 
-    def clean(it):
-        machine = _machine(shared, key)
-        for batch in it:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([not len(machine.scan(t.as_py() or "")[1]) for t in texts], pa.bool_()))
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Each row of docs (doc_id, text) with n_words, n_hit, items and spans.
 
-    return docs.mapInArrow(clean, docs.schema)
+    Null and empty texts have no words; null items are ignored, an item with a null id counts under the id "", repeated items count once. Repeated rows
+    and rows with a null doc_id each get their own row; extra columns are not kept, whatever their names. A benchmark of more than part_bytes is scanned
+    for in several passes over docs, whose hits are united: the result is the same, however many there are.
+    """
+    machines = list(_parts(benchmark, size, part_bytes))
+    now = docs.select("doc_id", "text")
+    for k, machine in enumerate(machines):
+        last, later = k == len(machines) - 1, k > 0
+
+        def scan(it, machine=machine, last=last, later=later):
+            automaton = machine()
+            for rows in batches(it, ["doc_id", "text", "ranges", "items"] if later else ["doc_id", "text"]):
+                found = [automaton.scan(r[1] or "") for r in rows]
+                if later:
+                    found = [(n, merged(a + [(x["start"], x["end"]) for x in r[2]]), sorted({*i, *r[3]})) for (n, a, i), r in zip(found, rows)]
+                columns = {"doc_id": pa.array([r[0] for r in rows], pa.int64())}
+                if last:
+                    columns["n_words"] = pa.array([f[0] for f in found], pa.int64())
+                    columns["n_hit"] = pa.array([sum(b - a for a, b in f[1]) for f in found], pa.int64())
+                else:
+                    columns["text"] = pa.array([r[1] for r in rows], pa.string())
+                columns["items"] = pa.array([f[2] for f in found], pa.list_(pa.string()))
+                columns["spans" if last else "ranges"] = _ranges([spans(r[1] or "", f[1]) for r, f in zip(rows, found)] if last else [f[1] for f in found])
+                yield pa.RecordBatch.from_pydict(columns)
+
+        now = now.mapInArrow(scan, FOUND if last else f"doc_id long, text string, items array<string>, ranges {_RANGES}")
+        if not last:
+            now = stored(now, "contamination")
+    return now
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
+    """docs without the rows that hold a benchmark window; all columns and all other rows stay as they are."""
+    machines = list(_parts(benchmark, size, part_bytes))
+    now = docs
+    for k, machine in enumerate(machines):
+
+        def clean(it, machine=machine):
+            automaton = machine()
+            for batch in it:
+                texts = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([not automaton.scan(t.as_py() or "")[1] for t in texts], pa.bool_()))
+
+        now = now.mapInArrow(clean, docs.schema)
+        if k < len(machines) - 1:
+            now = stored(now, "clean")
+    return now
