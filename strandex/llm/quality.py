@@ -127,9 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     """Trees from labelled documents whose crc32(doc_id as text) mod folds isn't held_out.
 
     max_rows bounds the sample: of more labelled rows, those with the smallest hashes of their ids are taken, a few less than
-    max_rows. Rows with a null label or id teach nothing; without any labelled row every score is 0.5.
+    max_rows; rows of docs that repeat an id share the bound. Of several labels of an id the largest counts. Rows with a null label or id teach nothing;
+    without any labelled row every score is 0.5.
     """
-    known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).select("doc_id", F.col(label).alias("label"))
+    known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).select("doc_id", F.col(label).cast("long").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     share = min(1.0, 0.97 * max_rows / max(1, n))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
@@ -139,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
 
 def scored(docs: DataFrame, trees: Trees, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs (doc_id, text); null text is empty text, null ids aren't held out."""
+    """doc_id, held_out, score, predicted of each row of docs (doc_id, text). Null text is empty text, which has a score too; a null id counts as fold 0.
+    Repeated rows are scored one by one, equal texts alike; other columns are ignored; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(it):
@@ -152,7 +154,7 @@ def scored(docs: DataFrame, trees: Trees, folds: int = 4, held_out: int = 2, thr
 
 
 def good_documents(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score threshold or more, with all their columns."""
+    """The rows of docs that score threshold or more, with all their columns; null ids, repeated rows and columns of any names pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def keep(it):

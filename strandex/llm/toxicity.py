@@ -96,22 +96,27 @@ def mapped(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dense_kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """k(u, v) for all u in a, v in b; for landmarks and training words, whose numbers are bounded."""
-    out = np.zeros((len(a), len(b)))
+    """k(u, v) for all u in a, v in b; for words against landmarks, whose subsequences make up one small table."""
     rows, subs, w = mapped(b)
-    table = np.zeros((SYMBOLS**3, 64), np.float32)
-    for at in range(0, len(b), 64):
-        mine = (rows >= at) & (rows < at + 64)
-        table[subs[mine], rows[mine] - at] = w[mine]
-        for lo in range(0, len(a), 512):
-            r, s, v = mapped(a[lo : lo + 512])
-            if len(r):
-                first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                out[lo + r[first], at : at + 64] = np.add.reduceat(v[:, None] * table[s], first)[:, : min(64, len(b) - at)]
-        table[subs[mine]] = 0
+    seen, at = np.unique(subs, return_inverse=True)
+    table = np.zeros((len(seen) + 1, len(b)), np.float32)
+    table[at, rows] = w
+    index = np.full(SYMBOLS**3, len(seen), np.int32)
+    index[seen] = np.arange(len(seen))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(a), 512):
+        r, s, v = mapped(a[lo : lo + 512])
+        if len(r):
+            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            out[lo + r[first]] = np.add.reduceat(v[:, None].astype(np.float32) * table[index[s]], first)
     return out
 
 
+def pieces_of(word: str) -> list[str]:
+    """The word, or overlapping pieces of LENGTH characters that cover a longer one."""
+    return [word[at : at + LENGTH] for at in range(0, max(1, len(word) - LENGTH // 2), LENGTH // 2)]
+
+
 @dataclass
 class Model:
     table: np.ndarray  # weight of each subsequence
@@ -123,8 +128,8 @@ class Model:
         """The SVM's decision for each word; the worst piece counts for long ones."""
         pieces, owner = [], []
         for k, w in enumerate(words):
-            for at in range(0, max(1, len(w) - LENGTH // 2), LENGTH // 2):
-                pieces.append(w[at : at + LENGTH])
+            for piece in pieces_of(w):
+                pieces.append(piece)
                 owner.append(k)
         out = np.full(len(words), -np.inf)
         order = np.argsort([len(p) for p in pieces], kind="stable")  # words of one length share a matrix without padding
@@ -166,16 +171,19 @@ class WordCache:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, rounds: int = 60) -> np.ndarray:
     """Squared-hinge linear SVM by Newton steps; the last weight is the constant. y in {-1, 1}."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        a, b = x[on], weight[on]
-        gradient = ridge @ w - 2 * c * (a * (b * y[on] * slack[on])[:, None]).sum(0)
-        step = np.linalg.solve(ridge + 2 * c * (a * b[:, None]).T @ a, gradient)
+        slack = 1 - y * (x @ w[:-1] + w[-1])
+        on = np.flatnonzero(slack > 0)
+        gradient, curve = ridge @ w, ridge.copy()
+        for lo in range(0, len(on), 8_192):
+            k = on[lo : lo + 8_192]
+            a = np.concatenate([x[k], np.ones((len(k), 1))], 1)
+            gradient -= 2 * c * a.T @ (weight[k] * y[k] * slack[k])
+            curve += 2 * c * (a * weight[k][:, None]).T @ a
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -192,18 +200,19 @@ def train_words(toxic: list[str], clean: list[str], landmarks: int) -> Model:
     if not toxic or not clean:
         return Model(np.zeros(SYMBOLS**3, np.float32), -1.0, np.array([0.0] * TOP + [-3.0 if clean else 0.0]), [])
     marks = toxic[: landmarks // 2]
-    near = dense_kernel(clean, marks[:64]).max(1)
+    near = np.concatenate([dense_kernel(clean[lo : lo + 16_384], marks).max(1) for lo in range(0, len(clean), 16_384)])
     hard = np.argsort(-near, kind="stable")  # the clean words most like an insult, and the most frequent ones
     marks = list(dict.fromkeys([*marks, *(clean[k] for k in hard[: (landmarks - len(marks)) // 2]), *clean[:landmarks]]))[:landmarks]
-    k = dense_kernel(marks, marks)
+    k = dense_kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    varied = [v for w in toxic[:400] if len(w) >= 5 for v in inserted(w)]
+    varied = [v for w in toxic if len(w) >= 5 for v in inserted(w)]
     words = toxic + varied + clean
     y = np.array([1.0] * (len(toxic) + len(varied)) + [-1.0] * len(clean))
     weight = np.concatenate([np.full(len(x), share / max(1, len(x))) for x, share in ((toxic, 0.4), (varied, 0.1), (clean, 0.5))]) * len(toxic)
-    w = svm(dense_kernel(words, marks) @ root, y, weight)
+    x = np.concatenate([(dense_kernel(words[lo : lo + 16_384], marks) @ root).astype(np.float32) for lo in range(0, len(words), 16_384)])
+    w = svm(x, y, weight)
     b = root @ w[:-1]
     table = np.zeros(SYMBOLS**3, np.float32)
     r, s, v = mapped(marks)
@@ -226,28 +235,32 @@ def calibrated(tops: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, landmarks: int = 256, max_words: int = 20_000, max_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, landmarks: int = 256, max_rows: int = 20_000) -> Model:
     """A model from labelled documents whose crc32(doc_id as text) mod folds isn't held_out.
 
     max_rows bounds the sample: of more labelled rows those with the smallest hashes of their ids are taken, a few less
-    than max_rows. At most max_words words of each class train the SVM (those in most contexts). Null labels, ids and texts teach nothing.
+    than max_rows; rows of docs that repeat an id share the bound. Of several labels of an id the largest counts. Null labels, ids and texts teach
+    nothing; without labelled texts of both kinds every score is the same. All words of the sample that pass the tests below train the SVM.
     """
-    known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).select("doc_id", F.col(label).cast("long").alias("label"))
+    known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("label"))
     share = min(1.0, 0.97 * max_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
-    rows = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label"), "toxic-sample")
+    rows = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label").limit(max_rows), "toxic-sample")
 
     def contexts(it):
+        import xxhash
+
         for batch in batches(it, ["text", "label"]):
             seen = {}
             for text, y in batch:
                 words = [w for w in map(folded, spelled(text.split())) if w]
                 for before, w in zip(["", *words], words):
                     if len(w) >= 3:
-                        seen[w[:LENGTH], before[:LENGTH], y] = None
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array([k[2] for k in seen], pa.int32())], ["word", "before", "label"])
+                        context = xxhash.xxh64_intdigest(before) >> 1
+                        seen.update(((piece, context, y), None) for piece in pieces_of(w) if len(piece) >= 3)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int64()), pa.array([k[2] for k in seen], pa.int32())], ["word", "before", "label"])
 
-    pairs = rows.mapInArrow(contexts, "word string, before string, label int").distinct()
+    pairs = rows.mapInArrow(contexts, "word string, before long, label int").distinct()
     counts = stored(pairs.groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")), "toxic-words")
     n = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("*").alias("words")).first()
     prior = max(1, n.bad) / max(1, n.bad + n.good)
@@ -256,8 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     term = lambda k, p: F.when(k > 0, k * F.log(k / (c * p))).otherwise(0.0)
     strength = term(F.col("bad"), prior) + term(F.col("good"), 1 - prior)
     often = F.col("bad") / c
-    toxic = [r.word for r in counts.where((often > 0.9) & (strength > math.log(max(1, n.words)) + 1)).orderBy(F.desc("bad"), "word").limit(max_words).collect()]
-    clean = [r.word for r in counts.where((F.col("good") >= 2) & (often < 2 * prior)).orderBy(F.desc("good"), "word").limit(max_words).collect()]
+    toxic = [r.word for r in counts.where((often > 0.9) & (strength > math.log(max(1, n.words)) + 1)).orderBy(F.desc("bad"), "word").collect()]
+    clean = [r.word for r in counts.where((F.col("good") >= 2) & (often < 2 * prior)).orderBy(F.desc("good"), "word").collect()]
     model = train_words(toxic, clean, landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -273,7 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs (doc_id, text); null text is empty, a null id counts as fold 0."""
+    """doc_id, held_out, score, predicted of each row of docs (doc_id, text). Null text is empty, which has a score too; a null id counts as fold 0, so
+    it is held out where that is. Repeated rows are scored one by one, equal texts alike; other columns are ignored; an empty table gives an empty result."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(it):
