@@ -153,11 +153,11 @@ class Counts:
 
 
 def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0, alpha: float = 0.1, heavy: int = HEAVY, classes: int = 6) -> DataFrame:
-    """A row for each row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """A row for each row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Rows whose crc32(doc_id as text) mod folds is held_out are not learned from; a null doc_id counts as 0. A text's tokens are its words
     and one end, so null and empty texts have one token. base_score is the log10 probability under counts smoothed by alpha,
-    score under the lattice model; lang only sorts training rows into classes (the most frequent languages, one class for the rest and nulls).
+    score under the whole model, lattice_score under the lattice without the arcs of seen words and without classes; lang only sorts training rows into classes (the most frequent languages, one class for the rest and nulls).
     Repeated rows are scored (and, in training, counted) one by one; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -180,6 +180,8 @@ def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0,
     everything = Counts(n, v, sums.once_c, sums.twice_c)
     each = [Counts(sums[f"n_{c}"] + int(e), sums[f"v_{c}"] + int(e > 0), sums[f"once_{c}"], sums[f"twice_{c}"]) for c, e in zip(columns, ends)]
     lattice = spark.sparkContext.broadcast(trained(words.where("c > 0"), model_path))
+    stop = (end + 1) / (n + 2)  # the lattice alone has no word counts: a text goes on or ends after each word
+    go_on = math.log10(1 - stop)
     log_base = lambda c: np.log10((np.asarray(c, float) + alpha) / (n + alpha * (v + 1)))
 
     def mixed(total, by_class, logs):
@@ -193,15 +195,16 @@ def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0,
     def score_words(it):
         for part in batches(it, ["word", "t", "c", *columns], 500_000):
             counts = np.array([r[2:] for r in part], np.int64).T
-            lm = mixed(counts[0], counts[1:], [lattice.value.word(r[0].encode()) for r in part])
+            alone = np.array([lattice.value.word(r[0].encode()) for r in part])
+            lm = [*mixed(counts[0], counts[1:], alone), alone / math.log(10) + go_on]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()), pa.array(counts[0]), pa.array(log_base(counts[0])), *map(pa.array, lm)], ["word", "t", "c", "base", *logs_of])
 
-    logs_of = [f"lm{k}" for k in range(size)]
+    logs_of = [f"lm{k}" for k in range(size + 1)]  # by class, and under the lattice alone
     doubles = "".join(f", {c} double" for c in logs_of)
     table = stored(words.mapInArrow(score_words, f"word string, t long, c long, base double{doubles}"), "word-scores")
     least = (sums.t + heavy) // heavy  # at most `heavy` words can have that many of sums.t tokens
     top = table.where(F.col("t") >= least).toArrow()
-    end_base, end_lm = float(log_base([end])[0]), np.array([float(x[0]) for x in mixed([end], ends[:, None], [-700.0])])
+    end_base, end_lm = float(log_base([end])[0]), np.array([float(x[0]) for x in mixed([end], ends[:, None], [-700.0])] + [math.log10(stop)])
     shared = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy() > 0, top["base"].to_numpy(), np.stack([top[c].to_numpy() for c in logs_of], 1)))
     key = words.stored_path
 
@@ -210,7 +213,7 @@ def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0,
 
         def unpacked():
             names, known, base, lm = shared.value
-            return _Heavy((w.encode(), i) for i, w in enumerate(names)), np.append(known, False), np.append(base, 0.0), np.append(lm, np.zeros((1, size)), 0)
+            return _Heavy((w.encode(), i) for i, w in enumerate(names)), np.append(known, False), np.append(base, 0.0), np.append(lm, np.zeros((1, size + 1)), 0)
 
         index, known, base, lm = worker_cache("heavy words", key, unpacked)
         uid = TaskContext.get().partitionId() << 36
@@ -234,7 +237,7 @@ def scored(docs: DataFrame, model_path: str, folds: int = 10, held_out: int = 0,
     out = scores.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm").join(extra, "uid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     weights = np.log10((ends + 1) / (ends.sum() + size))
-    by_class = [F.col("lm")[k] + zero(c) + float(weights[k]) for k, c in enumerate(logs_of)]
+    by_class = [F.col("lm")[k] + zero(c) + float(weights[k]) for k, c in enumerate(logs_of[:-1])]
     best = F.greatest(*by_class, by_class[0])
     score = best + F.log10(sum(F.pow(F.lit(10.0), x - best) for x in by_class))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("xk", F.lit(0))).alias("n_known"), F.lit(int(n)).alias("train_tokens"), (F.col("base") + zero("xb")).alias("base_score"), score.alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("xk", F.lit(0))).alias("n_known"), F.lit(int(n)).alias("train_tokens"), (F.col("base") + zero("xb")).alias("base_score"), score.alias("score"), (F.col("lm")[size] + zero(logs_of[-1])).alias("lattice_score"))

@@ -68,10 +68,10 @@ def test_longest_rule_wins(spark):
 
 
 def brute_hits(text, items, size=10):
-    words = contamination.normalised(text or "")[1].split()
+    words = contamination.normalised(text or "")
     hit, found = set(), set()
     for item, t in items:
-        w = contamination.normalised(t)[1].split()
+        w = contamination.normalised(t)
         if not w:
             continue
         k = min(size, len(w))
@@ -83,20 +83,25 @@ def brute_hits(text, items, size=10):
     return len(words), len(hit), sorted(found)
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("part_bytes", [1 << 20, 40])
+def test_contamination(spark, part_bytes):
     item = "What IS the, capital of Fran-ce today? Answer: Paris (the city of light)"
-    texts = ["x " * 30 + item + " tail", item.upper(), item.replace(" ", "\n--"), "the city", None, "", "café short item", "Café Short  ITEM café"]
-    bench = spark.createDataFrame([(1, item), (10, "café short item"), (2, ""), (3, None), (11, "...")], "item_id long, text string")
-    items = [("1", item), ("10", "café short item")]
-    for r in contamination.contaminated(docs(spark, texts), bench).collect():
-        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items)
-        for a, b in r.spans:
-            assert contamination.normalised(texts[r.doc_id][a:b])[1].strip() in contamination.normalised(texts[r.doc_id])[1]
-    kept = contamination.clean_documents(docs(spark, texts), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5] and kept.columns == docs(spark).columns
-    assert contamination.contaminated(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
-    with pytest.raises(ValueError, match="in parts"):
-        contamination.contaminated(docs(spark, texts), bench, max_benchmark_bytes=10)
+    texts = ["x " * 30 + item + " tail", item.upper(), item.replace(" ", "\n--"), "the city", None, "", "café short item", "Café Short  ITEM café", "of light) What IS the, capital of Fran-ce today? Answer: Paris"]
+    bench = spark.createDataFrame([(1, item), (10, "café short item"), (2, ""), (3, None), (11, "..."), (1, item), (12, "of light What is the capital of fran ce today answer paris"), (None, "short item")], "item_id long, text string")
+    items = [("1", item), ("10", "café short item"), ("12", "of light What is the capital of fran ce today answer paris"), ("", "short item")]
+    table = docs(spark, [*texts, item], [*range(7), 7, None, 7]).withColumns({"items": F.lit(1), "ranges": F.lit(2), "n_words": F.lit("x")})
+    by_text = {t: brute_hits(t, items) for t in [*texts, item]}
+    rows = contamination.contaminated(table, bench, part_bytes=part_bytes).collect()
+    assert sorted(((r.n_words, r.n_hit, r["items"]) for r in rows), key=str) == sorted(by_text.values(), key=str)
+    for r in rows:
+        if r.doc_id not in (7, None):
+            assert (r.n_words, r.n_hit, r["items"]) == by_text[texts[r.doc_id]]
+            inside = [w for a, b in r.spans for w in contamination.normalised(texts[r.doc_id][a:b])]
+            assert len(inside) == r.n_hit
+    assert sorted(r.doc_id is None for r in rows) == [False] * (len(rows) - 1) + [True] and sum(r.doc_id == 7 for r in rows) == 2
+    kept = contamination.clean_documents(table, bench, part_bytes=part_bytes)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5] and kept.columns == table.columns
+    assert contamination.contaminated(table, bench.limit(0)).where("n_hit > 0").count() == 0 and contamination.contaminated(table.limit(0), bench).count() == 0
 
 
 def test_contamination_of_a_table(spark):
@@ -161,6 +166,23 @@ def test_toxicity(spark):
     assert toxicity.scored(d, empty).where("score < 0 or score > 1").count() == 0
 
 
+@pytest.mark.parametrize("operator, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_scores_of_repeated_and_null_rows(spark, operator, label):
+    d = small(spark).select("doc_id", "text").where("doc_id < 60")
+    known = table(spark, "sf0.001", "labels")
+    odd = known.union(known).select("doc_id", "quality", "toxic").union(spark.createDataFrame([(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").select(*(F.col(c).cast(t) for c, t in known.select("doc_id", "quality", "toxic").dtypes)))
+    many = d.union(d).union(spark.createDataFrame([(None, "some words"), (7, None), (7, "")], "doc_id long, text string")).withColumns({"label": F.lit("x"), "x": F.lit(1), "held_out": F.lit(None), "score": F.lit(2)})
+    model = operator.fit(many, odd, max_rows=1000)
+    rows = operator.scored(many, model).collect()
+    assert len(rows) == many.count() and all(0 <= r.score <= 1 for r in rows) and sum(r.doc_id is None for r in rows) == 1
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.doc_id, []).append(round(r.score, 12))
+    assert all(len(set(s)) == 1 for i, s in by_id.items() if i != 7) and len(set(by_id[7])) <= 2
+    none = operator.scored(d, operator.fit(d, known.limit(0))).select("score").distinct().count()
+    assert none == 1 and operator.scored(d.limit(0), model).count() == 0 and operator.fit(d.limit(0), known) is not None
+
+
 def slow_kernel(u, v):
     """Gap-weighted subsequences of three characters, by definition."""
     def features(w):
