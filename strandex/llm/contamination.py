@@ -56,6 +56,8 @@ class Automaton:
         self.empty = not found
         if found:
             self.machine.make_automaton()
+        #: Runs of known words that are as long as the shortest pattern; no match reaches over an unknown word.
+        self.runs = re.compile(b"\x01{%d,}" % min(map(len, found), default=1))
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, merged ranges of the words hit, sorted item ids."""
@@ -63,11 +65,14 @@ class Automaton:
         if self.empty or not words:
             return len(words), [], []
         known = self.numbers.get
-        found = list(self.machine.iter(tuple([known(w, 0) for w in words])))
-        if not found:
-            return len(words), [], []
-        names = {k for _, (_, ids) in found for k in ids}
-        return len(words), merged([(end + 1 - n, end + 1) for end, (n, _) in found]), sorted(self.names[k] for k in names)
+        symbols = [known(w, 0) for w in words]
+        hits, names = [], set()
+        for run in self.runs.finditer(bytes(map(bool, symbols))):
+            first = run.start()
+            for end, (n, ids) in self.machine.iter(tuple(symbols[first : run.end()])):
+                hits.append((first + end + 1 - n, first + end + 1))
+                names.update(ids)
+        return len(words), merged(hits), sorted(self.names[k] for k in names)
 
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
