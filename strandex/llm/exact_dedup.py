@@ -118,11 +118,12 @@ def _grouped(placed: DataFrame, digest=sha256_digest, state_dir: str | None = No
     if earlier:  # the kept row may be one of an earlier run
         far = stored(state.where("n > 1").join(hits.where("stays").select("digest"), "digest", "left_anti").select("digest", F.col("best").alias("at")), "dedup-far")
         kept_text = kept_text.union(_fetched(far).select("digest", "text"))
-    odd, size = counted(hits.where("not stays").join(kept_text, "digest").where(F.col("text").cast("binary") != F.col("kept_text").cast("binary")).select("digest").distinct(), "dedup-collisions", n=F.count("*"))
+    odd, size = counted(hits.where("not stays").join(kept_text, "digest").where(F.col("text").cast("binary") != F.col("kept_text").cast("binary")).select("digest"), "dedup-collisions", n=F.count("*"))
     grouped = rows.withColumn("at", at).join(state, "digest")
     if not size["n"]:
         return _decided(grouped)
     # A digest with several texts: its rows, those of earlier runs too, are grouped by their texts.
+    odd = odd.distinct()  # not above, so that the join on a hot digest can be split
     texts = hits.join(odd, "digest", "left_semi").select("digest", "at", "text")
     if earlier:
         texts = texts.union(_fetched(stored(digests().where(F.col("run") != run).join(odd, "digest", "left_semi").select("digest", at.alias("at")), "dedup-earlier")).select("digest", "at", "text"))
