@@ -161,18 +161,23 @@ def read_ids(manifest: DataFrame) -> DataFrame:
             for uri, at in rows:
                 system, path = _open(uri)
                 with system.open_input_file(path) as source:
-                    ids, starts, lengths, sums = [], [], [], []
+                    found = []
                     for doc_id, data in FrameReader(source, source.size()).scan():
-                        ids.append(doc_id)
-                        starts.append(at)
-                        lengths.append(len(data) // 4)
-                        sums.append(zlib.crc32(data))
+                        found.append((doc_id, at, len(data) // 4, zlib.crc32(data)))
                         at += len(data) // 4
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, lengths, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(found) >= 10_000:
+                            yield _documents(found)
+                            found = []
+                    if found:
+                        yield _documents(found)
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _documents(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read_documents(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """doc_id and ids (array) of the requested documents only; doc_ids: a DataFrame with a column doc_id.
 

@@ -63,6 +63,11 @@ def test_token_counts(spark):
     assert pair_counts.token_counts(docs(spark, []), WORDS).count() == 0
 
 
+def test_token_counts_of_null_and_repeated_ids(spark):
+    rows = pair_counts.token_counts(docs(spark, ["two words", "two words", None, "x"], [None, None, 1, 1]), WORDS).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in rows), key=str) == [(1, 0, 0), (1, 1, 1), (None, 9, 2), (None, 9, 2)]
+
+
 def expected_ids(texts, end):
     t = Tokenizer.from_file(BYTES)
     return [np.array(t.encode(x or "", add_special_tokens=False).ids + [end], "<u4") for x in texts]
