@@ -175,7 +175,7 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, round
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        slack = 1 - y * (x @ w[:-1] + w[-1])
+        slack = 1 - y * (x @ w[:-1].astype(x.dtype) + w[-1])  # x stays as it is, not widened as a whole
         on = np.flatnonzero(slack > 0)
         gradient, curve = ridge @ w, ridge.copy()
         for lo in range(0, len(on), 8_192):
@@ -211,7 +211,9 @@ def train_words(toxic: list[str], clean: list[str], landmarks: int) -> Model:
     words = toxic + varied + clean
     y = np.array([1.0] * (len(toxic) + len(varied)) + [-1.0] * len(clean))
     weight = np.concatenate([np.full(len(x), share / max(1, len(x))) for x, share in ((toxic, 0.4), (varied, 0.1), (clean, 0.5))]) * len(toxic)
-    x = np.concatenate([(dense_kernel(words[lo : lo + 16_384], marks) @ root).astype(np.float32) for lo in range(0, len(words), 16_384)])
+    x = np.empty((len(words), root.shape[1]), np.float32)
+    for lo in range(0, len(words), 16_384):
+        x[lo : lo + 16_384] = dense_kernel(words[lo : lo + 16_384], marks) @ root
     w = svm(x, y, weight)
     b = root @ w[:-1]
     table = np.zeros(SYMBOLS**3, np.float32)
@@ -239,13 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     """A model from labelled documents whose crc32(doc_id as text) mod folds isn't held_out.
 
     max_rows bounds the sample: of more labelled rows those with the smallest hashes of their ids are taken, a few less
-    than max_rows; rows of docs that repeat an id share the bound. Of several labels of an id the largest counts. Null labels, ids and texts teach
+    than max_rows. Of several labels of an id the largest counts, of several texts the last in order. Null labels, ids and texts teach
     nothing; without labelled texts of both kinds every score is the same. All words of the sample that pass the tests below train the SVM.
     """
     known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("label"))
     share = min(1.0, 0.97 * max_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
-    rows = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label").limit(max_rows), "toxic-sample")
+    rows = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("text", "label"), "toxic-sample")
 
     def contexts(it):
         import xxhash
