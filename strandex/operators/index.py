@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import chosen_depth
-from ..functions.storage import stored
+from ..functions.storage import counted, stored
 from ..sources.graphs import StringGraph, located, running_sum
 from .paths import levels
 
@@ -54,10 +54,10 @@ def build_pairs(graph: StringGraph, k: int, starts: DataFrame | None = None) ->
     for _ in range(k + 1):
         here = front.join(graph.edges.select("src", "dst"), "src").join(target, "dst")
         need = k - F.length("pre")
-        step = stored(here.select("dst", need.alias("need"), "len", "node_start", F.concat("pre", F.left(F.col("seg"), F.least(need, F.col("len")))).alias("word")).distinct(), "frontier")
+        step, on = counted(here.select("dst", need.alias("need"), "len", "node_start", F.concat("pre", F.left(F.col("seg"), F.least(need, F.col("len")))).alias("word")).distinct(), "frontier", n=F.count(F.when(F.col("need") >= F.col("len"), 1)))
         found.append(step.where("need < len").select(F.col("word").alias("kmer"), (F.col("node_start") + F.col("need")).alias("loc")))
         front = step.where("need >= len").select(F.col("dst").alias("src"), F.col("word").alias("pre"))
-        if front.isEmpty():
+        if not on["n"]:
             break
     out = found[0]
     for f in found[1:]:
@@ -90,8 +90,8 @@ def cut_pairs(graph: StringGraph, k: int, threshold: int = 128, starts: DataFram
         go = full.where(~(over & (F.length("word") > 0))).join(letter, "node_id").select("start", "node_id", "pos", "len", F.concat("word", F.substring("seg", F.col("pos") + 1, F.lit(1))).alias("word"))
         stay = go.where("pos + 1 < len").select("start", "node_id", (F.col("pos") + 1).cast("int").alias("pos"), "word")
         hop = go.where("pos + 1 >= len").join(after, "node_id").select("start", F.col("dst").alias("node_id"), F.lit(0).alias("pos"), "word")
-        front = stored(stay.union(hop), "paths")
-        if front.isEmpty():
+        front, on = counted(stay.union(hop), "paths", n=F.count("*"))
+        if not on["n"]:
             break
     out = found[0]
     for f in found[1:]:
