@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import pyarrow as pa
@@ -14,6 +15,14 @@ __all__ = ["batches", "counted", "crc_mod", "drop_stored", "shared_path", "share
 _WORKER: dict[tuple, object] = {}
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: a worker's next operator needs it, or the executor does."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def worker_cache(name: str, key, make):
     """make(), kept from task to task in a Python worker. A worker keeps one such object: asking for another drops it, so one
     operator's cache, whose size is bounded, is all that a reused worker holds."""
@@ -21,7 +30,9 @@ def worker_cache(name: str, key, make):
         _WORKER.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        _trim()
         _WORKER[name, key] = make()
+        _trim()
     return _WORKER[name, key]
 
 
