@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_tokens import CACHED, encoder
-from .common import batches, stored
+from .common import batches, stored, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
     placement = Placement(named, plan, (sum(p.size for p in plan), rest), sequence, sequence * window_sequences)
 
     def cut(it):
+        worker_cache("packing", "", object)  # no token ids are made from here on: the encoder's cache goes
         for rows in batches(it, ["queue", "local", "base", "lo", "hi", "doc_id", "ids"]):
             out = [[] for _ in range(8)]
             for queue, local, base, lo, hi, doc_id, ids in rows:
