@@ -162,7 +162,7 @@ ORACLE_SQL: dict[str, str] = {
     "shortest_paths": _with(DOCS, "ends AS (SELECT n_nationkey * 7 AS start, n_nationkey * 7 + 10 + n_regionkey * 20 - n_nationkey AS finish FROM nation), lv(start, node_id, level) AS (SELECT DISTINCT start, start, 0 FROM ends UNION SELECT start, e.dst, level + 1 FROM lv JOIN e ON e.src = lv.node_id WHERE level < 120)") + "SELECT start, finish, CAST(min(level) AS BIGINT) AS length, CAST(min(level) AS BIGINT) AS edges FROM ends JOIN lv USING (start) WHERE lv.node_id = finish GROUP BY 1, 2",
     "complexity_bounds": _with(PARTS, bounds(PART_K)) + "SELECT node_id, starts, ends FROM bound",
     "complexity_check": PART_PAIRS + "SELECT count(DISTINCT node_id) AS nodes, CAST(0 AS BIGINT) AS too_low FROM pairs JOIN p ON loc = node_start",
-    "sparse_starts": _with(DOCS, "one AS (SELECT dst AS node_id, min(src) AS src FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1 HAVING count(*) = 1), ways(node_id, before) AS (SELECT node_id, CAST(0 AS BIGINT) FROM n WHERE node_id NOT IN (SELECT node_id FROM one) UNION ALL SELECT one.node_id, before + n.len FROM ways JOIN one ON one.src = ways.node_id JOIN n ON n.node_id = ways.node_id)") + "SELECT node_id, CAST(pos AS INT) AS pos FROM (SELECT node_id, before, unnest(range(len)) AS pos FROM ways JOIN n USING (node_id)) WHERE (before + pos) % 64 = 0",
+    "sparse_starts": _with(DOCS, EVERYWHERE, "one AS (SELECT dst AS node_id, min(src) AS src FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1 HAVING count(*) = 1), ways(node_id, before) AS (SELECT node_id, CAST(0 AS BIGINT) FROM n WHERE node_id NOT IN (SELECT node_id FROM one) UNION ALL SELECT one.node_id, before + n.len FROM ways JOIN one ON one.src = ways.node_id JOIN n ON n.node_id = ways.node_id)") + "SELECT st.node_id, CAST(st.pos AS INT) AS pos FROM st JOIN (SELECT node_id, max(before) AS before FROM ways GROUP BY 1) w ON w.node_id = st.node_id WHERE (w.before + st.pos) % 64 = 0",
     "cut_pairs": _with(PARTS, EVERYWHERE.replace("st AS", "inside AS"), CUT) + "SELECT kmer, loc FROM cut_words",
     "hybrid_pairs": _with(PARTS.replace(f"SELECT {PART_K} AS k", f"SELECT {HYBRID_K} AS k"), bounds(HYBRID_K), HYBRID, CUT, WALK) + "SELECT kmer, loc FROM pairs UNION SELECT kmer, loc FROM cut_words",
 }
