@@ -156,14 +156,15 @@ def _ends(totals: DataFrame, block: int) -> tuple[DataFrame, int]:
     return inside.join(F.broadcast(start), "block").select("queue", (F.col("lo") + F.col("ahead")).alias("lo"), (F.col("hi") + F.col("ahead")).alias("hi")), at
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = 2048, window_sequences: int = 16, targets: dict[str, float] | None = None, queues: int = 4096, cached: int = CACHED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = 2048, window_sequences: int = 16, targets: dict[str, float] | None = None, queues: int = 4096, cached: int = CACHED, release: bool = False) -> DataFrame:
     """Pack docs (doc_id, text, source) into sequences of `sequence` tokens; returns a row per piece (PIECES).
 
     All sequences are full but the last, which a reader pads. A window of window_sequences sequences holds the queues in
     target proportion, each queue's documents in one run. Null text is empty (its end id is still packed), null source is the
     queue "", a null doc_id stays null, repeated rows are packed one by one. Each source is a queue of its own, however many there are: the
     plan of those with a target goes to the tasks, the others' places are a table that is joined to the tokens; `queues` of them are added up in
-    a task. cached bounds each worker's cache of token ids: fewer save memory and cost time. An empty table gives no pieces.
+    a task. cached bounds each worker's cache of token ids: fewer save memory and cost time. release: workers drop
+    the encoder before the pieces are cut, which saves memory where no more texts are encoded. An empty table gives no pieces.
     """
     tokens = tokenized(docs, tokenizer_path, end_id, cached)
     shares = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
@@ -177,7 +178,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
     placement = Placement(named, plan, (sum(p.size for p in plan), rest), sequence, sequence * window_sequences)
 
     def cut(it):
-        worker_cache("packing", "", object)  # no token ids are made from here on: the encoder's cache goes
+        if release:
+            worker_cache("packing", "", object)
         for rows in batches(it, ["queue", "local", "base", "lo", "hi", "doc_id", "ids"]):
             out = [[] for _ in range(8)]
             for queue, local, base, lo, hi, doc_id, ids in rows:
