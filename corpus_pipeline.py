@@ -31,7 +31,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, sequence=2048, cached=120_000)  # executors still hold memory of earlier stages
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, sequence=2048, cached=120_000, release=True)  # executors still hold memory of earlier stages
 
 
 STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", far_apart), ("decontamination", uncontaminated), ("packing", packed)]
