@@ -59,10 +59,11 @@ def build_pairs(graph: StringGraph, k: int, starts: DataFrame | None = None) ->
         front = step.where("need >= len").select(F.col("dst").alias("src"), F.col("word").alias("pre"))
         if not on["n"]:
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.distinct()
+    across = found[1]
+    for f in found[2:]:
+        across = across.union(f)
+    # A location at least k letters into its node has one word, the ones before have none from inside: with walks from everywhere only words across nodes can repeat.
+    return found[0].union(across.distinct()) if starts is None else found[0].union(across).distinct()
 
 
 def cut_pairs(graph: StringGraph, k: int, threshold: int = 128, starts: DataFrame | None = None) -> DataFrame:
