@@ -44,7 +44,7 @@ def build_pairs(graph: StringGraph, k: int, starts: DataFrame | None = None) ->
     nodes = stored(located(graph.nodes), "located")
     if starts is None:
         found = [inside(nodes, k)]
-        tails = nodes.select(F.col("node_id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("len"), F.lit(k))), lambda j: F.right(F.col("seg"), j))).alias("pre"))
+        tails = nodes.where("len > 0").select(F.col("node_id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("len"), F.lit(k))), lambda j: F.right(F.col("seg"), j))).alias("pre"))
     else:
         own = starts.join(nodes, "node_id")
         found = [own.where(F.col("pos") + k < F.col("len")).select(F.substring("seg", F.col("pos") + 1, F.lit(k)).alias("kmer"), (F.col("node_start") + F.col("pos") + k).alias("loc"))]

@@ -37,6 +37,24 @@ def test_random_graphs(spark, seed):
     assert pairs_of(index.cut_pairs(g, k, 0)) == all_walks(segs, edges, k)
 
 
+@pytest.mark.parametrize(
+    "segs, edges, k",
+    [
+        (["ca", "c", "a", "gtacca"], [(0, 3), (1, 2), (2, 3), (3, 0)], 3),  # one pair over two and over three nodes
+        (["acgtacg", "a"], [(0, 0), (0, 1), (1, 0), (1, 1), (0, 1)], 2),  # loops, an edge twice, words inside and across
+    ],
+)
+def test_each_pair_once(spark, segs, edges, k):
+    rows = [(r.kmer, r.loc) for r in index.build_pairs(graph(spark, segs, edges), k).collect()]
+    assert sorted(rows) == sorted(all_walks(segs, edges, k))
+
+
+def test_empty_segments(spark):
+    """Walks go through nodes without letters and never begin in one; each pair once."""
+    got = index.build_pairs(graph(spark, ["acg", "", "ttgca"], [(0, 1), (1, 2)]), 3).collect()
+    assert sorted((r.kmer, r.loc) for r in got) == sorted(all_walks(["acg", "ttgca"], [(0, 1)], 3))
+
+
 def test_early_cut(spark):
     segs = list("agctagct")
     edges = [(a, b) for layer in range(3) for a in (2 * layer, 2 * layer + 1) for b in (2 * layer + 2, 2 * layer + 3)]
