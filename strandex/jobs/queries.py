@@ -29,9 +29,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> StringGraph:
     return graphs.part_graph(spark, sf_dir)
 
 
-def _thin(g: StringGraph) -> StringGraph:
-    """A part of the edges, so that the graph falls into components and not all nodes can be reached."""
-    return StringGraph(g.nodes, g.edges.where("(src + dst) % 19 = 0"))
+def _overlapping(g: StringGraph) -> StringGraph:
+    """The edges whose ends overlap: the last two letters of one node are the first two of the next. The graph falls into components, and not
+    all nodes can be reached."""
+    last = g.nodes.where("len > 1").select(F.col("node_id").alias("src"), F.right("seg", F.lit(2)).alias("last"))
+    first = g.nodes.where("len > 1").select(F.col("node_id").alias("dst"), F.left("seg", F.lit(2)).alias("first"))
+    return StringGraph(g.nodes, g.edges.join(last, "src").join(first, "dst").where("last = first").select(g.edges.columns))
 
 
 def _doc_pairs(spark: SparkSession, sf_dir: str) -> tuple[StringGraph, int, DataFrame]:
@@ -127,7 +130,7 @@ def pairs_from_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The builders that start at the starting points and see only what these reach."""
-    g = _thin(_parts(spark, sf_dir)).saved()
+    g = _overlapping(_parts(spark, sf_dir)).saved()
     return index.build(g, PART_K, "node_bfs")
 
 
@@ -257,7 +260,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def starting_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.starting_points(_thin(_parts(spark, sf_dir)).saved())
+    return analytics.starting_points(_overlapping(_parts(spark, sf_dir)).saved())
 
 
 def _onward(g: StringGraph) -> StringGraph:

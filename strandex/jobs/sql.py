@@ -52,7 +52,7 @@ def _with(*parts: str) -> str:
 DOC_PAIRS = _with(DOCS, EVERYWHERE, WALK)
 PART_PAIRS = _with(PARTS, EVERYWHERE, WALK)
 #: The part graph with a part of its edges.
-THIN = PARTS.replace("e AS (", "whole AS (").replace("p AS (", "e AS (SELECT * FROM whole WHERE (src + dst) % 19 = 0),\np AS (")
+OVERLAPPING = PARTS.replace("e AS (", "whole AS (").replace("p AS (", "e AS (SELECT w.* FROM whole w JOIN n a ON a.node_id = w.src JOIN n b ON b.node_id = w.dst WHERE a.len > 1 AND b.len > 1 AND right(a.seg, 2) = left(b.seg, 2)),\np AS (")
 #: Sources, and the smallest node of each component without one.
 STARTS = SPREAD + ", low AS (SELECT node_id, min(root) AS root FROM spread GROUP BY 1), src0 AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT dst FROM e)), begin AS (SELECT node_id, 'source' AS kind FROM src0 UNION ALL SELECT DISTINCT root, 'cycle' FROM low WHERE root NOT IN (SELECT root FROM low JOIN src0 USING (node_id)))"
 
@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_pairs": DOC_PAIRS + "SELECT kmer, loc FROM pairs",
     "part_pairs": PART_PAIRS + "SELECT kmer, loc FROM pairs",
     "pairs_from_starts": _with(DOCS, "st AS (SELECT node_id, 0 AS pos FROM n)", WALK) + "SELECT kmer, loc FROM pairs",
-    "pairs_reachable": _with(THIN, LINKS, STARTS, REACH, "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n WHERE node_id IN (FROM lev))", WALK) + "SELECT kmer, loc FROM pairs",
+    "pairs_reachable": _with(OVERLAPPING, LINKS, STARTS, REACH, "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n WHERE node_id IN (FROM lev))", WALK) + "SELECT kmer, loc FROM pairs",
     "saved_index": PART_PAIRS + "SELECT kmer, loc, node_id, seg_id, loc - node_start AS pos, len FROM pairs JOIN p ON loc >= node_start AND loc < node_start + len",
     "pair_codes": PART_PAIRS + f"SELECT kmer, code, {(4**PART_K - 1) // 3} + code AS level_code, substr(kmer, 2) || 't' AS pushed, left(kmer, {PART_K - 1}) AS popped, translate(reverse(kmer), 'acgt', 'tgca') AS rc FROM (SELECT kmer, CAST(list_sum(list_transform(range(1, {PART_K} + 1), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1) * CAST(power(4, {PART_K} - i) AS BIGINT))) AS BIGINT) AS code FROM (SELECT DISTINCT kmer FROM pairs))",
     "index_stats": DOC_PAIRS + "SELECT count(*) AS num_pairs, count(DISTINCT kmer) AS num_kmers, count(DISTINCT loc) AS num_locs, round(count(DISTINCT kmer) / count(DISTINCT loc), 9) AS ff, round(count(DISTINCT kmer) / (SELECT power(4, k) FROM depth), 9) AS fill FROM pairs",
@@ -153,7 +153,7 @@ ORACLE_SQL: dict[str, str] = {
     "match_reach": _with(PARTS, EVERYWHERE, WALK, PREFIX, "known AS (SELECT prefix AS kmer FROM prefixes UNION SELECT kmer FROM pairs)") + f"SELECT CAST(length(kmer) AS INT) AS step, 'trie' AS kind, count(*) AS n FROM known GROUP BY 1 UNION ALL SELECT {PART_K + 1}, 'graph', count(*) FROM (SELECT node_id, loc - node_start + 1 AS pos FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc >= node_start AND loc < node_start + len - 1 UNION SELECT e.dst, 0 FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc = node_start + len - 1 JOIN e ON e.src = node_id) HAVING count(*) > 0",
     "node_levels": _with(PARTS, "lv(node_id, level) AS (SELECT min(node_id), 0 FROM n UNION SELECT e.dst, level + 1 FROM lv JOIN e ON lv.node_id = e.src WHERE level < 40)") + "SELECT node_id, min(level) AS level FROM lv GROUP BY 1",
     "connected_components": _with(DOCS, LINKS, SPREAD, "low AS (SELECT node_id, min(root) AS root FROM spread GROUP BY 1)") + "SELECT node_id, root, dense_rank() OVER (ORDER BY root) - 1 AS comp_id FROM low",
-    "starting_points": _with(THIN, LINKS, STARTS) + "SELECT node_id, kind FROM begin",
+    "starting_points": _with(OVERLAPPING, LINKS, STARTS) + "SELECT node_id, kind FROM begin",
     "complexity_regions": _with(DOCS, REGION) + "SELECT root, node_id, role FROM regions",
     "region_cover": _with(DOCS, REGION, EVERYWHERE, "cut AS (SELECT n.node_id, min(CASE WHEN role = 'internal' THEN 0 WHEN role = 'incoming' THEN len - 64 ELSE len END) AS first FROM n LEFT JOIN regions USING (node_id) GROUP BY 1)") + "SELECT CASE WHEN pos >= first THEN 'inside' ELSE 'outside' END AS part, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM st JOIN cut USING (node_id) GROUP BY 1",
     "fasta_round_trip": _with(DOCS) + "SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, seg_id, len, md5(seg) AS seg_md5 FROM n",
