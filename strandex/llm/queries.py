@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact_dedup, lattice_lm, near_dedup, packing, pair_counts, quality, seekable_ids, toxicity, url_filter
+from . import centroids, contamination, exact_dedup, filter_audit, lattice_lm, near_dedup, packing, pair_counts, quality, seekable_ids, toxicity, url_filter
 from .url_filter import Rule
 
 
@@ -68,6 +68,14 @@ def op10_seekable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable_ids.read_ids(seekable_ids.write_ids(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_pair_counts": op2_pair_counts,
@@ -79,4 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_seekable_ids": op10_seekable_ids,
+    "op11_centroids": op11_centroids,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -64,4 +64,50 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.m, d.doc_id) AS comp
 FROM doc d LEFT JOIN size s USING (doc_id) LEFT JOIN comp c USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_exact_dedup": OP3, "op4_url_filter": OP4, "op7_contamination": OP7, "op8_near_dedup": OP8}
+def _clustering(k: int, rounds: int) -> str:
+    """Every round a step of its own; c{r} holds the centroids (c, d, x), a{r} the nearest one of each vector."""
+    out = [
+        "kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "long AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v FROM kept)",
+        "part AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS d, unnest(v) AS x FROM long)",
+        f"first AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h LIMIT {k}))",
+        "c0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS d, unnest(v) AS x FROM first)",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT r, arg_min(c, (s, c)) AS c, min(s) AS s FROM (SELECT p.r, c.c, sum((p.x - c.x) * (p.x - c.x)) AS s FROM part p JOIN c{r} c USING (d) GROUP BY 1, 2) GROUP BY 1)")
+        if r < rounds:
+            out.append(f"m{r} AS (SELECT a.c, p.d, CAST(floor(sum(p.x) / count(*)) AS BIGINT) AS x FROM a{r} a JOIN part p USING (r) GROUP BY 1, 2)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c, d, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c, d))")
+    named = f"(SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS name FROM c{rounds} GROUP BY c)"
+    return "WITH " + ",\n".join(out) + f"\nSELECT vec_id, CAST(c AS INT) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(s) OVER () AS BIGINT) AS inertia, name AS centroid_sha256 FROM a{rounds} JOIN long USING (r) JOIN {named} USING (c)"
+
+
+OP13 = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+low AS (SELECT t, min(doc_id) AS m FROM doc GROUP BY t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+mark AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(doc_id > m, false) THEN 'E' ELSE '' END AS fails
+  FROM doc JOIN low USING (t) LEFT JOIN lab USING (doc_id)),
+sum_up AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM mark GROUP BY 1, 2),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, k AS step, substr(o, k, 1) AS f, '[' || substr(o, 1, k) || ']' AS upto, CASE WHEN k = 1 THEN '^$a' ELSE '[' || substr(o, 1, k - 1) || ']' END AS earlier FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS k)),
+counted AS (
+  SELECT part, o, step, f,
+    coalesce(sum(n) FILTER (NOT regexp_matches(fails, upto)), 0) AS kept,
+    coalesce(sum(n) FILTER (contains(fails, f) AND NOT regexp_matches(fails, earlier)), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(fails, f) AND regexp_matches(fails, earlier)), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (contains(fails, f) AND NOT regexp_matches(fails, earlier)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (contains(fails, f) AND NOT regexp_matches(fails, earlier)), 0) AS toxic_lost
+  FROM steps, sum_up GROUP BY 1, 2, 3, 4)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLE_SQL = {"op11_centroids": _clustering(40, 5), "op13_filter_audit": OP13, "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op7_contamination": OP7, "op8_near_dedup": OP8}
