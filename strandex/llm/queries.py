@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, contamination, exact_dedup, filter_audit, lattice_lm, near_dedup, packing, pair_counts, quality, seekable_ids, toxicity, url_filter
+from . import centroids, contamination, exact_dedup, filter_audit, lattice_lm, near_dedup, packing, pair_counts, quality, seekable_ids, substring_dedup, toxicity, url_filter
 from .url_filter import Rule
 
 
@@ -72,6 +72,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2")
 
 
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -88,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_seekable_ids": op10_seekable_ids,
     "op11_centroids": op11_centroids,
+    "op12_recompression": op12_recompression,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -110,4 +110,14 @@ SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed
 FROM counted
 """
 
-ORACLE_SQL = {"op11_centroids": _clustering(40, 5), "op13_filter_audit": OP13, "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op7_contamination": OP7, "op8_near_dedup": OP8}
+OP12 = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM doc WHERE len(w) >= 20)),
+again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 20)) AS j FROM again)),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM doc),
+rest AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM doc LEFT JOIN rest USING (r)
+"""
+
+ORACLE_SQL = {"op12_recompression": OP12, "op11_centroids": _clustering(40, 5), "op13_filter_audit": OP13, "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op7_contamination": OP7, "op8_near_dedup": OP8}
