@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LARGEST = 1 << 27  # components up to here keep squared distances of 64 dimensions inside 64 bits
-BATCH = 2048  # vectors that walk at once
+SMALL = 1 << 22  # squared distances of 64 such components stay below 2**53
+BATCH = 512  # vectors that walk at once
 FAR = np.iinfo(np.int64).max // 256
 
 
@@ -40,6 +41,9 @@ class Lists:
         high = np.stack([np.searchsorted(self.values[j], x[:, j]) for j in range(d)], 1)  # next entry above in each list
         low = high - 1
         live, dims, computed = np.arange(n), np.arange(d), 0
+        # Floats hold small whole numbers and their sums exactly, and are faster.
+        small = max(np.abs(x).max(initial=0), np.abs(self.centroids).max(initial=0)) <= SMALL and d <= 64
+        exact, means = (x.astype(float), self.centroids.astype(float)) if small else (x, self.centroids)
         while len(live):
             v, lo, hi = x[live], low[live], high[live]
             below = np.where(lo >= 0, v - self.values[dims, np.maximum(lo, 0)], FAR)
@@ -50,10 +54,12 @@ class Lists:
             fresh[np.arange(len(live))[:, None], shown] = True
             fresh &= ~seen[live]
             seen[live] |= fresh
-            i, c = np.nonzero(fresh)
             distance = np.full((len(live), k), FAR * 255, np.int64)
-            distance[i, c] = ((v[i] - self.centroids[c]) ** 2).sum(1)
-            computed += len(i)
+            for c in np.flatnonzero(fresh.any(0)).tolist():
+                i = np.flatnonzero(fresh[:, c])
+                gap = exact[live[i]] - means[c]
+                distance[i, c] = np.einsum("ij,ij->i", gap, gap)
+                computed += len(i)
             near = distance.argmin(1)  # the first of equals
             dist = distance[np.arange(len(live)), near]
             better = (dist < best[live]) | ((dist == best[live]) & (near < who[live]))
@@ -61,7 +67,7 @@ class Lists:
             low[live], high[live] = lo - down, hi + ~down
             lo, hi = low[live], high[live]
             frontier = np.minimum(np.where(lo >= 0, v - self.values[dims, np.maximum(lo, 0)], FAR), np.where(hi < k, self.values[dims, np.minimum(hi, k - 1)] - v, FAR))
-            over = (frontier == FAR).any(1)  # a list is at its end: all centroids have been shown
+            over = seen[live].all(1) | (frontier == FAR).any(1)  # all centroids have been shown
             bound = np.where(over, 0, (np.where(over[:, None], 0, frontier) ** 2).sum(1))
             live = live[~over & (bound <= best[live])]
         return who, best, computed
