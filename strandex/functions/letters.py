@@ -30,12 +30,24 @@ def part(seg: Column, start: Column | int, length: Column | int) -> Column:
     return F.substring(seg, F.lit(start) + 1 if isinstance(start, int) else start + 1, F.lit(length) if isinstance(length, int) else length)
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Number of letters that a and b share from their starts."""
+def common_prefix(a: Column, b: Column, block: int = 1024) -> Column:
+    """Number of letters that a and b share from their starts: whole blocks are compared, then the letters of the first one that differs. Letters are single bytes, so the time is linear."""
     n = F.least(F.length(a), F.length(b))
-    differs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))
-    first = F.array_position(differs, False)
-    return F.when(n == 0, F.lit(0)).otherwise(F.when(first == 0, n).otherwise(first - 1)).cast("int")
+    piece = lambda x, start, size: F.substring(x, start, F.lit(size))
+
+    def found(p: Column) -> Column:
+        same = F.transform(F.sequence(F.lit(0), F.greatest(p["n"] - 1, F.lit(0)).cast("int")), lambda i: piece(p["a"], i * block + 1, block) == piece(p["b"], i * block + 1, block))
+        return F.array_position(same, False)
+
+    def letters(q: Column) -> Column:
+        differs = F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.coalesce(piece(q["a"], i, 1) == piece(q["b"], i, 1), F.lit(False)) & (F.length(piece(q["a"], i, 1)) > 0))
+        first = F.array_position(differs, False)
+        return F.when(first == 0, block).otherwise(first - 1)
+
+    # Arrays of one element bind what they hold, so that it is made once and not for each block.
+    pair = F.transform(F.array(F.struct(a.cast("binary").alias("a"), b.cast("binary").alias("b"), F.ceil(n / block).cast("int").alias("n"))), lambda p: F.struct(p.alias("p"), found(p).alias("k")))
+    at = F.transform(pair, lambda x: F.when(x["k"] == 0, F.lit(None)).otherwise((x["k"] - 1) * block + letters(F.struct(piece(x["p"]["a"], ((x["k"] - 1) * block + 1).cast("int"), block).alias("a"), piece(x["p"]["b"], ((x["k"] - 1) * block + 1).cast("int"), block).alias("b")))))
+    return F.when(n == 0, F.lit(0)).otherwise(F.least(n, F.coalesce(at[0], n))).cast("int")
 
 
 def code(word: Column) -> Column:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -30,10 +31,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _session_root(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends."""
+    context = spark.sparkContext
+    root = f"{shared_root(spark)}/strandex-{context.applicationId}"
+    if root not in _OWN.values():
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWN[root] = root
+    return root
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """df written there and read again: cuts an iteration's lineage, and later reads survive lost executors."""
+    """df written there and read again: cuts an iteration's lineage, and later reads survive lost executors. Kept until the application ends or drop_stored()."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = f"{_session_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
@@ -49,6 +63,13 @@ def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def files_of(*tables: DataFrame) -> str:
+    """A digest of the files behind tables: another one once a file is added, changed or gone."""
+    each = [t.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("m")).distinct() for t in tables]
+    parts = [t.agg(F.count("*"), F.sum(F.xxhash64("p", "s", "m").cast("decimal(20,0)"))).first() for t in each]
+    return "-".join(f"{n}.{h}" for n, h in parts)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete the files behind tables made by stored(); only for those that no later plan reads."""
     for df in tables:

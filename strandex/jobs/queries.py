@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
-from ..functions.storage import shared_path, stored
-from ..operators import adjacency, analytics, index, locations, paths, search, stats
+from ..functions.storage import files_of, shared_path, stored
+from ..operators import adjacency, analytics, index, locations, paths, search, stats, store
 from ..sources import graphs
 from ..sources.graphs import StringGraph
 
 PART_K = 6  # a given depth for the graph of short nodes
-HYBRID_K, HYBRID_SEED = 4, 64  # a depth at which most parts are longer than a word, and the words that make a node a seed
+HYBRID_K, HYBRID_SEED, HYBRID_CUT = 5, 24, 32  # a depth at which half of the parts are longer than a word, the words that make a node a seed, the paths that cut a start
 
 
 def _letters(text: str):
@@ -30,8 +30,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> StringGraph:
 
 
 def _overlapping(g: StringGraph) -> StringGraph:
-    """The edges whose ends overlap: the last two letters of one node are the first two of the next. The graph falls into components, and not
-    all nodes can be reached."""
+    """The edges whose ends overlap: the last two letters of one node are the first two of the next. The graph falls into components."""
     last = g.nodes.where("len > 1").select(F.col("node_id").alias("src"), F.right("seg", F.lit(2)).alias("last"))
     first = g.nodes.where("len > 1").select(F.col("node_id").alias("dst"), F.left("seg", F.lit(2)).alias("first"))
     return StringGraph(g.nodes, g.edges.join(last, "src").join(first, "dst").where("last = first").select(g.edges.columns))
@@ -43,9 +42,33 @@ def _doc_pairs(spark: SparkSession, sf_dir: str) -> tuple[StringGraph, int, Data
     return graph, k, index.build_pairs(graph, k)
 
 
+#: Saved indexes of this session: (application, graph, its tables' files) -> path. A changed table is a new index.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def _saved(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], graph: Callable[[SparkSession, str], StringGraph], depth: int = 0) -> store.SavedIndex:
+    """The index of a graph: saved by the first query that asks, opened by all later ones."""
+    key = (spark.sparkContext.applicationId, name, files_of(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables)))
+    if key not in _SAVED:
+        g = graph(spark, sf_dir).saved()
+        k = depth or index.depth_of(g)
+        path = shared_path(spark, f"index-{name}")
+        store.save_index(index.build_pairs(g, k), k, path)
+        _SAVED[key] = path
+    return store.open_index(spark, _SAVED[key])
+
+
+def _doc_index(spark: SparkSession, sf_dir: str) -> store.SavedIndex:
+    return _saved(spark, sf_dir, "docs", ("documents",), _docs)
+
+
+def _part_index(spark: SparkSession, sf_dir: str) -> store.SavedIndex:
+    return _saved(spark, sf_dir, "parts", ("part", "lineitem"), _parts, PART_K)
+
+
 def _part_pairs(spark: SparkSession, sf_dir: str) -> tuple[StringGraph, DataFrame]:
-    graph = _parts(spark, sf_dir).saved()
-    return graph, stored(index.build_pairs(graph, PART_K), "pairs")
+    """The part graph and the pairs of its saved index."""
+    return _parts(spark, sf_dir).saved(), _part_index(spark, sf_dir).places.select("kmer", "loc")
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +171,15 @@ def pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, k, pairs = _doc_pairs(spark, sf_dir)
-    return stats.index_stats(stored(pairs, "pairs")).select("num_pairs", "num_kmers", "num_locs", F.round("ff", 9).alias("ff"), F.round(F.col("num_kmers") / stats.total_words(k), 9).alias("fill"))
+    saved = _doc_index(spark, sf_dir)
+    out = stats.index_stats(saved.places)
+    return out.select("num_pairs", "num_kmers", "num_locs", F.round("ff", 9).alias("ff"), F.round(F.col("num_kmers") / stats.total_words(saved.k), 9).alias("fill"))
 
 
 def histogram_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram_of(_doc_pairs(spark, sf_dir)[2], "kmer")
+    """From the heads of the posting lists: how many words have how many locations."""
+    counts = _doc_index(spark, sf_dir).words.groupBy("kmer").agg(F.sum("n").alias("count"))
+    return stats.power_histogram(counts, "count")
 
 
 def histogram_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,24 +193,33 @@ def _doc_queries(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def word_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, k, pairs = _doc_pairs(spark, sf_dir)
-    return index.locations_for(_doc_queries(spark, sf_dir, k), pairs).groupBy("kmer").agg(F.count("*").alias("n"), F.min("loc").alias("first"), F.max("loc").alias("last"))
+    saved = _doc_index(spark, sf_dir)
+    return store.counts_of(_doc_queries(spark, sf_dir, saved.k), saved).select("kmer", "n", "first", "last")
+
+
+def word_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each location of the words in benchmark items."""
+    saved = _doc_index(spark, sf_dir)
+    return store.locations_of(_doc_queries(spark, sf_dir, saved.k), saved).select("kmer", "loc")
 
 
 def word_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, k, pairs = _doc_pairs(spark, sf_dir)
-    return index.contains(_doc_queries(spark, sf_dir, k), pairs, "kmer")
+    saved = _doc_index(spark, sf_dir)
+    return store.contained(_doc_queries(spark, sf_dir, saved.k), saved)
 
 
 def location_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, pairs = _part_pairs(spark, sf_dir)
     locs = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey").cast("long") * 7).alias("loc"))
-    return index.words_for(locs, pairs).select("loc", "kmer")
+    return store.words_of(locs, _part_index(spark, sf_dir)).select("loc", "kmer")
 
 
 def multimap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = index.multimap(_part_pairs(spark, sf_dir)[1])
-    return out.select("kmer", "n", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("locs"))
+    return store.listed(_part_index(spark, sf_dir)).select("kmer", "n", "locs")
+
+
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posting lists as they are saved: a row for each block of a word's locations."""
+    return _part_index(spark, sf_dir).words.select("kmer", "block", "n", "first", "last", F.md5(F.array_join(F.transform("locs", lambda x: x.cast("string")), ",")).alias("locs_md5"))
 
 
 def code_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,16 +253,31 @@ def _part_handles(spark: SparkSession, g: StringGraph, pairs: DataFrame) -> Data
     return stored(trie.union(g.nodes.select(*search.graph_handle(F.col("node_id"), F.col("len") - 1))), "handles")
 
 
+def _all_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, pairs = _part_pairs(spark, sf_dir)
+    return search.edit_edges(_part_handles(spark, g, pairs), g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
+
+
 def edit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edit edge of a batch of handles: all prefixes of stored words, and for each supplier's number the part's last letter and the word of
-    k letters that writes it."""
+    """Every edit edge of every stored word, every prefix of one, and the last letter of every part, counted for each source and operation with sums over the targets."""
+    e = _all_edits(spark, sf_dir)
+    per = e.groupBy("src_kind", "src_kmer", "src_node_id", "src_pos", "dst_kind", "op", "letter")
+    return per.agg(F.count("*").alias("n"), F.sum("dst_node").alias("sum_node"), F.sum("dst_pos").cast("long").alias("sum_pos"), F.min("dst_kmer").alias("low_kmer"), F.max("dst_kmer").alias("high_kmer"))
+
+
+def handle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All handles of the batch that edit_edges() takes, and the first letter of each part, in their total order."""
+    g, pairs = _part_pairs(spark, sf_dir)
+    first = g.nodes.select(*search.graph_handle(F.col("node_id"), F.lit(0)))
+    return search.ordered(_part_handles(spark, g, pairs).union(first))
+
+
+def edge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit edges of all prefixes of stored words and of each part's last letter, in their total order."""
     g, pairs = _part_pairs(spark, sf_dir)
-    batch = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("node_id"))
-    words = batch.select(F.lpad(F.translate(F.conv(F.col("node_id").cast("string"), 10, 4), "0123", "acgt"), PART_K, "a").alias("kmer"))
-    last = g.nodes.join(batch, "node_id", "left_semi").select(*search.graph_handle(F.col("node_id"), F.col("len") - 1))
-    handles = index.prefixes(pairs, PART_K).select(*search.trie_handle(F.col("prefix"))).union(words.select(*search.trie_handle(F.col("kmer")))).union(last)
-    e = search.edit_edges(stored(handles, "handles"), g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
-    return e.select("src_kind", "src_kmer", "src_node_id", "src_pos", "dst_kind", "dst_kmer", "dst_node", "dst_pos", "op", "letter")
+    few = _part_handles(spark, g, pairs).where(f"kind = 'graph' or length(kmer) < {PART_K}")
+    e = search.edit_edges(stored(few, "handles"), g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
+    return search.ordered_edges(e)
 
 
 def previous_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +300,44 @@ def match_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.groupBy("step", "kind").agg(F.count("*").alias("n"))
 
 
+def match_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All handles that exact matches reach from the root: words by length, nodes by the first letter reached and the letters from there on."""
+    g, pairs = _part_pairs(spark, sf_dir)
+    words, places = search.match_closure(g, stored(graphs.located(g.nodes), "located"), pairs, PART_K)
+    none = F.lit(None).cast("long")
+    by_length = words.groupBy(F.length("kmer").alias("size")).agg(F.count("*").alias("n"))
+    at = places.join(g.nodes.select("node_id", "len"), "node_id").select(F.lit("graph").alias("kind"), F.lit(None).cast("int").alias("size"), "node_id", "first", (F.col("len") - F.col("first")).cast("long").alias("n"))
+    return by_length.select(F.lit("trie").alias("kind"), "size", none.alias("node_id"), F.lit(None).cast("int").alias("first"), "n").union(at)
+
+
+def neighbour_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's successors and predecessors, numbered from its newest edge."""
+    g = _parts(spark, sf_dir)
+    return adjacency.neighbours(g).withColumn("way", F.lit("forward")).union(adjacency.neighbours(g, forward=False).withColumn("way", F.lit("backward")))
+
+
+def pairs_from_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document graph with the edges between documents of one language, walked from the documents that are labelled good: what they reach is a part of all nodes."""
+    g = _one_language(spark, sf_dir).saved()
+    return index.build(g, index.depth_of(g), "location_bfs", _good(spark, sf_dir))
+
+
+def labelled_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that pairs_from_labelled() walks, with their distance from a start."""
+    return search.node_levels(_one_language(spark, sf_dir).saved(), _good(spark, sf_dir))
+
+
+def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("node_id"))
+
+
+def _one_language(spark: SparkSession, sf_dir: str) -> StringGraph:
+    g = _docs(spark, sf_dir)
+    of = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    e = g.edges.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").where("a = b").select(g.edges.columns)
+    return StringGraph(g.nodes, e)
+
+
 def node_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _parts(spark, sf_dir).saved()
     return search.node_levels(g, g.nodes.agg(F.min("node_id").alias("node_id")))
@@ -263,18 +351,27 @@ def starting_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.starting_points(_overlapping(_parts(spark, sf_dir)).saved())
 
 
-def _onward(g: StringGraph) -> StringGraph:
-    """The graph without the edges that lead back to smaller ids, so without cycles."""
-    return StringGraph(g.nodes, g.edges.where("src < dst"))
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.strong_components(_docs(spark, sf_dir).saved())
 
 
 def top_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.top_order(_onward(_docs(spark, sf_dir).saved()))
+    """The whole document graph, loops and all."""
+    return analytics.top_order(_docs(spark, sf_dir).saved())
+
+
+def part_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part graph with the edges whose ends overlap, and so with many loops and components."""
+    return analytics.top_order(_overlapping(_parts(spark, sf_dir)).saved())
+
+
+def whole_part_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.top_order(_parts(spark, sf_dir).saved())
 
 
 def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _docs(spark, sf_dir).saved()
-    return analytics.back_edges(g, stored(analytics.top_order(g), "order"))
+    return analytics.back_edges(g, stored(analytics.strong_components(g), "strong"))
 
 
 def edge_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,11 +429,11 @@ def cut_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full words outside the regions around the nodes that many words reach, words with an early cut inside them."""
+    """Full words outside the regions around the nodes that many words reach, words with an early cut inside them: most of those are shorter."""
     g = _parts(spark, sf_dir).saved()
     seeds = stored(analytics.complexity(g, HYBRID_K).where(F.col("ends") >= HYBRID_SEED).select("node_id"), "seeds")
     inside, rest = analytics.region_starts(g, stored(analytics.complexity_regions(g, seeds, HYBRID_K), "regions"), HYBRID_K)
-    return index.merged(index.build(g, HYBRID_K, "back_track", stored(rest, "starts")), index.build(g, HYBRID_K, "point_bfs", stored(inside, "starts"), 128))
+    return index.merged(index.build(g, HYBRID_K, "back_track", stored(rest, "starts")), index.build(g, HYBRID_K, "point_bfs", stored(inside, "starts"), HYBRID_CUT))
 
 
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +447,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         graph_nodes, graph_edges, graph_stats, graph_letters, graph_locations, location_expand, graph_revcomp, graph_extends, graph_adjacency, edge_lookup, gfa_round_trip, fasta_round_trip,
-        graph_pairs, part_pairs, pairs_from_starts, pairs_reachable, saved_index, pair_codes, index_stats, histogram_kmers, histogram_locs, word_lookup, word_contains,
-        location_lookup, multimap_words, code_offsets, word_prefixes, short_match, match_many, edit_edges, previous_handles, parent_handles, match_reach, node_levels,
+        graph_pairs, part_pairs, pairs_from_starts, pairs_reachable, saved_index, pair_codes, index_stats, histogram_kmers, histogram_locs, word_lookup, word_locations, word_contains,
+        location_lookup, multimap_words, posting_blocks, neighbour_ranks, handle_order, edge_order, match_closure, pairs_from_labelled, labelled_reach, strong_components, part_order, whole_part_order, code_offsets, word_prefixes, short_match, match_many, edit_edges, previous_handles, parent_handles, match_reach, node_levels,
         connected_components, starting_points, top_order, back_edges, edge_cycles, shortest_paths, complexity_bounds, complexity_check, sparse_starts, complexity_regions, region_cover, cut_pairs, hybrid_pairs, size_estimate,
     )
 }

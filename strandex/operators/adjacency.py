@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.order import group_ranks
 from ..sources.graphs import StringGraph
 
+LISTED = 1024  # edges of a block of a node's list
+
 
 def forward_edges(graph: StringGraph) -> DataFrame:
     return graph.edges.select("edge_id", "src", "dst")
@@ -25,9 +27,10 @@ def edges_by_id(ids: DataFrame, graph: StringGraph) -> DataFrame:
 
 
 def _listed(edges: DataFrame, at: str, other: str, name: str) -> DataFrame:
-    """One row per node: the list must fit in a task, see neighbours() for nodes with any number of edges."""
-    newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("edge_id", other)))), lambda x: x[other])
-    return edges.groupBy(F.col(at).alias("node_id")).agg(newest.alias(name))
+    """One row per node, as the printed lists need it: blocks of LISTED edges are gathered first, then a node's blocks."""
+    each = _ranked(edges, at, other).withColumn("block", F.expr(f"newest div {LISTED}"))
+    blocks = each.groupBy("node_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("newest", "other"))), lambda x: x["other"]).alias("list"))
+    return blocks.groupBy("node_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "list"))), lambda x: x["list"])).alias(name))
 
 
 def forward_from(graph: StringGraph) -> DataFrame:
@@ -40,11 +43,15 @@ def backward_from(graph: StringGraph) -> DataFrame:
     return _listed(graph.edges, "dst", "src", "predecessors")
 
 
+def _ranked(edges: DataFrame, at: str, other: str) -> DataFrame:
+    rows = edges.select(F.col(at).alias("node_id"), F.col(other).alias("other"), (-F.col("edge_id")).alias("age"))
+    return group_ranks(rows, ["node_id"], ["age"], "newest").select("node_id", "other", "newest")
+
+
 def neighbours(graph: StringGraph, forward: bool = True) -> DataFrame:
-    """node_id, other, newest: one row for each edge, newest counting from 0 for a node's newest edge; nothing is collected."""
-    at, other = ("src", "dst") if forward else ("dst", "src")
-    order = Window.partitionBy("node_id").orderBy(F.desc("edge_id"))
-    return graph.edges.select(F.col(at).alias("node_id"), F.col(other).alias("other"), "edge_id").select("node_id", "other", (F.row_number().over(order) - 1).alias("newest"))
+    """node_id, other, newest: one row for each edge, newest counting from 0 for a node's newest edge; a node with any number of edges is cut into
+    ranges that are counted in tasks of their own."""
+    return _ranked(graph.edges, *(("src", "dst") if forward else ("dst", "src")))
 
 
 def forward_one(graph: StringGraph) -> DataFrame:

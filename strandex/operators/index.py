@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import chosen_depth
+from ..functions.order import running_sum
 from ..functions.storage import counted, stored
-from ..sources.graphs import StringGraph, located, running_sum
+from ..sources.graphs import StringGraph, located
 from .paths import levels
 
 ALGORITHMS = {"bfs": "reachable", "location_bfs": "reachable", "lbfs": "reachable", "node_bfs": "reachable", "nbfs": "reachable", "back_track": "all", "bt": "all", "point_bfs": "cut", "pbfs": "cut"}
@@ -116,13 +117,13 @@ def reachable_places(graph: StringGraph, from_nodes: DataFrame) -> DataFrame:
 
 
 def build(graph: StringGraph, k: int, algorithm: str = "back_track", starts: DataFrame | None = None, cut: int = 128) -> DataFrame:
-    """kmer, loc by a builder's name: walks from all places (or those of starts), from the places that the starting points reach, or from all with
+    """kmer, loc by a builder's name: walks from all places (or those of starts), from the places that the starting points (or the nodes in starts) reach, or from all with
     an early cut."""
     kind = starts_of(algorithm)
     if kind == "reachable":
         from .analytics import starting_points
 
-        return build_pairs(graph, k, reachable_places(graph, starting_points(graph)))
+        return build_pairs(graph, k, reachable_places(graph, starts if starts is not None else starting_points(graph)))
     return build_pairs(graph, k, starts) if kind == "all" else cut_pairs(graph, k, cut, starts)
 
 
@@ -155,14 +156,19 @@ def contains(keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 def trie_contains(words: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """words (kmer, ...) with found: a full word must be stored, a shorter one must be a prefix of a stored one (or stored)."""
-    known = prefixes(pairs, k).select(F.col("prefix").alias("kmer")).union(pairs.where(F.length("kmer") == k).select("kmer").distinct())
+    asked = words.select("kmer").distinct()
+    heads = pairs.select("kmer").distinct().select(F.explode(F.transform(F.sequence(F.lit(0), F.length("kmer")), lambda i: F.left(F.col("kmer"), i))).alias("kmer"))
+    known = heads.join(asked, "kmer", "left_semi").distinct()
     return words.join(known.withColumn("__hit", F.lit(True)), "kmer", "left").withColumn("found", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 def multimap(pairs: DataFrame, key: str = "kmer", value: str = "loc") -> DataFrame:
-    """key, values (ascending), n: the values of each key. A key's values are collected, so its list must fit in a task's memory; lookups
-    of hot keys go through locations_for() and words_for(), which collect nothing."""
-    return pairs.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values")).withColumn("n", F.size("values"))
+    """key, values (ascending), n: the distinct values of each key, put together from blocks of bounded size; store.posting_blocks() leaves them in blocks."""
+    from .store import posting_blocks
+
+    blocks = posting_blocks(pairs, key, value).withColumnRenamed(f"{value}s", "list")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "list"))), lambda b: b["list"]))
+    return blocks.groupBy(key).agg(whole.alias("values")).withColumn("n", F.size("values"))
 
 
 def offsets(keys: DataFrame, key: str, top: int) -> DataFrame:
@@ -170,4 +176,4 @@ def offsets(keys: DataFrame, key: str, top: int) -> DataFrame:
     counts = keys.groupBy(F.col(key).alias("key")).count()
     spark = keys.sparkSession
     every = spark.range(top + 1).select(F.col("id").alias("key")).join(counts, "key", "left").select("key", F.coalesce("count", F.lit(0)).alias("n"))
-    return running_sum(every, "key", "n", "before", 1 << 16).select("key", (F.col("before") + F.col("n")).alias("offset"))
+    return running_sum(every, "key", "n", "before").select("key", (F.col("before") + F.col("n")).alias("offset"))

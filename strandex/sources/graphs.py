@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.letters import checked, rev_comp
+from ..functions.order import ranks, running_sum
 from ..functions.storage import stored
 
 
@@ -51,26 +52,9 @@ class StringGraph:
         return StringGraph(nodes, self.edges.unionByName(new.select("edge_id", F.col("node_id").alias("src"), F.col("new_id").alias("dst"))))
 
 
-def ranks(rows: DataFrame, key: str, block: int = 1 << 16) -> DataFrame:
-    """rank (0, 1, ...) of each row by a unique long key, in two phases: within blocks of keys, and over the blocks' counts."""
-    return running_sum(rows.withColumn("__one", F.lit(1).cast("long")), key, "__one", "rank", block).drop("__one")
-
-
-def running_sum(rows: DataFrame, key: str, value: str, name: str, block: int) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    cut = rows.withColumn("__block", F.floor(F.col(key) / block))
-    sums = cut.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of keys
-    starts = sums.select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, "__block")
-    return out.withColumn(name, F.col("__start") + F.col("__in")).drop("__block", "__start", "__in")
-
-
-def located(nodes: DataFrame, block: int = 1 << 16) -> DataFrame:
+def located(nodes: DataFrame) -> DataFrame:
     """nodes with node_start: how many letters lie before the node, in node_id order."""
-    return running_sum(nodes.withColumn("__len", F.col("len").cast("long")), "node_id", "__len", "node_start", block).drop("__len")
+    return running_sum(nodes, "node_id", "len", "node_start")
 
 
 def from_tables(nodes: DataFrame, edges: DataFrame) -> StringGraph:

@@ -73,11 +73,6 @@ def test_locations(spark):
     assert letters == "acgtacgtaaa"
 
 
-def test_ranks_over_blocks(spark):
-    rows = spark.createDataFrame([(k,) for k in (5, 100, 7, 250, 0)], "k long")
-    assert sorted((r.k, r["rank"]) for r in graphs.ranks(rows, "k", 64).collect()) == [(0, 0), (5, 1), (7, 2), (100, 3), (250, 4)]
-
-
 GFA = "H\tVN:Z:1.0\nS\ts1\tCTGAA\tSN:Z:x\nS\ts2\tacg\nS\ts3\tTGGC\nL\ts1\t+\ts2\t+\t0M\nL\ts3\t-\ts2\t-\t0M\n"
 
 
