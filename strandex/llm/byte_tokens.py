@@ -38,7 +38,7 @@ class ChunkEncoder:
         starts = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]  # how a byte-level vocabulary writes a space
         self.starts = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.starts[starts] = True
-        if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max:
+        if len(self.starts) - 1 > np.iinfo(dtype).max:
             raise ValueError(f"ids of {path} don't fit into {dtype}")
         self.limit = limit
         self.cache: dict[str, bytes] = {}
@@ -113,6 +113,17 @@ class ChunkEncoder:
         return out
 
 
+def id_type(path: str, *more: int) -> str:
+    """The narrowest little-endian unsigned type for all ids of a tokenizer file, and for more ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        about = json.load(f)
+    vocab = about["model"]["vocab"]
+    top = max([*(vocab.values() if isinstance(vocab, dict) else [len(vocab)]), *(t["id"] for t in about.get("added_tokens") or []), *more])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 def encoder(path: str, dtype: str = "<u4", limit: int = CACHED) -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
     return worker_cache("encoder", (path, dtype, limit), lambda: ChunkEncoder(path, dtype, limit))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import counted, drop_stored, shared_path, shared_root, stored
 
-__all__ = ["batches", "counted", "crc_mod", "drop_stored", "shared_path", "shared_root", "stored", "worker_cache"]
+__all__ = ["batches", "counted", "crc_mod", "drop_stored", "shared_path", "shared_root", "smallest_hashes", "stored", "worker_cache"]
 
 _WORKER: dict[tuple, object] = {}
 
@@ -41,6 +41,12 @@ def crc_mod(doc_id, n: int):
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
 
 
+def smallest_hashes(rows, share: float, key: str = "doc_id"):
+    """About that share of the rows, by the smallest 64-bit hashes of key; all rows for a share of 1. The hash's whole range counts, so the share may be as small as 1e-18."""
+    limit = -(1 << 63) + int(share * (1 << 64))
+    return rows if share >= 1 else rows.where(F.xxhash64(key) < F.lit(limit))
+
+
 def batches(it, columns: list[str], max_bytes: int = 2_000_000):
     """Lists of row tuples from Arrow batches, cut so that one list holds about max_bytes of strings."""
     for batch in it:

@@ -2,23 +2,27 @@
 
 Normalised: A-Z lower-cased, words are runs of digits, letters and non-ASCII characters. Patterns are windows of ten words (a shorter item is one
 window). The automaton's symbols are numbers of words, so matches start and end at word borders and a window costs ten nodes at most; words that no
-benchmark item has are one symbol that no pattern has. A text is scanned once; word numbers found lead back to character spans of the original.
+benchmark item has are one symbol that no pattern has. A text is read once; word numbers found lead back to character spans of the original. A benchmark too large for one automaton is cut into parts, whose automata a task
+builds one after another for a buffer of texts at a time: texts are neither written nor shuffled in between, and no part passes through the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, worker_cache
+from .common import shared_path, worker_cache
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 PART_BYTES = 2 << 20  # of benchmark texts in one automaton, which takes some 80 bytes for each of them
+BUFFER = 64 << 20  # of texts that a task scans for one part of a large benchmark before it builds the automaton of the next
 _RANGES = "array<struct<start:int,end:int>>"
 FOUND = f"doc_id long, n_words long, n_hit long, items array<string>, spans {_RANGES}"
 
@@ -81,20 +85,71 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in ranges]
 
 
-def _parts(benchmark: DataFrame, size: int, part_bytes: int):
-    """For each part of the benchmark a function that gives its automaton, one for each Python worker and kept from task to task.
+@dataclass
+class Machines:
+    """The automata of a benchmark, for tasks. One of up to part_bytes is a broadcast; more are built one after another from files in the shared folder, for each
+    buffer of texts, so a task holds one at a time and every text is read once."""
 
-    A part's texts have about part_bytes (or are one item); it is all that the driver, a broadcast and an automaton hold at a time.
-    """
+    size: int
+    key: str
+    one: Broadcast | None  # its items
+    uris: list[str]  # folders of the parts, if there are several
+
+    @property
+    def buffer(self) -> int:
+        """Bytes of texts that are scanned for one automaton before the next is built."""
+        return 2_000_000 if self.one is not None else BUFFER
+
+    def passes(self, back: bool):
+        """Each automaton; back: the last one first, which a worker still has from the buffer before."""
+        if self.one is not None:
+            yield worker_cache("automaton", self.key, lambda: Automaton(self.one.value, self.size))
+            return
+        for k, uri in sorted(enumerate(self.uris), reverse=back):
+            yield worker_cache("automaton", (self.key, k), lambda uri=uri: Automaton(_items_at(uri), self.size))
+
+
+def _items_at(uri: str) -> list[tuple[str, str]]:
+    from pyarrow import fs, parquet
+
+    system, path = fs.FileSystem.from_uri(uri)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+    rows = [r for f in sorted(files) for r in parquet.ParquetFile(system.open_input_file(f)).read(["item_id", "text"]).to_pylist()]
+    return sorted((r["item_id"], r["text"]) for r in rows)
+
+
+def machines(benchmark: DataFrame, size: int, part_bytes: int) -> Machines:
+    """Null texts are no items; the items of a part have about part_bytes (or are one item), which is all that a broadcast, a task or an automaton holds at a time."""
+    spark = benchmark.sparkSession
     items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-held // part_bytes))
-    dealt = stored(items, "benchmark") if n > 1 else items
-    for k in range(n):
-        mine = sorted(tuple(r) for r in dealt.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
-        key = hashlib.sha256(repr((size, mine)).encode()).hexdigest()
-        shared = benchmark.sparkSession.sparkContext.broadcast(mine)
-        yield lambda shared=shared, key=key: worker_cache("automaton", key, lambda: Automaton(shared.value, size))
+    if n == 1:
+        mine = sorted(tuple(r) for r in items.collect())
+        return Machines(size, hashlib.sha256(repr((size, mine)).encode()).hexdigest(), spark.sparkContext.broadcast(mine), [])
+    path = shared_path(spark, "benchmark")
+    items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
+    return Machines(size, path, None, [f"{path}/part={k}" for k in range(n)])
+
+
+def _buffered(it, most: int):
+    """Lists of Arrow batches whose texts (the column text) have about `most` bytes together."""
+    held, size = [], 0
+    for batch in it:
+        at = batch.schema.get_field_index("text")
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            held.append(part)
+            size += part.column(at).nbytes
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t.as_py() or "" for t in batch.column(batch.schema.get_field_index("text"))]
 
 
 def _ranges(rows: list[list[tuple[int, int]]]) -> pa.Array:
@@ -105,49 +160,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_byt
     """Each row of docs (doc_id, text) with n_words, n_hit, items and spans.
 
     Null and empty texts have no words; null items are ignored, an item with a null id counts under the id "", repeated items count once. Repeated rows
-    and rows with a null doc_id each get their own row; extra columns are not kept, whatever their names. A benchmark of more than part_bytes is scanned
-    for in several passes over docs, whose hits are united: the result is the same, however many there are.
+    and rows with a null doc_id each get their own row; extra columns are not kept, whatever their names. The texts are read once, however large the benchmark is.
     """
-    machines = list(_parts(benchmark, size, part_bytes))
-    now = docs.select("doc_id", "text")
-    for k, machine in enumerate(machines):
-        last, later = k == len(machines) - 1, k > 0
-
-        def scan(it, machine=machine, last=last, later=later):
-            automaton = machine()
-            for rows in batches(it, ["doc_id", "text", "ranges", "items"] if later else ["doc_id", "text"]):
-                found = [automaton.scan(r[1] or "") for r in rows]
-                if later:
-                    found = [(n, merged(a + [(x["start"], x["end"]) for x in r[2]]), sorted({*i, *r[3]})) for (n, a, i), r in zip(found, rows)]
-                columns = {"doc_id": pa.array([r[0] for r in rows], pa.int64())}
-                if last:
-                    columns["n_words"] = pa.array([f[0] for f in found], pa.int64())
-                    columns["n_hit"] = pa.array([sum(b - a for a, b in f[1]) for f in found], pa.int64())
-                else:
-                    columns["text"] = pa.array([r[1] for r in rows], pa.string())
-                columns["items"] = pa.array([f[2] for f in found], pa.list_(pa.string()))
-                columns["spans" if last else "ranges"] = _ranges([spans(r[1] or "", f[1]) for r, f in zip(rows, found)] if last else [f[1] for f in found])
-                yield pa.RecordBatch.from_pydict(columns)
-
-        now = now.mapInArrow(scan, FOUND if last else f"doc_id long, text string, items array<string>, ranges {_RANGES}")
-        if not last:
-            now = stored(now, "contamination")
-    return now
+    parts = machines(benchmark, size, part_bytes)
+
+    def scan(it):
+        back = False
+        for held in _buffered(it, parts.buffer):
+            texts = [_texts(b) for b in held]
+            found: list[list] = [[(0, [], [])] * len(t) for t in texts]
+            for automaton in parts.passes(back):
+                for mine, own in zip(texts, found):
+                    for k, t in enumerate(mine):
+                        n, ranges, names = automaton.scan(t)
+                        own[k] = (n, merged([*own[k][1], *ranges]) if own[k][1] else ranges, sorted({*own[k][2], *names}) if own[k][2] else names)
+            back = not back
+            for batch, mine, own in zip(held, texts, found):
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), "n_words": pa.array([f[0] for f in own], pa.int64()), "n_hit": pa.array([sum(b - a for a, b in f[1]) for f in own], pa.int64()),
+                    "items": pa.array([f[2] for f in own], pa.list_(pa.string())), "spans": _ranges([spans(t, f[1]) for t, f in zip(mine, own)]),
+                })
+
+    return docs.select("doc_id", "text").mapInArrow(scan, FOUND)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs without the rows that hold a benchmark window; all columns and all other rows stay as they are."""
-    machines = list(_parts(benchmark, size, part_bytes))
-    now = docs
-    for k, machine in enumerate(machines):
-
-        def clean(it, machine=machine):
-            automaton = machine()
-            for batch in it:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not automaton.scan(t.as_py() or "")[1] for t in texts], pa.bool_()))
-
-        now = now.mapInArrow(clean, docs.schema)
-        if k < len(machines) - 1:
-            now = stored(now, "clean")
-    return now
+    """docs without the rows that hold a benchmark window; all columns and all other rows stay as they are. Null and empty texts stay, repeated rows stay or go alike; null and
+    repeated items as in contaminated(); an empty benchmark removes nothing, an empty table gives an empty one."""
+    parts = machines(benchmark, size, part_bytes)
+
+    def clean(it):
+        back = False
+        for held in _buffered(it, parts.buffer):
+            texts = [_texts(b) for b in held]
+            stay = [[True] * len(t) for t in texts]
+            for automaton in parts.passes(back):
+                for mine, own in zip(texts, stay):
+                    for k, t in enumerate(mine):
+                        own[k] = own[k] and not automaton.scan(t)[1]
+            back = not back
+            for batch, own in zip(held, stay):
+                yield batch.filter(pa.array(own, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -152,7 +152,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     See judged() and postings() for nulls, repeated rows and labels. Other columns of both tables are ignored; without documents there are no parts and
     no rows, without labels nothing good or toxic is lost.
     """
-    sizes = postings(docs, labels).groupBy("part", "range").applyInPandas(_sizes, _SIZES).groupBy("part", "filter", "before")
+    lists = postings(docs, labels).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "range")  # small, but work: not to be put into one task
+    sizes = lists.groupBy("part", "range").applyInPandas(_sizes, _SIZES).groupBy("part", "filter", "before")
     sizes = stored(sizes.agg(*(F.sum(c).alias(c) for c in ("removed", "redundant", "after", "good_lost", "toxic_lost"))), "audit-sizes")  # 80 rows a part
     weight = F.element_at(F.array(*(F.lit(factorial(k) * factorial(len(FILTERS) - 1 - k)) for k in range(len(FILTERS)))), F.length("before") + 1)
     whole = sizes.groupBy("part", "filter").agg(F.sum(F.when(F.length("before") == len(FILTERS) - 1, F.col("removed"))).alias("unique_fails"), F.sum(F.col("removed") * weight).cast("long").alias("shapley"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .byte_tokens import CACHED, encoder
+from .byte_tokens import CACHED, encoder, id_type
 from .common import batches, stored, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
@@ -114,16 +114,19 @@ TOKENS = "part int, queue string, local long, doc_id long, n_tokens long, ids bi
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, cached: int = CACHED) -> DataFrame:
     """Ids of each document, with its offset among those of its queue in its partition; written to the shared folder."""
 
+    kind = id_type(tokenizer_path, end_id)
+    width = np.dtype(kind).itemsize
+
     def encode(it):
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer_path, "<u2", cached), np.array([end_id], "<u2").tobytes()
+        enc, end = encoder(tokenizer_path, kind, cached), np.array([end_id], kind).tobytes()
         part, served = TaskContext.get().partitionId(), {}
         for rows in batches(it, ["queue", "doc_id", "text"]):
             local, counts, data = [], [], []
             for (queue, _, _), ids in zip(rows, enc.encode([r[2] for r in rows])):
                 local.append(served.get(queue, 0))
-                counts.append(len(ids) // 2 + 1)
+                counts.append(len(ids) // width + 1)
                 data.append(ids + end)
                 served[queue] = local[-1] + counts[-1]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array(local, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], ["part", "queue", "local", "doc_id", "n_tokens", "ids"])
@@ -177,13 +180,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
     ends, rest = _ends(totals.where(~aimed), queues)
     placement = Placement(named, plan, (sum(p.size for p in plan), rest), sequence, sequence * window_sequences)
 
+    kind = id_type(tokenizer_path, end_id)
+
     def cut(it):
         if release:
             worker_cache("packing", "", object)
         for rows in batches(it, ["queue", "local", "base", "lo", "hi", "doc_id", "ids"]):
             out = [[] for _ in range(8)]
             for queue, local, base, lo, hi, doc_id, ids in rows:
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, kind).astype("<u4")
                 for start, length, at in placement.pieces(queue, base + local, len(wide), lo, hi):
                     for column, v in zip(out, (doc_id, start, length, zlib.crc32(wide[start : start + length]), len(wide), at // sequence, at % sequence, queue)):
                         column.append(v)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod, worker_cache
+from .common import batches, crc_mod, smallest_hashes, worker_cache
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).select("doc_id", F.col(label).cast("long").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     share = min(1.0, 0.97 * max_rows / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
+    picked = smallest_hashes(known, share).limit(max_rows)
     rows = _measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["label"]).limit(max_rows).collect()
     x = np.array([r.x for r in rows], float).reshape(len(rows), FEATURES)
     return boosted(x, np.array([r.label for r in rows], float))

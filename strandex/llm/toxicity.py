@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod, stored, worker_cache
+from .common import batches, crc_mod, smallest_hashes, stored, worker_cache
 
 SPAN = 5
 DECAY = 0.6
@@ -237,16 +237,17 @@ def calibrated(tops: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, landmarks: int = 256, max_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, landmarks: int = 256, max_rows: int = 20_000, max_words: int = 150_000) -> Model:
     """A model from labelled documents whose crc32(doc_id as text) mod folds isn't held_out.
 
     max_rows bounds the sample: of more labelled rows those with the smallest hashes of their ids are taken, a few less
     than max_rows. Of several labels of an id the largest counts, of several texts the last in order. Null labels, ids and texts teach
-    nothing; without labelled texts of both kinds every score is the same. All words of the sample that pass the tests below train the SVM.
+    nothing; without labelled texts of both kinds every score is the same. Of the words of the sample that pass the tests below, max_words of each kind train the SVM, those with the most
+    contexts, which bounds the driver whatever the texts' lengths.
     """
     known = labels.where(f"doc_id is not null and {label} is not null").where(crc_mod(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("label"))
     share = min(1.0, 0.97 * max_rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
+    picked = smallest_hashes(known, share).limit(max_rows)
     rows = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("text", "label"), "toxic-sample")
 
     def contexts(it):
@@ -271,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     term = lambda k, p: F.when(k > 0, k * F.log(k / (c * p))).otherwise(0.0)
     strength = term(F.col("bad"), prior) + term(F.col("good"), 1 - prior)
     often = F.col("bad") / c
-    toxic = [r.word for r in counts.where((often > 0.9) & (strength > math.log(max(1, n.words)) + 1)).orderBy(F.desc("bad"), "word").collect()]
-    clean = [r.word for r in counts.where((F.col("good") >= 2) & (often < 2 * prior)).orderBy(F.desc("good"), "word").collect()]
+    toxic = [r.word for r in counts.where((often > 0.9) & (strength > math.log(max(1, n.words)) + 1)).orderBy(F.desc("bad"), "word").limit(max_words).collect()]
+    clean = [r.word for r in counts.where((F.col("good") >= 2) & (often < 2 * prior)).orderBy(F.desc("good"), "word").limit(max_words).collect()]
     model = train_words(toxic, clean, landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

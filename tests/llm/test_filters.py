@@ -83,7 +83,7 @@ def brute_hits(text, items, size=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("part_bytes", [1 << 20, 40, 1])
 def test_contamination(spark, part_bytes):
     item = "What IS the, capital of Fran-ce today? Answer: Paris (the city of light)"
     texts = ["x " * 30 + item + " tail", item.upper(), item.replace(" ", "\n--"), "the city", None, "", "café short item", "Café Short  ITEM café", "of light) What IS the, capital of Fran-ce today? Answer: Paris"]

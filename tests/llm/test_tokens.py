@@ -1,5 +1,7 @@
 import io
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -180,3 +182,21 @@ def test_packing_of_more_sources_than_a_task_adds_up(spark):
     assert {q for _, _, q in first} == {"src0", "src1"} and sum(n for _, n, q in first if q == "src0") == 4096
     place = lambda queues: sorted(map(tuple, packing.pack(table, BYTES, queues=queues).collect()))
     assert place(3) == place(4096)
+
+
+def test_packing_with_a_vocabulary_of_more_than_65536_ids(spark, tmp_path):
+    known = public_tokenizers.path("byte_bpe_50k.json")
+    about = json.loads(Path(known).read_text())
+    vocab = about["model"]["vocab"]
+    shift = 70_000  # the same pieces under larger numbers
+    about["model"]["vocab"] = {t: i + shift for t, i in vocab.items()} | {f"unused{i}": i for i in range(shift)}
+    for t in about.get("added_tokens") or []:
+        t["id"] += shift
+    large = tmp_path / "large.json"
+    large.write_text(json.dumps(about))
+    table = docs(spark)
+    wide = sorted(map(tuple, packing.pack(table, str(large), end_id=shift + 1, sequence=64).select("doc_id", "start", "length", "ids_crc32").collect()), key=str)
+    library = Tokenizer.from_file(str(large))
+    ids = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, shift + 1] for r in table.collect()}
+    assert max(map(max, ids.values())) > 65_535 and sum(r[2] for r in wide) == sum(map(len, ids.values()))
+    assert all(crc == zlib.crc32(np.array(ids[i][start : start + n], "<u4").tobytes()) for i, start, n, crc in wide)
