@@ -44,10 +44,15 @@ def _session_root(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """df written there and read again: cuts an iteration's lineage, and later reads survive lost executors. Kept until the application ends or drop_stored()."""
+def session_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what goes when the application ends; it isn't created."""
+    return f"{_session_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False, **options) -> DataFrame:
+    """df written there and read again: cuts an iteration's lineage, and later reads survive lost executors. Kept until the application ends or drop_stored(); lasting: for good."""
     spark = df.sparkSession
-    path = f"{_session_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name) if lasting else session_path(spark, name)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
-from ..functions.storage import files_of, shared_path, stored
+from ..functions.storage import files_of, session_path, stored
 from ..operators import adjacency, analytics, index, locations, paths, search, stats, store
 from ..sources import graphs
 from ..sources.graphs import StringGraph
@@ -52,7 +52,7 @@ def _saved(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...],
     if key not in _SAVED:
         g = graph(spark, sf_dir).saved()
         k = depth or index.depth_of(g)
-        path = shared_path(spark, f"index-{name}")
+        path = session_path(spark, f"index-{name}")
         store.save_index(index.build_pairs(g, k), k, path)
         _SAVED[key] = path
     return store.open_index(spark, _SAVED[key])
@@ -124,7 +124,7 @@ def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "graph") + ".gfa"
+    path = session_path(spark, "graph") + ".gfa"
     graphs.to_gfa(_parts(spark, sf_dir)).write.option("maxRecordsPerFile", 10_000).text(path)
     g = graphs.from_gfa(spark, path)
     return g.edges.join(g.nodes.select(F.col("node_id").alias("src"), F.col("seg_id").alias("a"), F.col("seg").alias("a_seg")), "src").join(g.nodes.select(F.col("node_id").alias("dst"), F.col("seg_id").alias("b")), "dst").select("a", "a_seg", "b")
@@ -132,7 +132,7 @@ def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' letters as FASTA in several files, read again; nodes count on in file order."""
-    path = shared_path(spark, "letters") + ".fasta"
+    path = session_path(spark, "letters") + ".fasta"
     graphs.to_fasta(_docs(spark, sf_dir).nodes).write.option("maxRecordsPerFile", 300).text(path)
     return graphs.from_file(spark, path).nodes.select("node_id", "seg_id", F.length("seg").alias("len"), F.md5("seg").alias("seg_md5"))
 
