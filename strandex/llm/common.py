@@ -8,9 +8,9 @@ import gc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions.storage import counted, drop_stored, shared_path, shared_root, stored
+from ..functions.storage import counted, drop_stored, session_path, shared_path, shared_root, stored
 
-__all__ = ["batches", "counted", "crc_mod", "drop_stored", "shared_path", "shared_root", "smallest_hashes", "stored", "worker_cache"]
+__all__ = ["batches", "counted", "crc_mod", "drop_stored", "session_path", "shared_path", "shared_root", "smallest_hashes", "stored", "worker_cache"]
 
 _WORKER: dict[tuple, object] = {}
 

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, worker_cache
+from .common import session_path, worker_cache
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -127,7 +127,7 @@ def machines(benchmark: DataFrame, size: int, part_bytes: int) -> Machines:
     if n == 1:
         mine = sorted(tuple(r) for r in items.collect())
         return Machines(size, hashlib.sha256(repr((size, mine)).encode()).hexdigest(), spark.sparkContext.broadcast(mine), [])
-    path = shared_path(spark, "benchmark")
+    path = session_path(spark, "benchmark")
     items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
     return Machines(size, path, None, [f"{path}/part={k}" for k in range(n)])
 

@@ -38,7 +38,7 @@ def located(docs: DataFrame, columns: list[str], names: tuple[str, str] = ("__fi
     try:
         return docs.select(*columns, *place)
     except AnalysisException:
-        return stored(docs, "located").select(*columns, *place)
+        return stored(docs, "located", lasting=True).select(*columns, *place)
 
 
 def _stream(spark: SparkSession, kind: str, state_dir: str, run: str, max_bytes_per_trigger: int) -> DataFrame:
@@ -139,7 +139,10 @@ def _decided(grouped: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs without exact copies: all columns of the rows that stay. Columns of any names pass through."""
+    """docs without exact copies: all columns of the rows that stay. Columns of any names pass through.
+
+    Of equal texts the row with the largest doc_id stays, null ids being smaller than all; of rows that repeat an id and text one stays. Null texts count as empty, so they are copies of
+    each other and of empty ones. An empty table gives an empty one."""
     place = []
     for name in ("__file", "__row"):
         while name in docs.columns:

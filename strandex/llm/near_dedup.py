@@ -373,6 +373,8 @@ def near_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 1
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; all columns stay."""
+    """docs without the rows whose component has a smaller doc_id; all columns stay, whatever their names.
+
+    Rows without words, or with a null doc_id, stay; rows that share a doc_id stay or go together; an empty table gives an empty one. See near_groups()."""
     gone = stored(near_groups(docs, words, share).where("not kept").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

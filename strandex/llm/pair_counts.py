@@ -117,7 +117,9 @@ class PairCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text): whole texts, null is empty, repeated rows stay apart."""
+    """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text): whole texts, null is empty, repeated rows stay apart.
+
+    A null id stays null; other columns are ignored, whatever their names; an empty table gives an empty result."""
 
     def count(it):
         counter = worker_cache("pair counts", tokenizer_path, lambda: PairCounter(tokenizer_path))

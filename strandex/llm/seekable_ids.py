@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,15 +112,17 @@ def _open(uri: str):
     return system, path
 
 
-MANIFEST = "part int, path string, n_docs long, n_ids long"
+MANIFEST = "part int, path string, n_docs long, n_ids long, first_id long, last_id long, n_null long"
+FEW = 10_000  # so many requested ids are compared with each file's range
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None, partitions: int | None = None) -> DataFrame:
     """Encode docs (doc_id, text) and write them in ascending doc_id order, one file for each range of ids.
 
-    Returns the manifest, a row per file, written to the shared folder; `part` ascends with doc_id. A file's
+    Returns the manifest, a row per file, written to the same directory (manifest); `part` ascends with doc_id, first_id and last_id are the smallest and largest id of a file. A file's
     name is unique to the task attempt, and the manifest names only those of attempts that Spark counted, so lost executors
     leave at most unreferenced files. Null texts count as empty, null ids come first, rows that repeat an id are kept, ordered by text.
+    Other columns of docs are ignored, whatever their names; an empty table gives an empty manifest and no files.
     """
     spark = docs.sparkSession
     directory = directory or shared_path(spark, "ids")
@@ -144,15 +146,23 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str
         if writer is not None:
             writer.finish()
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{directory}/{path}"]), pa.array([len(writer.ids)], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "path", "n_docs", "n_ids"])
+            known = [i for i in writer.ids if i is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{directory}/{path}"]), pa.array([len(writer.ids)], pa.int64()), pa.array([n_ids], pa.int64()), *(pa.array([x], pa.int64()) for x in (min(known, default=None), max(known, default=None), len(writer.ids) - len(known)))], [c.split()[0] for c in MANIFEST.split(", ")])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    return stored(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "ids-manifest")
+    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
+    return open_ids(spark, directory)
+
+
+def open_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """The manifest of files that write_ids() wrote, in this or any later session."""
+    return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names; null and repeated ids as they were written. An empty manifest gives an empty
+    result."""
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     files = based.repartition(max(1, manifest.count()), "part")  # a number, as a few small manifest rows stand for large files
 
@@ -181,10 +191,18 @@ def _documents(rows: list[tuple]) -> pa.RecordBatch:
 def read_documents(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """doc_id and ids (array) of the requested documents only; doc_ids: a DataFrame with a column doc_id.
 
-    The manifest holds each file's range implicitly, so files are matched to requests by the index in the file; only
-    the matching frames are decompressed.
+    Only files whose range of ids may hold a requested one are opened, by the manifest; the index in a file gives the frames, and only the matching ones are
+    decompressed. Unknown ids give no row, repeated ones in doc_ids count once, an id that was written several times gives a row for each; null asks for nothing. An empty manifest or no
+    requests give an empty result.
     """
-    wanted = doc_ids.select("doc_id").distinct()
+    wanted = doc_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    some = [r.doc_id for r in wanted.limit(FEW + 1).collect()]
+    if len(some) <= FEW:
+        held = F.exists(F.lit(sorted(some)).cast("array<bigint>"), lambda i: i.between(F.col("first_id"), F.col("last_id")))
+    else:
+        ends = wanted.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        held = (F.col("first_id") <= ends.high) & (F.col("last_id") >= ends.low)
+    manifest = stored(manifest.where(held), "ids-asked")
     index = manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(_index_of, "path string, k long, doc_id long")
     hits = index.join(wanted, "doc_id").select("path", "k").repartition(F.col("path")).sortWithinPartitions("path", "k")
     return hits.mapInArrow(_frames_of, "doc_id long, ids array<long>")

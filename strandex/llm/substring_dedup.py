@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import session_path, stored
 
 CHUNK, BUCKET = 2_000_000, 16_000_000  # bytes of text
 ROUNDS = "rpppp"  # r: runs, p: pairs
@@ -291,7 +291,7 @@ def _cut(it, window: int):
 def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     """df written to the shared folder in n buckets of key: a join with something small that is shuffled by key leaves it in place."""
     spark, name = df.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    path = shared_path(spark, name)
+    path = session_path(spark, name)
     df.repartition(n, key).write.option("path", path).option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
     return spark.table(name)
 

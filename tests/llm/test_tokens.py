@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandex.llm import packing, pair_counts, seekable_ids
@@ -91,7 +92,22 @@ def test_id_files_round_trip(spark):
     few = {r.doc_id: r.ids for r in seekable_ids.read_documents(manifest, spark.createDataFrame([(7,), (1,)], "doc_id long")).collect()}
     wanted = {r.doc_id: r.text for r in table.where("doc_id in (1, 7)").collect()}
     assert few == {k: ids.tolist() for (k, _), ids in zip(wanted.items(), expected_ids(wanted.values(), 2))}
-    assert seekable_ids.read_ids(seekable_ids.write_ids(docs(spark, []), BYTES, 2)).count() == 0
+    empty = seekable_ids.write_ids(docs(spark, []), BYTES, 2)
+    assert seekable_ids.read_ids(empty).count() == 0 and seekable_ids.read_documents(empty, table).count() == 0
+
+
+def test_requested_documents(spark, monkeypatch):
+    table = docs(spark, ["one", "two", None, "four", "five", "six", "seven"], [1, 2, 3, 2, None, None, 90])
+    manifest = seekable_ids.write_ids(table, BYTES, 2, partitions=4)
+    assert manifest.agg(F.sum("n_null"), F.min("first_id"), F.max("last_id"), F.sum("n_docs")).first() == (2, 1, 90, 7) and manifest.count() > 1
+    texts = {1: ["one"], 2: ["four", "two"], 3: [""], 90: ["seven"]}
+    expected = lambda ids: sorted((i, x.tolist()) for i in ids for x in expected_ids(texts[i], 2))
+    asked = spark.createDataFrame([(i, "x") for i in (2, 2, 3, 50, 1000, -4, None)], "doc_id long, path string")
+    for few in (10_000, 1):
+        monkeypatch.setattr(seekable_ids, "FEW", few)
+        assert sorted((r.doc_id, r.ids) for r in seekable_ids.read_documents(manifest, asked).collect()) == expected((2, 3))
+        assert sorted((r.doc_id, r.ids) for r in seekable_ids.read_documents(manifest, table).collect()) == expected((1, 2, 3, 90))
+        assert seekable_ids.read_documents(manifest, asked.limit(0)).count() == 0
 
 
 def test_id_files_of_a_table(spark):
