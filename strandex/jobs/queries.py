@@ -437,10 +437,14 @@ def hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of an index over the document graph, per choice of depth."""
-    n = int(_docs(spark, sf_dir).nodes.agg(F.sum("len")).first()[0])
-    rows = [(r, int(e["k"]), int(e["pairs"]), int(e["words"]), int(e["bits"])) for r in (0, 1, 2) for e in [stats.size_estimate(n, relative=r)]]
-    return spark.createDataFrame(rows, "relative int, k int, pairs long, words long, bits int")
+    """What an index of the part graph holds at its default depth and at one and two letters more, by building each."""
+    g = _parts(spark, sf_dir).saved()
+    k, out = index.depth_of(g), None
+    for more in (0, 1, 2):
+        size = stats.index_stats(stored(index.build_pairs(g, k + more), "pairs"))
+        row = size.select(F.lit(more).alias("relative"), F.lit(k + more).alias("k"), "num_pairs", "num_kmers", "num_locs", F.round(F.col("num_kmers") / stats.total_words(k + more), 9).alias("fill"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

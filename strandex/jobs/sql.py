@@ -62,6 +62,19 @@ ONE_LANGUAGE = DOCS.replace("\ne AS (", "\nwhole AS (").replace("p AS (SELECT *"
 GOOD = "begin AS (SELECT doc_id AS node_id FROM labels WHERE quality = 1)"
 
 
+def levels_from(seed: str, *of: str) -> str:
+    """lv (of, node_id, level): the fewest edges from the rows of seed to each node, however many there are."""
+    keys, same = ", ".join([*of, "node_id"]), "".join(f" AND r.{c} = lv.{c}" for c in of)
+    return f"lv({keys}, level) USING KEY ({keys}) AS ({seed} UNION SELECT {''.join(f'lv.{c}, ' for c in of)}e.dst, min(lv.level) + 1 FROM lv JOIN e ON e.src = lv.node_id LEFT JOIN recurring.lv r ON r.node_id = e.dst{same} WHERE r.level IS NULL OR r.level > lv.level + 1 GROUP BY ALL)"
+
+
+def index_at(relative: int) -> str:
+    """Size of the part graph's index at so many letters more than its default depth."""
+    depth = f"depth AS (SELECT CAST(ceil(floor(log2(sum(len))) / 2) AS INT) + {relative} AS k FROM n)"
+    start = _with(PARTS.replace(f"depth AS (SELECT {PART_K} AS k)", depth), EVERYWHERE, WALK)
+    return f"SELECT * FROM ({start}SELECT {relative} AS relative, (SELECT k FROM depth) AS k, count(*) AS num_pairs, count(DISTINCT kmer) AS num_kmers, count(DISTINCT loc) AS num_locs, round(count(DISTINCT kmer) / (SELECT power(4, k) FROM depth), 9) AS fill FROM pairs)"
+
+
 def bounds(k: int) -> str:
     """b{j} (node_id, w): how many words of j letters can lie before a node at most; bound (node_id, starts, ends)."""
     out = ["b0 AS (SELECT node_id, CAST(1 AS BIGINT) AS w FROM n)"]
@@ -179,21 +192,21 @@ ORACLE_SQL: dict[str, str] = {
     "match_closure": _with(PARTS, EVERYWHERE, WALK, PREFIX, KNOWN, """go(node_id, pos) AS (
       SELECT node_id, loc - node_start + 1 FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc >= node_start AND loc < node_start + len - 1 UNION SELECT e.dst, 0 FROM (SELECT DISTINCT loc FROM pairs) JOIN p ON loc = node_start + len - 1 JOIN e ON e.src = p.node_id
       UNION SELECT x.node_id, x.pos FROM (SELECT go.node_id, go.pos + 1 AS pos FROM go JOIN n USING (node_id) WHERE go.pos + 1 < n.len UNION ALL SELECT e.dst, 0 FROM go JOIN n USING (node_id) JOIN e ON e.src = go.node_id WHERE go.pos + 1 = n.len) x)""") + "SELECT 'trie' AS kind, CAST(length(kmer) AS INT) AS size, CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS INT) AS first, count(*) AS n FROM known GROUP BY 2 UNION ALL SELECT 'graph', NULL, node_id, CAST(min(pos) AS INT), count(*) FROM go GROUP BY 3",
-    "labelled_reach": _with(ONE_LANGUAGE, GOOD, "lv(node_id, level) AS (SELECT DISTINCT node_id, 0 FROM begin JOIN n USING (node_id) UNION SELECT e.dst, level + 1 FROM lv JOIN e ON lv.node_id = e.src WHERE level <= (SELECT count(*) FROM n))") + "SELECT node_id, min(level) AS level FROM lv GROUP BY 1",
+    "labelled_reach": _with(ONE_LANGUAGE, GOOD, levels_from("SELECT DISTINCT node_id, 0 FROM begin JOIN n USING (node_id)")) + "SELECT node_id, level FROM lv",
     "pairs_from_labelled": _with(ONE_LANGUAGE, GOOD, REACH, "st AS (SELECT node_id, unnest(range(len)) AS pos FROM n WHERE node_id IN (FROM lev))", WALK) + "SELECT kmer, loc FROM pairs",
     "strong_components": _with(DOCS, STRONG) + "SELECT node_id, component FROM strong",
     "part_order": _with(OVERLAPPING, STRONG, ORDER),
     "whole_part_order": _with(PARTS, STRONG, ORDER),
     "back_edges": _with(DOCS, STRONG) + "SELECT edge_id, src, dst FROM e JOIN strong a ON a.node_id = src JOIN strong b ON b.node_id = dst WHERE a.component = b.component AND dst <= src",
-    "node_levels": _with(PARTS, "lv(node_id, level) AS (SELECT min(node_id), 0 FROM n UNION SELECT e.dst, level + 1 FROM lv JOIN e ON lv.node_id = e.src WHERE level < 40)") + "SELECT node_id, min(level) AS level FROM lv GROUP BY 1",
+    "node_levels": _with(PARTS, levels_from("SELECT min(node_id), 0 FROM n")) + "SELECT node_id, level FROM lv",
     "connected_components": _with(DOCS, LINKS, SPREAD, "low AS (SELECT node_id, min(root) AS root FROM spread GROUP BY 1)") + "SELECT node_id, root, dense_rank() OVER (ORDER BY root) - 1 AS comp_id FROM low",
     "starting_points": _with(OVERLAPPING, LINKS, STARTS) + "SELECT node_id, kind FROM begin",
     "complexity_regions": _with(DOCS, REGION) + "SELECT root, node_id, role FROM regions",
     "region_cover": _with(DOCS, REGION, EVERYWHERE, "cut AS (SELECT n.node_id, min(CASE WHEN role = 'internal' THEN 0 WHEN role = 'incoming' THEN len - 64 ELSE len END) AS first FROM n LEFT JOIN regions USING (node_id) GROUP BY 1)") + "SELECT CASE WHEN pos >= first THEN 'inside' ELSE 'outside' END AS part, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM st JOIN cut USING (node_id) GROUP BY 1",
     "fasta_round_trip": _with(DOCS) + "SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, seg_id, len, md5(seg) AS seg_md5 FROM n",
     "top_order": _with(DOCS, STRONG, ORDER),
-    "edge_cycles": _with(DOCS, "back AS (SELECT edge_id, src, dst FROM e WHERE src >= dst), lv(edge_id, node_id, level) AS (SELECT edge_id, dst, 0 FROM back UNION SELECT lv.edge_id, e.dst, level + 1 FROM lv JOIN e ON e.src = lv.node_id WHERE level < 12)") + "SELECT edge_id, src, dst, CAST(min(level) + 1 AS INT) AS cycle FROM back LEFT JOIN lv USING (edge_id) WHERE lv.node_id = src GROUP BY 1, 2, 3",
-    "shortest_paths": _with(DOCS, "ends AS (SELECT n_nationkey * 7 AS start, n_nationkey * 7 + 10 + n_regionkey * 20 - n_nationkey AS finish FROM nation), lv(start, node_id, level) AS (SELECT DISTINCT start, start, 0 FROM ends UNION SELECT start, e.dst, level + 1 FROM lv JOIN e ON e.src = lv.node_id WHERE level < 120)") + "SELECT start, finish, CAST(min(level) AS BIGINT) AS length, CAST(min(level) AS BIGINT) AS edges FROM ends JOIN lv USING (start) WHERE lv.node_id = finish GROUP BY 1, 2",
+    "edge_cycles": _with(DOCS, "back AS (SELECT edge_id, src, dst FROM e WHERE src >= dst)", levels_from("SELECT edge_id, dst, 0 FROM back", "edge_id")) + "SELECT edge_id, src, dst, CAST(level + 1 AS INT) AS cycle FROM back LEFT JOIN lv USING (edge_id) WHERE lv.node_id = src",
+    "shortest_paths": _with(DOCS, "ends AS (SELECT DISTINCT n_nationkey * 7 AS start, n_nationkey * 7 + 10 + n_regionkey * 20 - n_nationkey AS finish FROM nation)", levels_from("SELECT DISTINCT start, start, 0 FROM ends JOIN n ON node_id = start", "start")) + "SELECT start, finish, CAST(level AS BIGINT) AS length, CAST(level AS BIGINT) AS edges FROM ends JOIN lv USING (start) WHERE lv.node_id = finish",
     "complexity_bounds": _with(PARTS, bounds(PART_K)) + "SELECT node_id, starts, ends FROM bound",
     "complexity_check": _with(PARTS, EVERYWHERE, WALK, bounds(PART_K)) + "SELECT count(*) AS nodes, count(*) FILTER (starts < words) AS too_low FROM (SELECT node_id, count(DISTINCT kmer) AS words FROM pairs JOIN p ON loc = node_start GROUP BY 1) JOIN bound USING (node_id)",
     "sparse_starts": _with(DOCS, EVERYWHERE, STRONG, TOP, """
@@ -203,5 +216,6 @@ ORACLE_SQL: dict[str, str] = {
         tag(i, tags) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT i + 1, list_append(tags, coalesce(list_max(list_transform(feeds, lambda f: (tags[f.p] + f.l) % 64)), 63)) FROM tag JOIN spot ON place = i LEFT JOIN feeds USING (place)),
         last AS (SELECT tags FROM tag ORDER BY i DESC LIMIT 1)""") + "SELECT st.node_id, CAST(st.pos AS INT) AS pos FROM st JOIN spot USING (node_id), last WHERE (st.pos + tags[place + 1] + 1) % 64 = 0",
     "cut_pairs": _with(PARTS, EVERYWHERE.replace("st AS", "inside AS"), CUT) + "SELECT kmer, loc FROM cut_words",
+    "size_estimate": " UNION ALL ".join(map(index_at, (0, 1, 2))),
     "hybrid_pairs": _with(PARTS.replace(f"SELECT {PART_K} AS k", f"SELECT {HYBRID_K} AS k"), bounds(HYBRID_K), HYBRID, CUT.replace("128", str(HYBRID_CUT)), WALK) + "SELECT kmer, loc FROM pairs UNION SELECT kmer, loc FROM cut_words",
 }

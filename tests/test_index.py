@@ -124,4 +124,3 @@ def test_stats(spark):
     with pytest.raises(Exception, match="negative"):
         stats.power_histogram(spark.createDataFrame([(-1,)], "v long"), "v").collect()
     assert stats.total_words(4) == 256 and stats.total_words(2, shorter=True) == 21
-    assert stats.size_estimate(1000)["pairs"] == 1200
