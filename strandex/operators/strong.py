@@ -58,19 +58,25 @@ def _core_components(edges: DataFrame) -> DataFrame | None:
     return out
 
 
+def _labelled(rows: DataFrame, side: str, known: DataFrame | None) -> DataFrame:
+    """rows (node, side) with c: the component of the neighbour in side; a neighbour in none stands for one of its own."""
+    if known is None:
+        return rows.select("node", side, F.col(side).alias("c"))
+    at = rows.join(known.select(F.col("node").alias(side), "c"), side, "left")
+    return at.select("node", side, F.coalesce("c", side).alias("c"))
+
+
 def strong_components(graph: StringGraph) -> DataFrame:
     """node_id, component: the smallest node that it reaches and that reaches it (itself, where there is no other)."""
     plain = graph.edges.select("src", "dst").distinct()
     c = contracted(plain.select("src", "dst", F.lit(1).cast("long").alias("w")))
     known = _core_components(c.core)
     for into, on in zip(reversed(c.left), reversed(c.onward)):
-        # Both neighbours in one component: the node is in it. First the loops through one neighbour, which isn't in any component yet.
-        label = (lambda side: F.coalesce("c", side)) if known is not None else (lambda side: F.col(side))
-        name = lambda rows, side: (rows if known is None else rows.join(known.select(F.col("node").alias(side), "c"), side, "left")).select("node", side, label(side).alias("c"))
-        both = name(into, "src").join(name(on, "dst"), ["node", "c"]).select("node", "c", "src")
-        members, size = counted(both.groupBy("node", "c").agg(F.min("src").alias("src")), "strong", n=F.count("*"))
+        # A predecessor and a successor in one component, or one neighbour that is both.
+        both = _labelled(into, "src", known).join(_labelled(on, "dst", known).select("node", "c"), ["node", "c"])
+        members, size = counted(both.select("node", "c").distinct(), "strong", n=F.count("*"))
         if size["n"]:
-            new = members.select("node", "c").union(members.select(F.col("c").alias("node"), "c"))  # a neighbour of its own becomes a component's first node
+            new = members.union(members.select(F.col("c").alias("node"), "c"))  # a neighbour that stood for itself is a member too
             known = stored((new if known is None else known.union(new)).distinct(), "strong")
         else:
             drop_stored(members)
