@@ -25,6 +25,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> StringGraph:
     return graphs.document_graph(spark, sf_dir)
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' nodes with their lengths only, made once."""
+    return stored(_docs(spark, sf_dir).nodes.select("node_id", "len"), "sizes")
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> StringGraph:
     return graphs.part_graph(spark, sf_dir)
 
@@ -86,16 +91,16 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = locations.letters(graphs.located(_docs(spark, sf_dir).nodes))
+    each = locations.letters(graphs.located(stored(_docs(spark, sf_dir).nodes, "nodes")))
     return each.groupBy("letter").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"), F.max("loc").alias("last"))
 
 
 def graph_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.located(_docs(spark, sf_dir).nodes).select("node_id", "node_start", "len")
+    return graphs.located(_sizes(spark, sf_dir)).select("node_id", "node_start", "len")
 
 
 def location_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = stored(graphs.located(_docs(spark, sf_dir).nodes), "located")
+    nodes = stored(graphs.located(_sizes(spark, sf_dir)), "located")
     locs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") * 31).alias("loc")).distinct()
     return locations.compress(locations.expand(locs, nodes), nodes.select("node_id", "node_start")).select("loc", "node_id", "pos")
 

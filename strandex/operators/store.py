@@ -34,9 +34,11 @@ class SavedIndex:
     places: DataFrame
 
 
-def posting_blocks(pairs: DataFrame, key: str = "kmer", value: str = "loc", block: int = BLOCK) -> DataFrame:
-    """key, block, n, first, last, <value>s (ascending): the distinct values of each key in blocks; a key's values are ranked in ranges, and no list is longer than a block."""
-    at = group_ranks(pairs.select(key, value).distinct(), [key], [value]).withColumn("block", F.expr(f"rank div {block}"))
+def posting_blocks(pairs: DataFrame, key: str = "kmer", value: str = "loc", block: int = BLOCK, unique: bool = False) -> DataFrame:
+    """key, block, n, first, last, <value>s (ascending): the distinct values of each key in blocks; a key's values are ranked in ranges, and no list is longer than a block.
+    unique: no pair repeats, so none has to be looked for."""
+    rows = pairs.select(key, value)
+    at = group_ranks(rows if unique else rows.distinct(), [key], [value]).withColumn("block", F.expr(f"rank div {block}"))
     lists = at.groupBy(key, "block").agg(F.sort_array(F.collect_list(value)).alias("values"))
     return lists.select(key, "block", F.size("values").alias("n"), F.element_at("values", 1).alias("first"), F.element_at("values", -1).alias("last"), F.col("values").alias(f"{value}s"))
 
@@ -48,11 +50,11 @@ def _write(df: DataFrame, key: str, order: list[str], buckets: int, path: str) -
 
 
 def save_index(pairs: DataFrame, k: int, path: str, buckets: int | None = None) -> SavedIndex:
-    """Write pairs (kmer, loc) to path, which must not exist; the number of buckets grows with them unless given."""
+    """Write pairs (kmer, loc), each once as builders give them, to path, which must not exist; the number of buckets grows with them unless given."""
     spark = pairs.sparkSession
     rows, size = counted(pairs.select("kmer", "loc"), "index-pairs", n=F.count("*"))
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // PAIRS_PER_BUCKET))
-    _write(posting_blocks(rows), "kmer", ["kmer", "block"], buckets, f"{path}/words")
+    _write(posting_blocks(rows, unique=True), "kmer", ["kmer", "block"], buckets, f"{path}/words")
     _write(rows, "loc", ["loc", "kmer"], buckets, f"{path}/places")
     manifest = json.dumps({"format": 1, "k": k, "buckets": buckets, "num_pairs": size["n"]})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
