@@ -114,6 +114,7 @@ def _open(uri: str):
 
 MANIFEST = "part int, path string, n_docs long, n_ids long, first_id long, last_id long, n_null long"
 FEW = 10_000  # so many requested ids are compared with each file's range
+TASK_IDS = 16 << 20  # about so many ids, 64 MiB, are read by one task
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -121,7 +122,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str
 
     Returns the manifest, a row per file, written to the same directory (manifest); `part` ascends with doc_id, first_id and last_id are the smallest and largest id of a file. A file's
     name is unique to the task attempt, and the manifest names only those of attempts that Spark counted, so lost executors
-    leave at most unreferenced files. Null texts count as empty, null ids come first, rows that repeat an id are kept, ordered by text.
+    leave at most unreferenced files. The manifest's rows are dealt by `part`, so a part that is written anew replaces its own row only, and they lie in as few files as their size
+    needs: on a file system without Hadoop's native library an executor starts several processes for each file that Spark writes. Null texts count as empty, null ids come first, rows that repeat an id are kept, ordered by text.
     Other columns of docs are ignored, whatever their names; an empty table gives an empty manifest and no files.
     """
     spark = docs.sparkSession
@@ -151,7 +153,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
+    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST).repartition("part").write.parquet(f"{directory}/manifest")
     return open_ids(spark, directory)
 
 
@@ -164,7 +166,8 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names; null and repeated ids as they were written. An empty manifest gives an empty
     result."""
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    files = based.repartition(max(1, manifest.count()), "part")  # a number, as a few small manifest rows stand for large files
+    tasks = -(-(manifest.agg(F.sum("n_ids")).first()[0] or 0) // TASK_IDS) or 1
+    files = based.repartition(tasks, "part")  # a number, as a few small manifest rows stand for large files
 
     def read(it):
         for rows in batches(it, ["path", "base"]):

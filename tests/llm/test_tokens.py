@@ -115,6 +115,21 @@ def test_id_files_of_a_table(spark):
     check_ids(table, seekable_ids.read_ids(seekable_ids.write_ids(table, BYTES, 2)).collect())
 
 
+def test_small_manifests_and_id_files_take_few_files_and_tasks(spark, tmp_path, monkeypatch):
+    """Each file that Spark writes costs an executor several processes: many parts make one manifest file, and many small files are read by one task."""
+    table = small(spark).select("doc_id", "text")
+    manifest = seekable_ids.write_ids(table, BYTES, 2, directory=f"file://{tmp_path}/ids", partitions=9)
+    assert manifest.count() == 9 and len(list(Path(tmp_path, "ids/manifest").glob("part-*.parquet"))) == 1
+    read = seekable_ids.read_ids(manifest)
+    assert read.rdd.getNumPartitions() == 1
+    check_ids(table, read.collect())
+    n_ids = manifest.agg(F.sum("n_ids")).first()[0]
+    monkeypatch.setattr(seekable_ids, "TASK_IDS", n_ids // 4)
+    several = seekable_ids.read_ids(manifest)
+    assert several.rdd.getNumPartitions() in (4, 5)
+    check_ids(table, several.collect())
+
+
 def test_frames_are_independent_and_checked():
     import zstandard
 
