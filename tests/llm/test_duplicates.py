@@ -21,6 +21,50 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_steps_of_small_graphs_write_few_files(spark, monkeypatch):
+    """Also where Spark doesn't join small partitions; with few rows a task the result is the same."""
+    from pathlib import Path
+
+    from strandex.operators import components as stars
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(60)], "src long, dst long")
+    files, settings = [], {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def seen(made):
+        def make(df, name, **more):
+            out = made(df, name, **more)
+            table = out[0] if isinstance(out, tuple) else out
+            files.append((name, len(list(Path(table.stored_path.removeprefix("file:")).glob("part-*.parquet")))))
+            return out
+
+        return make
+
+    monkeypatch.setattr(stars, "stored", seen(stars.stored))
+    monkeypatch.setattr(stars, "counted", seen(stars.counted))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for task_rows, most in ((100_000, 1), (50, 5)):
+            monkeypatch.setattr(stars, "TASK_ROWS", task_rows)
+            files.clear()
+            got = {r.node: r.component for r in stars.components(edges).collect()}
+            assert got == {i: 0 for i in range(61)} | {i: 100 for i in [100, *range(200, 260)]}
+            assert len(files) > 4 and all(0 < n <= most for _, n in files[1:]), files
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_passing_state_has_no_checksum_files(spark, tmp_path, monkeypatch):
+    """A state folder that is kept has them."""
+    monkeypatch.setattr(exact_dedup, "shared_path", lambda spark, name: f"file://{tmp_path}/passing")
+    rows = [exact_dedup.exact_groups(docs(spark), **more).collect() for more in ({}, {"state_dir": f"file://{tmp_path}/kept"})]
+    assert groups(rows[0]) == groups(rows[1])
+    changes, sums = ({d: list((tmp_path / d / "checkpoint/state").rglob(p)) for d in ("passing", "kept")} for p in ("[0-9]*.changelog", "[0-9]*.changelog.crc"))
+    assert changes["passing"] and changes["kept"] and not sums["passing"] and sums["kept"]
+
+
 def groups(rows):
     return sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows), key=str)
 
