@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -124,3 +125,24 @@ def test_stats(spark):
     with pytest.raises(Exception, match="negative"):
         stats.power_histogram(spark.createDataFrame([(-1,)], "v long"), "v").collect()
     assert stats.total_words(4) == 256 and stats.total_words(2, shorter=True) == 21
+
+
+def scans(df):
+    return str(df._jdf.queryExecution().optimizedPlan()).count("Relation [")
+
+
+def test_plans_do_not_grow_with_rounds(spark):
+    """A walk over many short nodes takes a round each; the driver's plan reads them by one scan, and reached nodes are kept, not found anew for each use."""
+    g = graph(spark, ["a"] * 8, [(i, i + 1) for i in range(7)]).saved()
+    start = spark.createDataFrame([(0,)], "node_id long")
+    found = index.build(g, 7, "node_bfs", start)
+    assert scans(found) <= 6 and pairs_of(found) == {("a" * 7, 7)}
+
+
+def test_stored_tables_have_no_mark(spark):
+    """Each mark would start processes beside the driver's where Hadoop's native library is missing."""
+    from strandex.functions.storage import stored, together
+
+    one, two = stored(spark.range(2), "a"), stored(spark.range(3), "b")
+    assert "_SUCCESS" not in os.listdir(one.stored_path.removeprefix("file:"))
+    assert together(one, two).count() == 5 and scans(together(one, two)) == 1
