@@ -146,3 +146,9 @@ def test_stored_tables_have_no_mark(spark):
     one, two = stored(spark.range(2), "a"), stored(spark.range(3), "b")
     assert "_SUCCESS" not in os.listdir(one.stored_path.removeprefix("file:"))
     assert together(one, two).count() == 5 and scans(together(one, two)) == 1
+
+
+def test_plan_of_cut_words_does_not_grow_with_rounds(spark):
+    g = graph(spark, ["a"] * 8, [(i, i + 1) for i in range(7)]).saved()
+    found = index.cut_pairs(g, 7, 128)
+    assert scans(found) <= 5 and pairs_of(found) == {("a" * 7, 7)}
